@@ -4,19 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Calendar parts (order date, hour, weekday) are defined in UTC.
-_RUNTIME = {
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-}
-
-
 def configure(spark: SparkSession) -> SparkSession:
-    """Set the runtime options on an existing session; static ones stay with the cluster."""
-    for key, value in _RUNTIME.items():
-        if spark.conf.get(key, None) != value:
-            spark.conf.set(key, value)
+    """Calendar parts (order date, hour, weekday) are defined in UTC; the rest is the cluster's."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 

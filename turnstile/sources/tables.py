@@ -4,93 +4,108 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile import constants as C
-from turnstile import schema as S
-
-_CONTACT_DIMENSION = {"contact_name", "contact_locality"}
-_ORGANISER = {"tenant_id", "event_id", "event_name"}
-_PRODUCT = {"deal_title", "utm_source"}
-
-
-def _expressions() -> dict[str, Column]:
-    line_no, buyer = F.col("l_linenumber"), F.col("o_custkey")
-    order_day = F.col("o_orderdate").cast("timestamp")
-    show_start = (
-        F.date_trunc("quarter", order_day) + F.expr("interval 3 months") - F.expr("interval 2 hours")
-    )
-    year, quarter = F.year(order_day), F.quarter(order_day)
-    price = F.round(F.col("l_extendedprice") * 100).cast("long")
-    minutes = F.make_dt_interval
-    return {
-        "ticket_id": F.concat_ws(
-            "-",
-            *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
-            price.cast("string"),
-        ),
-        "tenant_id": F.col("r_regionkey") % 3,
-        "event_id": ((year * 4 + quarter - 1) * 10 + F.col("r_regionkey")).cast("long"),
-        "event_name": F.concat(
-            F.col("r_name"), F.lit(" "), year.cast("string"), F.lit("Q"), quarter.cast("string")
-        ),
-        "ticket_status": F.when(F.col("l_returnflag") == "R", C.CANCELED)
-        .when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "F"), "pending")
-        .when((line_no == 7) & (F.col("l_quantity") == 49), None)
-        .otherwise(C.VALID),
-        "ordered_at": F.when((line_no == 6) & (F.col("l_quantity") == 48), None).otherwise(
-            order_day + minutes(mins=((F.col("o_orderkey") * 37) % 1440).cast("int"))
-        ),
-        "event_start_time": show_start,
-        "ticket_scanned_at": F.when(
-            (F.col("l_linestatus") == "F") & (F.col("l_returnflag") != "R"),
-            show_start + minutes(mins=(line_no * 10).cast("int")),
-        ),
-        "deal_price": F.when(F.col("l_discount") == 0, 0)
-        .when((line_no == 7) & (F.col("l_quantity") == 50), None)
-        .otherwise(price),
-        "deal_title": F.col("p_type"),
-        "payment_method": F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", None)
-        .when(F.col("o_orderpriority") == "5-LOW", "")
-        .otherwise(F.lower(F.substring("o_orderpriority", 3, 100))),
-        "utm_source": _choose(
-            F.col("l_partkey") % 8,
-            {
-                1: F.lit(""),
-                2: F.lit("direct"),
-                3: F.lit(" Instagram.COM "),
-                4: F.lit("facebook.com"),
-                5: F.lit("instagram"),
-                6: F.lower("p_type"),
-                7: F.lit("App"),
-            },
-        ),
-        "utm_medium": _choose(line_no % 3, {0: F.lit("app"), 1: F.lit("web")}),
-        "contact_id": F.when(buyer % 50 != 49, buyer),
-        "contact_name": F.when(buyer % 10 != 9, F.col("c_name")),
-        "contact_gender": _choose(
-            buyer % 5,
-            {0: F.lit("female"), 1: F.lit("male"), 2: F.lit("other"), 3: F.lit("-")},
-        ),
-        "contact_locality": F.when(buyer % 11 == 0, "-")
-        .when(buyer % 11 == 1, "")
-        .when(buyer % 11 == 2, "01008-000")
-        .otherwise(F.col("buyer_nation")),
-        "contact_birthday": F.when(
-            buyer % 13 != 0, F.date_add(F.lit(date(1930, 1, 1)), ((buyer * 389) % 25000).cast("int"))
-        ),
-        "contact_newsletter_optin": _choose(
-            buyer % 4, {0: F.lit("True"), 1: F.lit("False"), 2: F.lit("True")}
-        ),
-    }
-
-
-def _choose(code: Column, cases: dict[int, Column]) -> Column:
-    out = None
-    for value, result in cases.items():
-        out = F.when(code == value, result) if out is None else out.when(code == value, result)
-    return out
+# Declared, so that no job has to look the columns up first.
+_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "part": "p_partkey bigint, p_type string",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+        "l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, "
+        "l_linestatus string"
+    ),
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
+    ),
+}
+
+_SHOW_START = (
+    "date_trunc('quarter', cast(o_orderdate as timestamp)) + interval 3 months - interval 2 hours"
+)
+# Prices hold whole cents, so any rounding gives the same; this one is the cheap one.
+_CENTS = "cast(rint(l_extendedprice * 100) as bigint)"
+
+# What every ticket of an order shares is worked out once per order, before line
+# items are joined to it.
+_PER_ORDER = {
+    "sold_quarter": "concat(year(o_orderdate), 'Q', quarter(o_orderdate))",
+    "sold_quarter_no": "(year(o_orderdate) * 4 + quarter(o_orderdate) - 1) * 10",
+    "placed_at": (
+        "cast(o_orderdate as timestamp)"
+        " + make_dt_interval(0, 0, cast((o_orderkey * 37) % 1440 as int))"
+    ),
+    "event_start_time": _SHOW_START,
+    "payment_method": """
+        case o_orderpriority when '4-NOT SPECIFIED' then null when '5-LOW' then ''
+             else lower(substr(o_orderpriority, 3)) end""",
+    "contact_id": "case when o_custkey % 50 <> 49 then o_custkey end",
+    "contact_name": "case when o_custkey % 10 <> 9 then c_name end",
+    "contact_gender": """
+        case o_custkey % 5 when 0 then 'female' when 1 then 'male' when 2 then 'other'
+             when 3 then '-' end""",
+    "contact_locality": """
+        case o_custkey % 11 when 0 then '-' when 1 then '' when 2 then '01008-000'
+             else buyer_nation end""",
+    "contact_birthday": """
+        case when o_custkey % 13 <> 0
+             then date_add(date '1930-01-01', cast((o_custkey * 389) % 25000 as int)) end""",
+    "contact_newsletter_optin": (
+        "case o_custkey % 4 when 0 then 'True' when 1 then 'False' when 2 then 'True' end"
+    ),
+}
+
+# The columns of a ticket over line item, order and dimensions.
+_TICKET = {
+    "ticket_id": f"concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, {_CENTS})",
+    "tenant_id": "r_regionkey % 3",
+    "event_id": "cast(sold_quarter_no + r_regionkey as bigint)",
+    "event_name": "concat(r_name, ' ', sold_quarter)",
+    "ticket_status": """
+        case when l_returnflag = 'R' then 'canceled'
+             when l_returnflag = 'N' and l_linestatus = 'F' then 'pending'
+             when l_linenumber = 7 and l_quantity = 49 then null
+             else 'valid' end""",
+    "ordered_at": "case when l_linenumber = 6 and l_quantity = 48 then null else placed_at end",
+    "event_start_time": "event_start_time",
+    "ticket_scanned_at": """
+        case when l_linestatus = 'F' and l_returnflag <> 'R'
+             then event_start_time + make_dt_interval(0, 0, l_linenumber * 10) end""",
+    "deal_price": f"""
+        case when l_discount = 0 then 0
+             when l_linenumber = 7 and l_quantity = 50 then null
+             else {_CENTS} end""",
+    "deal_title": "p_type",
+    "payment_method": "payment_method",
+    "utm_source": """
+        case l_partkey % 8
+             when 0 then null when 1 then '' when 2 then 'direct' when 3 then ' Instagram.COM '
+             when 4 then 'facebook.com' when 5 then 'instagram' when 6 then lower(p_type)
+             else 'App' end""",
+    "utm_medium": "case l_linenumber % 3 when 0 then 'app' when 1 then 'web' end",
+    "contact_id": "contact_id",
+    "contact_name": "contact_name",
+    "contact_gender": "contact_gender",
+    "contact_locality": "contact_locality",
+    "contact_birthday": "contact_birthday",
+    "contact_newsletter_optin": "contact_newsletter_optin",
+}
+
+# Columns that need a table besides line items and orders.
+_OF_PART = {"deal_title", "utm_source"}
+_OF_ORGANISER = {"tenant_id", "event_id", "event_name"}
+_OF_CUSTOMER = {"contact_name", "contact_locality"}
+
+
+def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{directory}/{name}.parquet")
 
 
 def tickets(
@@ -102,75 +117,59 @@ def tickets(
 ) -> DataFrame:
     """One ticket per line item, with the asked-for columns (all by default).
 
-    A dimension is joined only if a column needs it, and as a left join: a line
-    whose part or customer is unknown keeps its row. The order side is put
-    together first, since it is the narrow one, so that line items are shuffled
-    by order key once, or not at all where the other side is small. The bounds on
-    the order day reach the scan of the orders.
+    Orders come first, as the only join that can drop rows: bounds on the order
+    day reach the scan of the orders. A dimension is joined only if a column needs
+    it, and as a left join, so that a line whose part or customer is unknown keeps
+    its row. Dimensions are joined one by one to keep their own size estimates,
+    which decide between broadcast and sort-merge.
     """
-
-    def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{directory}/{name}.parquet")
-
-    expressions = _expressions()
-    wanted = set(columns) or set(expressions)
-
-    orders = table("orders")
+    wanted = set(columns) or set(_TICKET)
+    orders = table(spark, directory, "orders")
     if ordered_from is not None:
         orders = orders.filter(F.col("o_orderdate") >= F.lit(ordered_from).cast("timestamp_ntz"))
     if ordered_before is not None:
         orders = orders.filter(F.col("o_orderdate") < F.lit(ordered_before).cast("timestamp_ntz"))
-    if wanted & _CONTACT_DIMENSION:
-        customer = table("customer").select("c_custkey", "c_name", "c_nationkey")
-        nation = table("nation").select(
-            F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("buyer_nation")
+    if wanted & _OF_CUSTOMER:
+        buyer_nation = table(spark, directory, "nation").selectExpr(
+            "n_nationkey as buyer_nationkey", "n_name as buyer_nation"
         )
-        buyers = customer.join(nation, "c_nationkey", "left")
-        orders = orders.join(buyers, F.col("o_custkey") == F.col("c_custkey"), "left")
+        orders = orders.join(
+            table(spark, directory, "customer"), F.expr("o_custkey = c_custkey"), "left"
+        ).join(buyer_nation, F.expr("c_nationkey = buyer_nationkey"), "left")
+    else:
+        orders = orders.selectExpr("*", "null as c_name", "null as buyer_nation")
+    orders = orders.selectExpr(
+        "o_orderkey", *[f"{sql} as {name}" for name, sql in _PER_ORDER.items()]
+    )
 
-    rows = table("lineitem")
-    if wanted & _ORGANISER:
-        place = table("nation").join(
-            table("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left"
-        )
-        organiser = table("supplier").join(
-            place, F.col("s_nationkey") == F.col("n_nationkey"), "left"
-        )
-        organiser = organiser.select("s_suppkey", "r_regionkey", "r_name")
-        rows = rows.join(organiser, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-    if wanted & _PRODUCT:
-        product = table("part").select("p_partkey", "p_type")
-        rows = rows.join(product, F.col("l_partkey") == F.col("p_partkey"), "left")
-    rows = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.select(*[e.alias(n) for n, e in expressions.items() if n in wanted])
+    rows = table(spark, directory, "lineitem").join(orders, F.expr("l_orderkey = o_orderkey"))
+    if wanted & _OF_PART:
+        rows = rows.join(table(spark, directory, "part"), F.expr("l_partkey = p_partkey"), "left")
+    if wanted & _OF_ORGANISER:
+        for name, condition in (
+            ("supplier", "l_suppkey = s_suppkey"),
+            ("nation", "s_nationkey = n_nationkey"),
+            ("region", "n_regionkey = r_regionkey"),
+        ):
+            rows = rows.join(table(spark, directory, name), F.expr(condition), "left")
+    return rows.selectExpr(*[f"{sql} as {name}" for name, sql in _TICKET.items() if name in wanted])
 
 
 def ledger(spark: SparkSession, directory: str) -> DataFrame:
     """One ledger entry per purchase event."""
-    events = spark.read.parquet(f"{directory}/events.parquet")
-    region = spark.read.parquet(f"{directory}/region.parquet")
-    entry, user = F.col("event_id"), F.col("user_id")
-    count = (1 + entry % 5).cast("int")
-    cents = F.round(F.col("value") * 100).cast("long")
-    share = (cents.cast("decimal(20,0)") / 100 / count).cast(S.PRICE)
-    n_prices = F.when(entry % 2 == 0, count).when(entry % 9 == 0, 1).otherwise(0)
-    name = F.concat(
-        F.col("r_name"),
-        F.lit(" "),
-        (F.lit(1995) + user % 6).cast("string"),
-        F.lit("Q"),
-        (1 + entry % 4).cast("string"),
+    purchases = table(spark, directory, "events").filter("event_type = 'purchase'")
+    entries = purchases.join(
+        table(spark, directory, "region"), F.expr("r_regionkey = cast(user_id % 5 as int)")
+    ).selectExpr(
+        "event_id as entry_id",
+        "concat(r_name, ' ', 1995 + user_id % 6, 'Q', 1 + event_id % 4) as event_name",
+        "cast(1 + event_id % 5 as int) as tickets",
+        "cast(cast(rint(value * 100) as decimal(18, 0)) / 100 as decimal(18, 6)) as revenue_brl",
+        "case when event_id % 7 = 0 then cast(ts as date) end as entry_date",
+        "case when event_id % 3 = 0 then 'pagbank_csv' else 'manual' end as source",
     )
-    return (
-        events.filter(F.col("event_type") == "purchase")
-        .join(region, F.col("r_regionkey") == (user % 5).cast("int"))
-        .select(
-            entry.alias("entry_id"),
-            name.alias("event_name"),
-            count.alias("tickets"),
-            (cents.cast("decimal(20,0)") / 100).cast(S.PRICE).alias("revenue_brl"),
-            F.when(n_prices > 0, F.array_repeat(share, n_prices.cast("int"))).alias("prices"),
-            F.when(entry % 7 == 0, F.to_date("ts")).alias("entry_date"),
-            F.when(entry % 3 == 0, C.ORIGIN_STATEMENT).otherwise(C.ORIGIN_MANUAL).alias("source"),
-        )
+    n_prices = (
+        "case when entry_id % 2 = 0 then tickets when entry_id % 9 = 0 then 1 else 0 end"
     )
+    prices = f"array_repeat(cast(revenue_brl / tickets as decimal(18, 6)), {n_prices})"
+    return entries.selectExpr("*", f"case when {n_prices} > 0 then {prices} end as prices")
