@@ -16,29 +16,38 @@ from turnstile.frame import Tickets
 _LIST_LENGTH = 10_000
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame:
+def _read(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     """Every column as text: types are the normaliser's business."""
-    return spark.read.csv(path, header=True, inferSchema=False, multiLine=False, escape='"')
+    return spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"')
 
 
-def load_csv(spark: SparkSession, path: str, as_of: date | datetime) -> Tickets:
-    """Read and normalise a ticket CSV."""
-    return Tickets.from_raw(_read(spark, path), as_of)
+def load_csv(
+    spark: SparkSession, path: str, as_of: date | datetime, multi_line: bool = True
+) -> Tickets:
+    """Read and normalise a ticket CSV.
+
+    Turn ``multi_line`` off for large files without line breaks inside quotes; they
+    are then read in pieces.
+    """
+    return Tickets.from_raw(_read(spark, path, multi_line), as_of)
 
 
 def export_consolidated(tickets: Tickets, f: Filters, path: str, full: bool = False) -> None:
     """Write the filtered rows of both channels, or with ``full`` all rows, as CSV."""
     rows = tickets.rows if full else kept(tickets, f)
-    cents = [c for c in rows.columns if c.endswith("_cents")]
-    flat = rows.drop(*cents, "door_price")
-    # Money columns of the input were dropped for exact cents; write them back as cents.
-    for name in S.MONEY:
-        flat = flat.withColumn(name, rows[f"{name}_cents"]) if f"{name}_cents" in cents else flat
-    flat.write.option("header", True).option("escape", '"').mode("errorifexists").csv(path)
+    columns = [F.col(f"{c}_cents").alias(c) for c in S.MONEY]
+    columns += [c for c in rows.columns if not c.endswith("_cents") and c != "door_price"]
+    writer = rows.select(*columns).write.mode("errorifexists")
+    writer.csv(path, header=True, escape='"', timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
 
 
 def import_consolidated(
-    spark: SparkSession, path: str, as_of: date | datetime, tenant: str, added_at: datetime
+    spark: SparkSession,
+    path: str,
+    as_of: date | datetime,
+    tenant: str,
+    added_at: datetime,
+    multi_line: bool = True,
 ) -> tuple[Tickets, DataFrame]:
     """(online tickets, door ledger entries) of a consolidated CSV.
 
@@ -46,7 +55,7 @@ def import_consolidated(
     cut at a fixed length by position in the file, so a show that holds most of the
     door sales becomes several entries with the same totals, not one huge row.
     """
-    rows = _read(spark, path)
+    rows = _read(spark, path, multi_line)
     if "source" not in rows.columns:
         raise ValueError("not a consolidated file: no column 'source'")
     online = rows.filter(F.col("source") == C.ONLINE).drop("source")

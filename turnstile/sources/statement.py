@@ -39,22 +39,26 @@ def sales(spark: SparkSession, path: str, decimal_comma: bool = False) -> DataFr
     Sales have the sale type, a positive amount and a valid date; everything else
     in the statement is left out.
     """
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), "value"
-    )
     lines = F.split(F.col("value"), "\r\n|\n|\r", -1)
-    body = F.slice(lines, C.STATEMENT_PREAMBLE_LINES + 1, F.greatest(F.size(lines), F.lit(1)))
-    filled = files.select(
-        "file",
-        F.posexplode(body).alias("offset", "line"),
-        F.element_at(F.filter(body, lambda x: F.trim(x) != ""), 1).alias("header_line"),
-    ).filter(F.trim("line") != "")
-    header = F.transform(_cells(F.col("header_line")), strip)
-    numbered = filled.select(
-        "file",
-        (F.col("offset") + C.STATEMENT_PREAMBLE_LINES + 1).alias("line_no"),
-        _cells(F.col("line")).alias("cells"),
-        header.alias("header"),
+    filled = lambda line: F.trim(line) != ""
+    files = (
+        spark.read.text(path, wholetext=True)
+        .select(
+            F.col("_metadata.file_path").alias("file"),
+            F.slice(lines, C.STATEMENT_PREAMBLE_LINES + 1, F.size(lines)).alias("body"),
+        )
+        .select("file", "body", F.get(F.filter("body", filled), 0).alias("header_line"))
+        .select("file", "body", F.transform(_cells(F.col("header_line")), strip).alias("header"))
+    )
+    numbered = (
+        files.select("file", "header", F.posexplode("body").alias("offset", "line"))
+        .filter(filled(F.col("line")))
+        .select(
+            "file",
+            "header",
+            (F.col("offset") + C.STATEMENT_PREAMBLE_LINES + 1).alias("line_no"),
+            _cells(F.col("line")).alias("cells"),
+        )
     )
 
     def named(column: str) -> Column:
