@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnstile import constants as C
 
-_SLOTS = 64
+_SLOTS = 64  # a power of two
 
 
 def with_zero_keys(counts: DataFrame, keys: DataFrame, key: str, measure: str) -> DataFrame:
@@ -40,8 +40,17 @@ def dense(cells: DataFrame, row: str, column: str, measure: str) -> DataFrame:
     labels. What reaches every task is one count per slot; the labels themselves
     are neither broadcast by force nor gathered in one place.
     """
-    labels = cells.select(column).distinct()
-    slotted = labels.select(column, F.pmod(F.xxhash64(column), F.lit(_SLOTS)).alias("slot"))
+    # Stated here, or the join below would infer it for its own copy of the cells only;
+    # all copies must stay alike for their aggregation to run once.
+    cells = cells.filter(F.col(row).isNotNull() & F.col(column).isNotNull())
+
+    def occurring(key: str) -> DataFrame:
+        # Reads the measure, so that no copy of the cells drops it.
+        return cells.groupBy(key).agg(F.sum(measure).alias("n")).filter("n > 0").select(key)
+
+    slotted = occurring(column).select(
+        column, F.xxhash64(column).bitwiseAND(_SLOTS - 1).alias("slot")
+    )
     numbered = slotted.select(
         column,
         "slot",
@@ -54,8 +63,7 @@ def dense(cells: DataFrame, row: str, column: str, measure: str) -> DataFrame:
         .scalar()
     )
     grid = (
-        cells.select(row)
-        .distinct()
+        occurring(row)
         .select(row, F.inline(slots))
         .select(row, "slot", F.explode(F.sequence(F.lit(1), F.col("size"))).alias("number"))
         .join(numbered, ["slot", "number"])
