@@ -502,3 +502,18 @@ def test_channel_comparison_fills_both_sides(spark):
     ]
     assert set(door.bundle(online, ledger, f)) == {"comparison", "grand_totals", "revenue", "tickets"}
     assert door.bundle(online, ledger, ANY) == {}
+
+
+def test_large_door_entries_are_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(door, "_PART", 4)
+    listed = [str(i) for i in range(1, 11)]
+    ledger = _ledger(
+        spark,
+        [("a", 10, "55", listed, AS_OF), ("b", 9, "18", None, AS_OF), ("c", 4, "4", ["1"] * 4, AS_OF)],
+    )
+    out = rows_of(
+        door.door_rows(ledger, None, AS_OF).select("event_name", F.col("door_price").cast("double"))
+    )
+    assert sorted(p for n, p in out if n == "a") == [float(i) for i in range(1, 11)]
+    assert [p for n, p in out if n == "b"] == [2.0] * 9
+    assert [p for n, p in out if n == "c"] == [1.0] * 4

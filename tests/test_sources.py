@@ -82,7 +82,7 @@ def test_raw_json_has_no_nan_and_iso_times(spark):
 
 
 def _records(spark, *tickets_given):
-    rows = [(str(t.get("ticket_id")), json.dumps(t)) for t in tickets_given]
+    rows = [(t.get("ticket_id"), json.dumps(t)) for t in tickets_given]
     return spark.createDataFrame(rows, "ticket_id string, raw string")
 
 

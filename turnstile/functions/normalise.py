@@ -115,69 +115,71 @@ def loyalty_label(n: Column) -> Column:
     return F.concat(n.cast("string"), F.lit(" evento"), F.when(n > 1, "s").otherwise(""))
 
 
+_BRL = T.DecimalType(18, 2)
+
+# Columns a metric may name, with the type of the nulls that stand in for a missing one.
+_FILLERS: dict[str, T.DataType] = {
+    **{c: T.StringType() for c in S.TEXT},
+    **{c: T.TimestampType() for c in S.TIMESTAMPS},
+    **{f"{c}_cents": T.LongType() for c in S.MONEY},
+    **{f"{c}_brl": _BRL for c in S.MONEY},
+    "contact_newsletter_optin": T.BooleanType(),
+    "contact_birthday": T.TimestampNTZType(),
+    "age": T.IntegerType(),
+    "order_date": T.DateType(),
+    "order_hour": T.IntegerType(),
+    "order_dow": T.StringType(),
+    "days_before_event": T.DoubleType(),
+}
+
+
+def _known_columns(dtypes: dict[str, T.DataType], as_of: date | datetime) -> dict[str, Column]:
+    """The clean and derived columns that the input has something for."""
+    out: dict[str, Column] = {}
+
+    def add(name: str, make) -> None:
+        if name in dtypes:
+            out[name] = make(F.col(name), dtypes[name])
+
+    for name in S.TIMESTAMPS:
+        add(name, utc_timestamp)
+    add("ticket_id", lambda col, _: col.cast("string"))
+    add("utm_source", lambda col, _: utm_source(col))
+    add("utm_medium", lambda col, _: utm_medium(col))
+    add("contact_newsletter_optin", optin)
+    add("contact_birthday", local_timestamp)
+    if "contact_birthday" in out:
+        out["age"] = age(out["contact_birthday"], as_of)
+    for name in S.MONEY:
+        if name in dtypes:
+            whole = cents(F.col(name), dtypes[name])
+            out[f"{name}_cents"] = whole
+            out[f"{name}_brl"] = (whole.cast("decimal(16,0)") / 100).cast(_BRL)
+    if "ordered_at" in out:
+        ordered = out["ordered_at"]
+        out["order_date"] = F.to_date(ordered)
+        out["order_hour"] = F.hour(ordered)
+        out["order_dow"] = F.date_format(ordered, "EEEE")
+        if "event_start_time" in out:
+            out["days_before_event"] = days_before(out["event_start_time"], ordered)
+    return out
+
+
 def normalise(
     raw: DataFrame, as_of: date | datetime, channel: str | None = C.ONLINE
 ) -> tuple[DataFrame, frozenset[str]]:
-    """Type and clean the columns of ``raw`` and add the derived ones, in one projection.
+    """Type and clean the columns of ``raw`` and add the derived ones.
 
     Columns the input lacks come out as typed nulls; the returned set names the
     columns (derived ones too) that rest on real input. No job runs.
     """
-    dtypes = {f.name: f.dataType for f in raw.schema.fields}
-    present = set(dtypes)
-    out: dict[str, Column] = {}
-
-    for name in S.TEXT:
-        out[name] = F.col(name) if name in dtypes else F.lit(None).cast("string")
-    for name in S.TIMESTAMPS:
-        out[name] = (
-            utc_timestamp(F.col(name), dtypes[name])
-            if name in dtypes
-            else F.lit(None).cast("timestamp")
-        )
-    for name in S.MONEY:
-        known = name in dtypes
-        whole = cents(F.col(name), dtypes[name]) if known else F.lit(None).cast("long")
-        out[f"{name}_cents"] = whole
-        out[f"{name}_brl"] = (whole.cast("decimal(16,0)") / 100).cast("decimal(18,2)")
-        if known:
-            present |= {f"{name}_cents", f"{name}_brl"}
-
-    if "ticket_id" in dtypes:
-        out["ticket_id"] = F.col("ticket_id").cast("string")
-    if "utm_source" in dtypes:
-        out["utm_source"] = utm_source(F.col("utm_source"))
-    if "utm_medium" in dtypes:
-        out["utm_medium"] = utm_medium(F.col("utm_medium"))
-
-    flag = "contact_newsletter_optin"
-    out[flag] = (
-        optin(F.col(flag), dtypes[flag]) if flag in dtypes else F.lit(None).cast("boolean")
-    )
-
-    if "contact_birthday" in dtypes:
-        birthday = local_timestamp(F.col("contact_birthday"), dtypes["contact_birthday"])
-        out["contact_birthday"] = birthday
-        out["age"] = age(birthday, as_of)
-        present.add("age")
-    else:
-        out["contact_birthday"] = F.lit(None).cast("timestamp_ntz")
-        out["age"] = F.lit(None).cast("int")
-
-    ordered, start = out["ordered_at"], out["event_start_time"]
-    out["order_date"] = F.to_date(ordered)
-    out["order_hour"] = F.hour(ordered)
-    out["order_dow"] = F.date_format(ordered, "EEEE")
-    out["days_before_event"] = days_before(start, ordered)
-    if "ordered_at" in dtypes:
-        present |= {"order_date", "order_hour", "order_dow"}
-        if "event_start_time" in dtypes:
-            present.add("days_before_event")
-
+    known = _known_columns({f.name: f.dataType for f in raw.schema.fields}, as_of)
     if channel is not None:
-        out["source"] = F.lit(channel)
-        present.add("source")
-
-    extra = [F.col(c) for c in raw.columns if c not in out and c not in S.MONEY]
-    rows = raw.select(*extra, *[col.alias(name) for name, col in out.items()])
-    return rows, frozenset(present)
+        known["source"] = F.lit(channel)
+    as_is = [c for c in raw.columns if c not in known and c not in S.MONEY]
+    clean = raw.select(*as_is, *[col.alias(name) for name, col in known.items()])
+    missing = [
+        T.StructField(name, dtype) for name, dtype in _FILLERS.items() if name not in clean.columns
+    ]
+    rows = clean.to(T.StructType([*clean.schema.fields, *missing]))
+    return rows, frozenset(raw.columns) | frozenset(known)

@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnstile import constants as C
 from turnstile import schema as S
@@ -14,6 +15,10 @@ from turnstile.frame import Tickets
 from turnstile.functions.money import revenue_cents
 
 
+_PART = 10_000
+_PRICES = T.ArrayType(S.PRICE)
+
+
 def _zero():
     return F.lit(0).cast("long")
 
@@ -23,8 +28,9 @@ def door_rows(ledger: DataFrame, online: Tickets | None, as_of: date) -> DataFra
 
     The order date is the entry's own, else the day its show first starts, else
     ``as_of``. The listed prices hold only if there is one per ticket; otherwise
-    each ticket carries an equal share of the entry's revenue. Entries differ in
-    size without bound, so they are spread evenly before they are expanded.
+    each ticket carries an equal share of the entry's revenue. An entry can stand
+    for any number of tickets, so entries are cut into parts of bounded size and
+    the parts spread evenly before they become rows.
     """
     entries = ledger
     if online is not None and online.has("event_start_time"):
@@ -37,26 +43,32 @@ def door_rows(ledger: DataFrame, online: Tickets | None, as_of: date) -> DataFra
     else:
         entries = entries.withColumn("show_date", F.lit(None).cast("date"))
 
-    n = F.greatest(F.coalesce(F.col("tickets"), F.lit(0)), F.lit(0)).cast("int")
-    share = F.coalesce(F.try_divide(F.col("revenue_brl"), n), F.lit(0)).cast(S.PRICE)
-    listed = F.col("prices").isNotNull() & (F.size("prices") > 0) & (F.size("prices") == n)
-    prices = F.when(listed, F.col("prices").cast("array<decimal(18,6)>")).otherwise(
-        F.array_repeat(share, n)
-    )
+    n, prices, first = F.col("n"), F.col("prices"), F.col("part") * _PART
+    listed = prices.isNotNull() & (F.size(prices) == n)
+    size = F.least(F.lit(_PART), n - first)
     kept = [c for c in ledger.columns if c in ("tenant_id", "entry_id")]
-    spread = entries.select(
-        *kept,
-        "event_name",
-        F.coalesce("entry_date", "show_date", F.lit(as_of)).alias("order_date"),
-        prices.alias("prices"),
-    ).repartition(_even_partitions(ledger))
-    return spread.select(
+    parts = (
+        entries.withColumn("n", F.col("tickets").cast("int"))
+        .filter(n > 0)
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / _PART).cast("int"))))
+        .select(
+            *kept,
+            "event_name",
+            F.coalesce("entry_date", "show_date", F.lit(as_of)).alias("order_date"),
+            size.alias("size"),
+            F.when(listed, F.slice(prices, first + 1, size)).cast(_PRICES).alias("own_prices"),
+            F.when(~listed, F.col("revenue_brl") / n).cast(S.PRICE).alias("share"),
+        )
+        .repartition(_even_partitions(ledger))
+    )
+    shares = F.array_repeat("share", F.col("size"))
+    return parts.select(
         *kept,
         "event_name",
         F.lit(C.VALID).alias("ticket_status"),
         F.lit(C.DOOR).alias("source"),
         "order_date",
-        F.explode("prices").alias("door_price"),
+        F.explode(F.coalesce("own_prices", shares)).alias("door_price"),
     )
 
 

@@ -105,6 +105,16 @@ door as (
   left join starts s on e.event_name = s.event_name
 )"""
 
+_STATEMENT = """
+with lines as (
+  select cast(event_id as varchar) as file, 11 as line_no, cast(ts as date) as sale_date,
+    round(value, 2) as amount from events where round(value, 2) > 0
+  union all
+  select cast(event_id as varchar), 12, cast(ts + interval 1 day as date),
+    cast(event_id % 100 as double) from events where event_id % 100 > 0
+)
+"""
+
 _COMPARISON = """
 online_side as (
   select event_name, count(*) as n, coalesce(sum(deal_price), 0) as cents
@@ -209,6 +219,69 @@ select
   (select count(*) from raw
    where ordered_at < timestamp '1999-01-01' or ordered_at is null) as n_existing
 """),
+        "ingest_pages": _with("""
+select event_name, count(ticket_id) as tickets, cast(sum(deal_price) as bigint) as revenue_cents,
+  count(*) filter (contact_newsletter_optin) as optins, min(order_date) as first_order
+from live group by event_name
+"""),
+        "page_chain_gaps": """
+with landed as (
+  select concat(l_orderkey, '-', l_linenumber) as cursor, count(*) as n from lineitem group by all
+),
+announced as (
+  select distinct concat(l_orderkey, '-', l_linenumber + 1) as cursor from lineitem
+)
+select cursor, 'missing' as problem from announced a
+where not exists (select 1 from landed l where l.cursor = a.cursor)
+union all
+select cursor, 'repeated' from landed where n > 1
+""",
+        "upsert_tickets": _with("""
+select distinct ticket_id from raw b
+where ordered_at >= timestamp '1998-07-01' and not exists (
+  select 1 from raw s where s.ticket_id = b.ticket_id
+  and (s.ordered_at < timestamp '1999-01-01' or s.ordered_at is null))
+"""),
+        "statement_sales": _STATEMENT + "select file, line_no, sale_date, amount from lines",
+        "statement_totals": _STATEMENT + """
+select file, count(*) as tickets,
+  cast(sum(cast(amount as decimal(18, 2))) as double) as revenue,
+  cast(count(*) as int) as n_prices, arg_min(amount, line_no) as first_price
+from lines group by file
+""",
+        "statement_by_date": _STATEMENT + """
+select file, sale_date, count(*) as tickets,
+  cast(sum(cast(amount as decimal(18, 2))) as double) as revenue,
+  cast(count(*) as int) as n_prices, arg_min(amount, line_no) as first_price
+from lines group by file, sale_date
+""",
+        "assign_statement_dates": _STATEMENT + """
+select concat('show ', isodow(sale_date) - 1) as event_name, count(*) as tickets,
+  cast(sum(cast(amount as decimal(18, 2))) * 100 as bigint) as revenue_cents
+from lines where isodow(sale_date) <> 7 group by all
+""",
+        "ledger": "with " + _RAW.strip() + "," + _TICKETS + "," + _LEDGER + """
+select entry_id, event_name, tickets, revenue_cents, entry_date,
+  case when entry_id % 3 = 0 then 'pagbank_csv' else 'manual' end as source,
+  cast(case when entry_id % 2 = 0 then tickets when entry_id % 9 = 0 then 1 else 0 end as int)
+    as n_prices
+from entries
+""",
+        "append_ledger": """
+select source, source in ('manual', 'pagbank_csv') and event_name is not null as accepted,
+  count(*) as entries
+from (
+  select case event_type when 'purchase' then 'manual' when 'view' then 'pagbank_csv'
+         else event_type end as source,
+    case when user_id % 10 <> 0 then user_id % 7 end as event_name
+  from events)
+group by all
+""",
+        "import_consolidated": _with("""
+select event_name, count(*) as tickets,
+  cast((sum(micros) + 5000) // 10000 as bigint) as revenue_cents
+from door group by event_name
+""", _LEDGER),
         "dataset_counts": _with("""
 select 'Shotgun' as source, count(*) as n_rows from tickets
 union all select 'Porta', count(*) from door

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +23,7 @@ from turnstile.operators import (
     universe,
 )
 from turnstile.session import configure
-from turnstile.sources import ingest, tables
+from turnstile.sources import csv, ingest, ledger, pages, statement, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -117,13 +117,153 @@ def _tenant_tickets(spark: SparkSession, directory: str) -> DataFrame:
     return mine.groupBy("event_name").agg(F.count(F.lit(1)).alias("tickets"))
 
 
-def _incremental(spark: SparkSession, directory: str) -> DataFrame:
+def _batch_and_stored(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    """A fetch that overlaps with what was stored before it by half a year."""
     configure(spark)
     rows = tables.tickets(spark, directory, "ticket_id", "ordered_at")
     ordered = F.col("ordered_at")
     stored = rows.filter(ordered.isNull() | (ordered < F.lit(date(1999, 1, 1))))
-    batch = rows.filter(ordered >= F.lit(date(1998, 7, 1)))
-    return ingest.incremental_counts(batch, stored)
+    return rows.filter(ordered >= F.lit(date(1998, 7, 1))).select("ticket_id"), stored
+
+
+def _incremental(spark: SparkSession, directory: str) -> DataFrame:
+    return ingest.incremental_counts(*_batch_and_stored(spark, directory))
+
+
+def _upsert(spark: SparkSession, directory: str) -> DataFrame:
+    return ingest.new_tickets(*_batch_and_stored(spark, directory))
+
+
+def _ingest_pages(spark: SparkSession, directory: str) -> DataFrame:
+    """Every ticket as JSON on a page, read back and summed per show."""
+    configure(spark)
+    columns = [*_SCOPE.split(), "ticket_id", "ordered_at", "deal_price", "contact_newsletter_optin"]
+    raw = pages.to_raw_json(tables.tickets(spark, directory, *columns))
+    landed = pages.pages(
+        raw.select(
+            F.col("ticket_id").alias("page_file"),
+            F.col("ticket_id").alias("cursor"),
+            F.array("raw").alias("data"),
+            F.struct(F.lit(None).cast("string").alias("next")).alias("pagination"),
+        )
+    )
+    parsed = pages.parsed(pages.records(landed).select("ticket_id", "raw"))
+    back = Tickets.from_raw(parsed.drop("raw"), AS_OF)
+    return (
+        kept(back, ALL)
+        .groupBy("event_name")
+        .agg(
+            F.count("ticket_id").alias("tickets"),
+            F.sum("deal_price_cents").alias("revenue_cents"),
+            F.count_if("contact_newsletter_optin").alias("optins"),
+            F.min("order_date").alias("first_order"),
+        )
+    )
+
+
+def _page_chain_gaps(spark: SparkSession, directory: str) -> DataFrame:
+    """Line items as pages: each announces the next line of its order."""
+    configure(spark)
+    host = "https://tickets.example.org/list?page_size=1"
+    lines = tables.table(spark, directory, "lineitem").selectExpr(
+        "cast(l_orderkey as string) as page_file",
+        "concat(l_orderkey, '-', l_linenumber) as cursor",
+        "array(l_returnflag) as data",
+        f"named_struct('next', concat('{host}&after=', l_orderkey, '-', l_linenumber + 1))"
+        " as pagination",
+    )
+    return pages.chain_gaps(pages.pages(lines))
+
+
+def _statements(spark: SparkSession, directory: str) -> DataFrame:
+    """A statement per event: two sales, one row of another kind and one refund."""
+    configure(spark)
+    preamble = "\\n".join(f"preamble {i}" for i in range(C.STATEMENT_PREAMBLE_LINES))
+    day, next_day = "date_format(ts, 'd/M/yyyy')", "date_format(ts + interval 1 day, 'dd/MM/yyyy')"
+    return tables.table(spark, directory, "events").selectExpr(
+        "cast(event_id as string) as file",
+        f"""concat('{preamble}', '\\n\\n Data , Tipo ,Entradas,Saldo\\n',
+            {day}, ',Vendas,', format_number(value, '0.00'), ',1\\n',
+            {next_day}, ', Vendas ,', event_id % 100, ',2\\r\\n',
+            {day}, ',', event_type, ',7.00,3\\n',
+            {day}, ',Vendas,-', event_id % 10, '.50,4\\n') as text""",
+    )
+
+
+def _statement_sales(spark: SparkSession, directory: str) -> DataFrame:
+    sold = statement.sales_in(_statements(spark, directory))
+    amount = F.col("amount").cast("double").alias("amount")
+    return sold.select("file", "line_no", "sale_date", amount)
+
+
+def _figures(df: DataFrame, *keys: str) -> DataFrame:
+    """Ledger figures with the price list as its length and its first price."""
+    return df.select(
+        *keys,
+        F.col("tickets").cast("long").alias("tickets"),
+        F.col("revenue_brl").cast("double").alias("revenue"),
+        F.size("prices").alias("n_prices"),
+        F.get("prices", 0).cast("double").alias("first_price"),
+    )
+
+
+def _statement_totals(spark: SparkSession, directory: str) -> DataFrame:
+    sold = statement.sales_in(_statements(spark, directory))
+    return _figures(statement.totals(sold), "file")
+
+
+def _statement_by_date(spark: SparkSession, directory: str) -> DataFrame:
+    sold = statement.sales_in(_statements(spark, directory))
+    return _figures(statement.by_date(sold), "file", "sale_date")
+
+
+def _assign_statement_dates(spark: SparkSession, directory: str) -> DataFrame:
+    """Dates of the statements go to the show of their weekday, Sundays to none."""
+    dated = statement.by_date(statement.sales_in(_statements(spark, directory)))
+    days = tables.table(spark, directory, "events").selectExpr(
+        "explode(array(cast(ts as date), cast(ts as date) + 1)) as sale_date"
+    )
+    weekday = F.weekday("sale_date")
+    show = F.when(weekday == 6, C.IGNORED_SHOW).otherwise(F.concat(F.lit("show "), weekday))
+    assignments = days.distinct().select("sale_date", show.alias("event_name"))
+    entries = statement.assigned_entries(dated, assignments, "1", datetime(2024, 1, 1))
+    return door.door_totals(entries)
+
+
+def _ledger(spark: SparkSession, directory: str) -> DataFrame:
+    configure(spark)
+    cents = (F.col("revenue_brl") * 100).cast("long").alias("revenue_cents")
+    n_prices = F.coalesce(F.size("prices"), F.lit(0)).alias("n_prices")
+    entries = tables.ledger(spark, directory)
+    return entries.select(
+        "entry_id", "event_name", "tickets", cents, "entry_date", "source", n_prices
+    )
+
+
+def _append_ledger(spark: SparkSession, directory: str) -> DataFrame:
+    """Every event offered to the ledger, with its type as the origin of all but two types."""
+    configure(spark)
+    offered = tables.table(spark, directory, "events").selectExpr(
+        "case when user_id % 10 <> 0 then concat('show ', user_id % 7) end as event_name",
+        "1 as tickets",
+        "value as revenue_brl",
+        "case event_type when 'purchase' then 'manual' when 'view' then 'pagbank_csv' "
+        "else event_type end as source",
+    )
+    accepted, rejected = ledger.split_rejected(ledger.conform(offered))
+    both = accepted.select("source", F.lit(True).alias("accepted")).unionByName(
+        rejected.select("source", F.lit(False).alias("accepted"))
+    )
+    return both.groupBy("source", "accepted").agg(F.count(F.lit(1)).alias("entries"))
+
+
+def _import_consolidated(spark: SparkSession, directory: str) -> DataFrame:
+    """Door totals after both channels went through one consolidated frame."""
+    both = _both(spark, directory, f"{_SCOPE} deal_price", bounded=False)
+    _, entries = csv.split_consolidated(
+        kept(both, Filters.of(channels=[C.ONLINE, C.DOOR])), AS_OF, "1", datetime(2024, 1, 1)
+    )
+    return door.door_totals(entries)
 
 
 def _both(spark: SparkSession, directory: str, columns: str, bounded: bool) -> Tickets:
@@ -176,7 +316,17 @@ def queries() -> dict[str, Query]:
     return {
         # Sources and channels.
         "tenant_tickets": _tenant_tickets,
+        "ingest_pages": _ingest_pages,
+        "page_chain_gaps": _page_chain_gaps,
         "incremental_new_tickets": _incremental,
+        "upsert_tickets": _upsert,
+        "statement_sales": _statement_sales,
+        "statement_totals": _statement_totals,
+        "statement_by_date": _statement_by_date,
+        "assign_statement_dates": _assign_statement_dates,
+        "ledger": _ledger,
+        "append_ledger": _append_ledger,
+        "import_consolidated": _import_consolidated,
         "dataset_counts": _dataset_counts,
         # Row-level normalisation.
         "norm_timestamps": _normalised(

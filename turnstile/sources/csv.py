@@ -49,13 +49,19 @@ def import_consolidated(
     added_at: datetime,
     multi_line: bool = True,
 ) -> tuple[Tickets, DataFrame]:
-    """(online tickets, door ledger entries) of a consolidated CSV.
+    """(online tickets, door ledger entries) of a consolidated CSV."""
+    return split_consolidated(_read(spark, path, multi_line), as_of, tenant, added_at)
+
+
+def split_consolidated(
+    rows: DataFrame, as_of: date | datetime, tenant: str, added_at: datetime
+) -> tuple[Tickets, DataFrame]:
+    """(online tickets, door ledger entries) of consolidated rows.
 
     Door rows of a show become ledger entries with their price list. The lists are
     cut at a fixed length by position in the file, so a show that holds most of the
     door sales becomes several entries with the same totals, not one huge row.
     """
-    rows = _read(spark, path, multi_line)
     if "source" not in rows.columns:
         raise ValueError("not a consolidated file: no column 'source'")
     online = rows.filter(F.col("source") == C.ONLINE).drop("source")

@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from turnstile import schema as S
 from turnstile.functions.normalise import decimal_cents
 
+NO_ID = "no ticket_id"
+FRACTIONAL = "fractional cents"
+
 
 def of_tenant(rows: DataFrame, tenant) -> DataFrame:
     """The rows of one tenant; a partition filter where the table is laid out by tenant."""
     return rows.filter(F.col("tenant_id") == F.lit(tenant))
 
 
-def split_rejected(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): a ticket without id has no key, a fractional cent no exact amount."""
+def reject_reason(batch: DataFrame) -> Column:
+    """Why a record cannot be stored, or null: it needs a key and whole cents."""
     dtypes = {f.name: f.dataType for f in batch.schema.fields}
     no_id = F.col("ticket_id").isNull() if "ticket_id" in dtypes else F.lit(True)
     fractional = F.lit(False)
@@ -23,8 +26,12 @@ def split_rejected(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         if name in dtypes:
             amount = decimal_cents(F.col(name), dtypes[name])
             fractional = fractional | F.coalesce(amount != F.bround(amount), F.lit(False))
-    reason = F.when(no_id, "no ticket_id").when(fractional, "fractional cents")
-    marked = batch.withColumn("reject_reason", reason)
+    return F.when(no_id, NO_ID).when(fractional, FRACTIONAL)
+
+
+def split_rejected(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected), the rejected ones with their reason."""
+    marked = batch.withColumn("reject_reason", reject_reason(batch))
     return (
         marked.filter(F.col("reject_reason").isNull()).drop("reject_reason"),
         marked.filter(F.col("reject_reason").isNotNull()),

@@ -17,43 +17,48 @@ PAGE = "cursor string, data array<string>, pagination struct<next: string>"
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """One row per landed page."""
-    return with_next_cursor(spark.read.schema(PAGE).json(path, multiLine=True))
+    return landed(spark.read.schema(PAGE).json(path, multiLine=True))
 
 
-def with_next_cursor(pages: DataFrame) -> DataFrame:
+def landed(files: DataFrame) -> DataFrame:
+    """Pages of a batch or stream of page files."""
+    return pages(files.select(F.col("_metadata.file_path").alias("page_file"), "*"))
+
+
+def pages(rows: DataFrame) -> DataFrame:
     """Page file, its own cursor, its tickets and the cursor of the page after it."""
     following = F.try_parse_url(F.col("pagination.next"), F.lit("QUERY"), F.lit("after"))
-    return pages.select(
-        F.col("_metadata.file_path").alias("page_file"),
+    return rows.select(
+        "page_file",
         "cursor",
         F.coalesce("data", F.array().cast("array<string>")).alias("data"),
         following.alias("next_cursor"),
     )
 
 
-def records(pages: DataFrame) -> DataFrame:
+def records(page_rows: DataFrame) -> DataFrame:
     """One row per ticket with its id, its JSON text and where it stood."""
-    rows = pages.select("page_file", F.posexplode("data").alias("position", "raw"))
+    rows = page_rows.select("page_file", F.posexplode("data").alias("position", "raw"))
     ticket_id = F.get_json_object("raw", "$.ticket_id")
     return rows.select(ticket_id.alias("ticket_id"), "raw", "page_file", "position")
 
 
-def chain_gaps(pages: DataFrame) -> DataFrame:
+def chain_gaps(page_rows: DataFrame) -> DataFrame:
     """Cursors that were announced but never landed, or landed more than once.
 
     An empty page ends the chain, whatever it announces. Announced and landed
     cursors are counted side by side, so one shuffle answers both questions.
     """
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    announced = pages.filter((F.size("data") > 0) & F.col("next_cursor").isNotNull()).select(
+    announced = page_rows.filter((F.size("data") > 0) & F.col("next_cursor").isNotNull()).select(
         F.col("next_cursor").alias("cursor"), one.alias("announced"), none.alias("landed")
     )
-    landed = pages.filter(F.col("cursor").isNotNull()).select(
+    arrived = page_rows.filter(F.col("cursor").isNotNull()).select(
         "cursor", none.alias("announced"), one.alias("landed")
     )
     problem = F.when(F.col("landed") == 0, "missing").when(F.col("landed") > 1, "repeated")
     return (
-        announced.unionByName(landed)
+        announced.unionByName(arrived)
         .groupBy("cursor")
         .agg(F.sum("announced").alias("announced"), F.sum("landed").alias("landed"))
         .select("cursor", problem.alias("problem"))

@@ -34,18 +34,24 @@ def _amount(cell: Column, decimal_comma: bool) -> Column:
 
 
 def sales(spark: SparkSession, path: str, decimal_comma: bool = False) -> DataFrame:
-    """One row per sale: file, line number, date, amount.
+    """The sales of the statement files under ``path``."""
+    files = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")
+    )
+    return sales_in(files, decimal_comma)
+
+
+def sales_in(statements: DataFrame, decimal_comma: bool = False) -> DataFrame:
+    """One row per sale of the statements (file, text): file, line number, date, amount.
 
     Sales have the sale type, a positive amount and a valid date; everything else
     in the statement is left out.
     """
-    lines = F.split(F.col("value"), "\r\n|\n|\r", -1)
+    lines = F.split(F.col("text"), "\r\n|\n|\r", -1)
     filled = lambda line: F.trim(line) != ""
     files = (
-        spark.read.text(path, wholetext=True)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.slice(lines, C.STATEMENT_PREAMBLE_LINES + 1, F.size(lines)).alias("body"),
+        statements.select(
+            "file", F.slice(lines, C.STATEMENT_PREAMBLE_LINES + 1, F.size(lines)).alias("body")
         )
         .select("file", "body", F.get(F.filter("body", filled), 0).alias("header_line"))
         .select("file", "body", F.transform(_cells(F.col("header_line")), strip).alias("header"))

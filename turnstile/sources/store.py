@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from datetime import date, datetime
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +39,7 @@ def checked_tenant(tenant: str) -> str:
 
 
 def typed(records: DataFrame, fetched_at: datetime) -> DataFrame:
-    """Records (ticket_id, raw) with the store's columns."""
+    """Records (ticket_id, raw) with the store's columns and, where refused, the reason."""
     rows = pages.parsed(records.select("ticket_id", "raw"))
     flag = N.optin(F.col("contact_newsletter_optin"), _TEXT)
     columns = [F.col(c) for c in ("ticket_id", "raw", *S.TEXT[1:])]
@@ -48,6 +49,7 @@ def typed(records: DataFrame, fetched_at: datetime) -> DataFrame:
         N.local_timestamp(F.col("contact_birthday"), _TEXT).alias("contact_birthday"),
         flag.alias("contact_newsletter_optin"),
         F.lit(fetched_at).alias("fetched_at"),
+        ingest.reject_reason(rows).alias("reject_reason"),
     ]
     return rows.select(*columns)
 
@@ -86,45 +88,63 @@ class TicketStore:
     ) -> dict[str, int]:
         """Add the records (ticket_id, raw) whose id is unknown; return the two counts.
 
-        Rejected records go to the ``quarantine`` folder. With ``refresh`` the batch
-        also replaces stored rows of the same id. Running a batch again adds nothing.
+        Ids are compared before the JSON is parsed, so what is known already costs no
+        parsing. Refused records go to the ``quarantine`` folder. With ``refresh`` the
+        batch also replaces stored rows of the same id. Running a batch again adds
+        nothing.
         """
         stored = self.rows(tenant)
-        accepted, rejected = ingest.split_rejected(
-            pages.parsed(records.select("ticket_id", "raw", *_position(records)))
-        )
-        if quarantine is not None:
-            rejected.select("ticket_id", "raw", "reject_reason").write.mode("append").parquet(
-                quarantine
-            )
-        keep = ["ticket_id", "raw", *_position(records)]
-        order = F.struct(*_position(records)) if _position(records) else None
+        position = [c for c in ("page_file", "position") if c in records.columns]
+        order = F.struct(*position) if position else None
+        keyed = records.select("ticket_id", "raw", *position)
+        with_id = keyed.filter(F.col("ticket_id").isNotNull())
         n_existing = stored.count()
-        seen = Observation()
-        fresh = ingest.new_tickets(accepted.select(*keep), stored, order)
-        new = typed(fresh, fetched_at).observe(seen, F.count(F.lit(1)).alias("n_new"))
-        if not refresh:
-            new.write.mode("append").parquet(self._folder(tenant))
-            return {"n_new": seen.get["n_new"], "n_existing": n_existing}
-        n_new = new.count()
-        batch = ingest.one_per_id(accepted.select(*keep), order)
+
+        new = typed(ingest.new_tickets(with_id, stored, order), fetched_at)
+        written = new
+        if refresh:
+            batch = typed(ingest.one_per_id(with_id, order), fetched_at)
+            known = stored.select("ticket_id", F.lit(True).alias("known"))
+            written = batch.join(known, "ticket_id", "left")
+        read_again = refresh or quarantine is not None
+        if read_again:
+            # Lost blocks are computed again from the batch and the store as listed above.
+            written = written.persist(StorageLevel.DISK_ONLY)
+        try:
+            accepted = written.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+            if refresh:
+                n_new = accepted.filter(F.col("known").isNull()).count()
+                self._replace(tenant, stored, accepted.drop("known"))
+            else:
+                seen = Observation()
+                accepted = accepted.observe(seen, F.count(F.lit(1)).alias("n_new"))
+                accepted.write.mode("append").parquet(self._folder(tenant))
+                n_new = seen.get["n_new"]
+            if quarantine is not None:
+                nameless = keyed.filter(F.col("ticket_id").isNull()).select(
+                    "ticket_id", "raw", F.lit(ingest.NO_ID).alias("reject_reason")
+                )
+                refused = written.filter(F.col("reject_reason").isNotNull())
+                refused.select("ticket_id", "raw", "reject_reason").unionByName(
+                    nameless
+                ).write.mode("append").parquet(quarantine)
+        finally:
+            if read_again:
+                written.unpersist()
+        return {"n_new": n_new, "n_existing": n_existing}
+
+    def _replace(self, tenant: str, stored: DataFrame, batch: DataFrame) -> None:
+        """Write the tenant's partition anew: the batch, and stored rows it does not have."""
         untouched = stored.join(batch.select("ticket_id"), "ticket_id", "left_anti")
-        merged = untouched.unionByName(
-            typed(batch, fetched_at).withColumn("tenant_id", F.lit(tenant))
-        )
+        merged = untouched.unionByName(batch.withColumn("tenant_id", F.lit(tenant)))
         (
             merged.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("tenant_id")
             .parquet(self.path)
         )
-        return {"n_new": n_new, "n_existing": n_existing}
 
     def clear(self, tenant: str) -> None:
         """Drop the tenant's rows by writing an empty partition in their place."""
         empty = self.spark.createDataFrame([], SCHEMA)
         empty.write.mode("overwrite").parquet(self._folder(tenant))
-
-
-def _position(records: DataFrame) -> list[str]:
-    return [c for c in ("page_file", "position") if c in records.columns]

@@ -35,7 +35,7 @@ def start(
         if shared is None:
             raise ValueError("no checkpoint given and spark.checkpoint.dir is not set")
         checkpoint = f"{shared}/page_stream/{checked_tenant(tenant)}"
-    landed = (
+    files = (
         spark.readStream.schema(pages.PAGE)
         .option("multiLine", True)
         .option("maxFilesPerTrigger", max_files_per_trigger)
@@ -48,7 +48,7 @@ def start(
             on_counts(counts)
 
     return (
-        pages.with_next_cursor(landed)
+        pages.landed(files)
         .writeStream.foreachBatch(into_store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
