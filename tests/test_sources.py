@@ -355,3 +355,32 @@ def test_stream_needs_a_shared_folder(spark, folder):
     if spark.conf.get("spark.checkpoint.dir", None) is None:
         with pytest.raises(ValueError):
             page_stream.start(spark, folder, TicketStore(spark, folder), "t1")
+
+
+# Published tickets --------------------------------------------------------------
+
+
+def test_published_tickets_answer_alike_and_push_filters_down(spark, folder):
+    from test_plans import _plan
+
+    from turnstile.operators import kpi
+    from turnstile.plans import queries
+    from turnstile.sources import published
+
+    columns = (
+        "ticket_id event_name ticket_status ordered_at contact_id deal_price ticket_scanned_at "
+        "contact_newsletter_optin"
+    )
+    given = queries.load(spark, SMALL, columns)
+    published.publish(given, f"{folder}/tickets", files=4)
+    back = published.open_published(spark, f"{folder}/tickets")
+    assert back.present == given.present - {"deal_price"}
+    assert not back.has("utm_source") and back.rows.columns
+    for f in (queries.ALL, queries.DATED):
+        assert rows_of(kpi.headline(back, f)) == rows_of(kpi.headline(given, f))
+    plan = _plan(kpi.headline(back, queries.DATED), "formatted")
+    pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)
+    assert "event_name" in pushed
+    plan = _plan(revenue.by_show(back, queries.DATED), "formatted")
+    pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)
+    assert "In(event_name" in pushed and "GreaterThanOrEqual(ordered_at" in pushed

@@ -57,12 +57,14 @@ class Filters:
         return names.distinct().limit(2).count() > 1
 
 
+# The predicates below may be null where a name or channel is; a null counts as false in
+# filters and conditional counts alike. Left bare, they can be pushed down to the scan.
+
+
 def in_selection(f: Filters) -> Column:
-    """Show selected; never null, so that it can be counted as well as filtered on."""
+    """Show selected."""
     name = F.col("event_name")
-    if not f.events:
-        return name.isNotNull()
-    return F.coalesce(name.isin(list(f.events)), F.lit(False))
+    return name.isin(list(f.events)) if f.events else name.isNotNull()
 
 
 def in_kept(f: Filters, tickets: Tickets) -> Column:
@@ -70,17 +72,26 @@ def in_kept(f: Filters, tickets: Tickets) -> Column:
     kept = (
         in_selection(f)
         & ~F.col("ticket_status").eqNullSafe(C.CANCELED)
-        & F.coalesce(F.col("source").isin(list(f.channels)), F.lit(False))
+        & F.col("source").isin(list(f.channels))
     )
     if f.date_range and tickets.has("order_date"):
-        low, high = f.date_range
-        between = F.col("order_date").between(F.lit(low), F.lit(high))
-        kept = kept & F.coalesce(between, F.lit(False))
+        kept = kept & _within(*f.date_range, tickets)
     return kept
 
 
+def _within(low: date, high: date, tickets: Tickets) -> Column:
+    """Order date between two days, both included."""
+    if tickets.has_door:
+        return F.col("order_date").between(F.lit(low), F.lit(high))
+    # Online tickets have a moment, whose bounds a scan can use.
+    ordered = F.col("ordered_at")
+    first = F.lit(low).cast("timestamp")
+    after = F.date_add(F.lit(high), 1).cast("timestamp")
+    return (ordered >= first) & (ordered < after)
+
+
 def is_online() -> Column:
-    return F.coalesce(F.col("source") == C.ONLINE, F.lit(False))
+    return F.col("source") == C.ONLINE
 
 
 def selected(tickets: Tickets, f: Filters) -> DataFrame:

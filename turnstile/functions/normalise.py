@@ -178,8 +178,12 @@ def normalise(
         known["source"] = F.lit(channel)
     as_is = [c for c in raw.columns if c not in known and c not in S.MONEY]
     clean = raw.select(*as_is, *[col.alias(name) for name, col in known.items()])
+    return with_fillers(clean), frozenset(raw.columns) | frozenset(known)
+
+
+def with_fillers(df: DataFrame) -> DataFrame:
+    """Add typed nulls for the columns a metric may name and ``df`` lacks."""
     missing = [
-        T.StructField(name, dtype) for name, dtype in _FILLERS.items() if name not in clean.columns
+        T.StructField(name, dtype) for name, dtype in _FILLERS.items() if name not in df.columns
     ]
-    rows = clean.to(T.StructType([*clean.schema.fields, *missing]))
-    return rows, frozenset(raw.columns) | frozenset(known)
+    return df.to(T.StructType([*df.schema.fields, *missing]))

@@ -250,11 +250,10 @@ def _append_ledger(spark: SparkSession, directory: str) -> DataFrame:
         "case event_type when 'purchase' then 'manual' when 'view' then 'pagbank_csv' "
         "else event_type end as source",
     )
-    accepted, rejected = ledger.split_rejected(ledger.conform(offered))
-    both = accepted.select("source", F.lit(True).alias("accepted")).unionByName(
-        rejected.select("source", F.lit(False).alias("accepted"))
+    entries = ledger.conform(offered)
+    return entries.groupBy("source", ledger.is_valid().alias("accepted")).agg(
+        F.count(F.lit(1)).alias("entries")
     )
-    return both.groupBy("source", "accepted").agg(F.count(F.lit(1)).alias("entries"))
 
 
 def _import_consolidated(spark: SparkSession, directory: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstile import constants as C
@@ -21,15 +21,14 @@ def conform(entries: DataFrame) -> DataFrame:
     return entries.select(*columns)
 
 
-def split_rejected(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) by the table's constraints: known origin, no null key figures."""
-    valid = (
+def is_valid() -> Column:
+    """The table's constraints: a known origin and no null key figures."""
+    return (
         F.coalesce(F.col("source").isin(C.LEDGER_ORIGINS), F.lit(False))
         & F.col("event_name").isNotNull()
         & F.col("tickets").isNotNull()
         & F.col("revenue_brl").isNotNull()
     )
-    return entries.filter(valid), entries.filter(~valid)
 
 
 class LedgerStore:
@@ -44,10 +43,9 @@ class LedgerStore:
     def append(self, tenant: str, entries: DataFrame, quarantine: str | None = None) -> None:
         """Append the valid entries; the others go to the ``quarantine`` folder."""
         mine = conform(entries).withColumn("tenant_id", F.lit(checked_tenant(tenant)))
-        accepted, rejected = split_rejected(mine)
-        accepted.write.mode("append").partitionBy("tenant_id").parquet(self.path)
+        mine.filter(is_valid()).write.mode("append").partitionBy("tenant_id").parquet(self.path)
         if quarantine is not None:
-            rejected.write.mode("append").parquet(quarantine)
+            mine.filter(~is_valid()).write.mode("append").parquet(quarantine)
 
     def load(self, tenant: str) -> DataFrame:
         """The tenant's entries in the order they were added; an empty price list is none."""

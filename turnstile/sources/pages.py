@@ -46,19 +46,22 @@ def records(page_rows: DataFrame) -> DataFrame:
 def chain_gaps(page_rows: DataFrame) -> DataFrame:
     """Cursors that were announced but never landed, or landed more than once.
 
-    An empty page ends the chain, whatever it announces. Announced and landed
-    cursors are counted side by side, so one shuffle answers both questions.
+    An empty page ends the chain, whatever it announces. Every page yields both of
+    its cursors, so one scan and one shuffle answer both questions.
     """
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    announced = page_rows.filter((F.size("data") > 0) & F.col("next_cursor").isNotNull()).select(
-        F.col("next_cursor").alias("cursor"), one.alias("announced"), none.alias("landed")
-    )
-    arrived = page_rows.filter(F.col("cursor").isNotNull()).select(
-        "cursor", none.alias("announced"), one.alias("landed")
-    )
+    def mark(cursor, announced: int, landed: int):
+        return F.struct(
+            cursor.alias("cursor"),
+            F.lit(announced).cast("long").alias("announced"),
+            F.lit(landed).cast("long").alias("landed"),
+        )
+
+    following = F.when(F.size("data") > 0, F.col("next_cursor"))
+    marks = F.array(mark(F.col("cursor"), 0, 1), mark(following, 1, 0))
     problem = F.when(F.col("landed") == 0, "missing").when(F.col("landed") > 1, "repeated")
     return (
-        announced.unionByName(arrived)
+        page_rows.select(F.inline(marks))
+        .filter(F.col("cursor").isNotNull())
         .groupBy("cursor")
         .agg(F.sum("announced").alias("announced"), F.sum("landed").alias("landed"))
         .select("cursor", problem.alias("problem"))
