@@ -72,8 +72,8 @@ def chain_gaps(page_rows: DataFrame) -> DataFrame:
 def parsed(rows: DataFrame) -> DataFrame:
     """The known fields of the JSON text next to the other columns, still as text."""
     kept = [c for c in rows.columns if c not in S.RAW_TICKET.fieldNames() and c != "raw"]
-    ticket = F.from_json("raw", S.RAW_TICKET)
-    flat = rows.select(*kept, "raw", ticket.alias("ticket")).select(*kept, "raw", "ticket.*")
+    # Unpacked by a generator: filters on the fields stay above it and do not parse again.
+    flat = rows.select(*kept, "raw", F.inline(F.array(F.from_json("raw", S.RAW_TICKET))))
     # A JSON flag arrives as lower-case text, a quoted one as it was written.
     flag = F.col("contact_newsletter_optin")
     return flat.withColumn(

@@ -20,10 +20,13 @@ _COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
 def _cells(line: Column) -> Column:
-    bare = lambda cell: F.regexp_replace(
-        F.regexp_replace(cell, '^"([\\s\\S]*)"$', "$1"), '""', '"'
-    )
-    return F.transform(F.split(line, _COMMA, -1), bare)
+    """The cells of a CSV line; only a line with quotes needs the slow way."""
+
+    def bare(cell: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(cell, '^"([\\s\\S]*)"$', "$1"), '""', '"')
+
+    quoted = F.transform(F.split(line, _COMMA, -1), bare)
+    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ",", -1))
 
 
 def _amount(cell: Column, decimal_comma: bool) -> Column:
@@ -56,16 +59,11 @@ def sales_in(statements: DataFrame, decimal_comma: bool = False) -> DataFrame:
         .select("file", "body", F.get(F.filter("body", filled), 0).alias("header_line"))
         .select("file", "body", F.transform(_cells(F.col("header_line")), strip).alias("header"))
     )
-    numbered = (
-        files.select("file", "header", F.posexplode("body").alias("offset", "line"))
-        .filter(filled(F.col("line")))
-        .select(
-            "file",
-            "header",
-            (F.col("offset") + C.STATEMENT_PREAMBLE_LINES + 1).alias("line_no"),
-            _cells(F.col("line")).alias("cells"),
-        )
+    # Cut up inside the generator: filters on the cells stay above it and do not cut again.
+    numbered = files.select(
+        "file", "header", F.posexplode(F.transform("body", _cells)).alias("offset", "cells")
     )
+    line_no = (F.col("offset") + C.STATEMENT_PREAMBLE_LINES + 1).alias("line_no")
 
     def named(column: str) -> Column:
         place = F.array_position("header", column)
@@ -75,7 +73,7 @@ def sales_in(statements: DataFrame, decimal_comma: bool = False) -> DataFrame:
     return (
         numbered.select(
             "file",
-            "line_no",
+            line_no,
             strip(named(C.STATEMENT_TYPE)).alias("kind"),
             F.to_date(F.try_to_timestamp(date_text, F.lit(C.STATEMENT_DATE_PATTERN))).alias(
                 "sale_date"
