@@ -109,6 +109,13 @@ def test_headline_cancellation_ignores_dates(spark):
     assert out["optin_pct"] == 50.0
 
 
+def test_headline_can_estimate_buyers(spark):
+    t = tickets(spark, "event_name contact_id", [("a", f"b{i}") for i in range(200)])
+    exact = kpi.headline(t, ANY).first()["buyers"]
+    assert exact == 200
+    assert kpi.headline(t, ANY, approximate=True).first()["buyers"] == pytest.approx(200, rel=0.15)
+
+
 # Sales --------------------------------------------------------------------------
 
 

@@ -58,6 +58,12 @@ def test_bad_next_url_is_no_cursor(spark, folder):
     assert pages.read_pages(spark, folder).first()["next_cursor"] is None
 
 
+def test_broken_json_is_a_record_without_fields(spark):
+    rows = spark.createDataFrame([("1", "{broken"), ("2", '{"ticket_id": 2}')], "id string, raw string")
+    out = rows_of(pages.parsed(rows), "id", "ticket_id", "raw")
+    assert out == [("1", None, "{broken"), ("2", "2", '{"ticket_id": 2}')]
+
+
 def test_raw_json_has_no_nan_and_iso_times(spark):
     df = spark.createDataFrame(
         [("1", float("nan"), float("inf"), 1.5, at("2024-01-02T03:04:05"), None)],

@@ -223,6 +223,12 @@ select
 select event_name, count(ticket_id) as tickets, cast(sum(deal_price) as bigint) as revenue_cents,
   count(*) filter (contact_newsletter_optin) as optins, min(order_date) as first_order
 from live group by event_name
+"""),
+        "to_raw_json": _with("""
+select ticket_id, strftime(ordered_at, '%Y-%m-%dT%H:%M:%S') || '+00:00' as ordered_at,
+  cast(deal_price as varchar) as deal_price, utm_source,
+  cast(contact_birthday as varchar) as contact_birthday
+from raw
 """),
         "page_chain_gaps": """
 with landed as (

@@ -161,6 +161,16 @@ def _ingest_pages(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def _to_raw_json(spark: SparkSession, directory: str) -> DataFrame:
+    """Every ticket as JSON text, and some of the texts in it."""
+    configure(spark)
+    columns = ["ticket_id", "ordered_at", "deal_price", "utm_source", "contact_birthday"]
+    raw = pages.to_raw_json(tables.tickets(spark, directory, *columns))
+    return raw.select(
+        "ticket_id", *[F.get_json_object("raw", f"$.{c}").alias(c) for c in columns[1:]]
+    )
+
+
 def _page_chain_gaps(spark: SparkSession, directory: str) -> DataFrame:
     """Line items as pages: each announces the next line of its order."""
     configure(spark)
@@ -316,6 +326,7 @@ def queries() -> dict[str, Query]:
         # Sources and channels.
         "tenant_tickets": _tenant_tickets,
         "ingest_pages": _ingest_pages,
+        "to_raw_json": _to_raw_json,
         "page_chain_gaps": _page_chain_gaps,
         "incremental_new_tickets": _incremental,
         "upsert_tickets": _upsert,

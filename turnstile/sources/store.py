@@ -100,7 +100,10 @@ class TicketStore:
         with_id = keyed.filter(F.col("ticket_id").isNotNull())
         n_existing = stored.count()
 
-        new = typed(ingest.new_tickets(with_id, stored, order), fetched_at)
+        # A fetch is small beside the store: looked up in it first, its ids can be broadcast
+        # where Spark finds them small, and the store's ids are then read but not shuffled.
+        met = stored.select("ticket_id").join(with_id.select("ticket_id"), "ticket_id", "left_semi")
+        new = typed(ingest.new_tickets(with_id, met, order), fetched_at)
         written = new
         if refresh:
             batch = typed(ingest.one_per_id(with_id, order), fetched_at)
