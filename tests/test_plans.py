@@ -3,6 +3,7 @@
 import contextlib
 import io
 import re
+import time
 
 import pytest
 from conftest import SMALL
@@ -85,3 +86,31 @@ def test_order_of_rows_does_not_matter(spark, name, monkeypatch):
 
     monkeypatch.setattr(registry.tables, "tickets", shuffled)
     assert rows_of(contract.queries()[name](spark, SMALL)) == usual
+
+
+def test_one_distinct_column_does_not_multiply_rows(spark):
+    assert "Expand" not in _plan(contract.queries()["kpis"](spark, SMALL))
+
+
+def _scans_that_ran(spark, df, table: str) -> int:
+    """Scans of a table in the final plan; copies that were reused do not appear there."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    df.write.format("noop").mode("overwrite").save()
+    for _ in range(50):
+        runs = store.executionsList()
+        last = runs.apply(runs.size() - 1)
+        if store.executionsCount() > before and last.completionTime().isDefined():
+            break
+        time.sleep(0.1)
+    nodes = store.planGraph(last.executionId()).allNodes()
+    found = [nodes.apply(i) for i in range(nodes.size())]
+    return sum(n.name().startswith("Scan parquet") and table in n.desc() for n in found)
+
+
+@pytest.mark.parametrize(
+    "name", ["channel_by_medium", "channel_by_show", "category_mix", "kpis", "compare_leave_one_out"]
+)
+def test_lines_are_scanned_once(spark, name):
+    df = contract.queries()[name](spark, SMALL)
+    assert _scans_that_ran(spark, df, "lineitem.parquet") == 1
