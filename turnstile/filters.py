@@ -53,8 +53,11 @@ class Filters:
         """More than one show selected; only an open selection has to look at the data."""
         if self.events:
             return len(self.events) > 1
-        names = tickets.rows.select("event_name").filter(F.col("event_name").isNotNull())
-        return names.distinct().limit(2).count() > 1
+        # Two looks that each stop at the first hit, rather than a distinct over everything.
+        name = F.col("event_name")
+        names = tickets.rows.select(name).filter(name.isNotNull())
+        first = names.first()
+        return first is not None and not names.filter(name != first[0]).isEmpty()
 
 
 # The predicates below may be null where a name or channel is; a null counts as false in

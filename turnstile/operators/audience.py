@@ -24,10 +24,10 @@ def unique_buyers(tickets: Tickets, f: Filters, *columns: str) -> DataFrame:
     An aggregate rather than a ranking, so every task shrinks its rows to one per
     buyer before the shuffle, however many tickets a single buyer holds.
     """
-    rows = tickets.rows if not tickets.has("contact_id") else tickets.require("contact_id")
-    picked = [c for c in (columns or rows.columns) if c != "contact_id"]
     sales = kept_online(tickets, f)
+    picked = [c for c in (columns or sales.columns) if c != "contact_id"]
     if not tickets.has("contact_id"):
+        # Without buyers every ticket stands for itself.
         return sales.select("contact_id", *picked)
     first = F.min_by(F.struct(*picked), _earliest())
     return sales.groupBy("contact_id").agg(first.alias("first")).select("contact_id", "first.*")

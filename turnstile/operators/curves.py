@@ -63,5 +63,5 @@ def choose_axis(kept_rows: DataFrame, tickets: Tickets) -> str:
     """Days until the show wherever any start time is known; one small job decides."""
     if not tickets.has("event_start_time"):
         return SINCE_FIRST
-    known = kept_rows.filter(F.col("event_start_time").isNotNull()).select(F.lit(1))
-    return UNTIL if known.limit(1).count() else SINCE_FIRST
+    known = kept_rows.filter(F.col("event_start_time").isNotNull()).select("event_start_time")
+    return SINCE_FIRST if known.isEmpty() else UNTIL
