@@ -6,9 +6,10 @@ The method takes two savings from set relations:
   by frequency) and only its prefix is indexed: two similar sets share a shingle there. Index lists are cut into
   blocks of set size and relative position. A probe visits the blocks whose sizes and positions can still reach the
   needed overlap; it never reads the others.
-* **Answers derive from a similar set's answers.** Equal sets are one node. Each node is first compared with its
-  closest candidate only, by parity bitmaps. What those comparisons link already has its answer, so of the other
-  candidates only those between groups that are still apart are compared.
+* **Answers derive from a similar set's answers.** Equal sets are one node. Each list has a leader, the set that holds
+  its shingle first. A set is first compared with the closest leader of its lists only. What those comparisons link
+  has its answer, so lists are probed again only across groups that are still apart: near copies of one text meet
+  its leader, not each other.
 
 Comparisons are exact, on whole sets. A bitmap only discards a pair whose symmetric difference it proves too large.
 Frequent shingles are found in runs of documents and only shape the order: any order gives the same links.
@@ -28,12 +29,15 @@ from turnstile.llm.common import in_batches, slices, strings, written
 from turnstile.llm.shingles import mix, shingle_sets
 
 _U = np.uint64
+#: Fewest cells of a bitmap.
 _BITMAP_BITS = 1024
 _RUN_DOCS = 4096
 _RUN_REPEATS = 8
 #: At most so many shingles are put last for being frequent (16 bytes each are sent to every task).
 FREQUENT_LIMIT = 100_000
 _POSITION_BLOCKS = 20
+#: Up to so many ids (8 bytes each) are broadcast to fetch texts; more are joined by shuffling.
+BROADCAST_IDS = 1_000_000
 
 
 def _fingerprint(s: np.ndarray) -> int:
@@ -43,9 +47,10 @@ def _fingerprint(s: np.ndarray) -> int:
 
 
 def _bitmap(s: np.ndarray) -> np.ndarray:
-    """Parity of the set's shingles in each of `_BITMAP_BITS` cells."""
-    odd = np.bincount((s >> _U(54)).astype(np.int64), minlength=_BITMAP_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    """Parity of the set's shingles in each of at least as many cells as it has shingles (a power of two)."""
+    cells = max(_BITMAP_BITS, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & _U(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 _NODE_SCHEMA = "doc_id long, n int, fp long, bits array<long>, repeats int"
@@ -127,17 +132,17 @@ def _size_block(n: Column, percent: int) -> Column:
 
 
 def _candidates(index: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets that meet in a block which can hold an answer; (a, b) with a the smaller set."""
+    """Pairs of sets of different roots that meet in a block which can hold an answer; a is the smaller set."""
     t = percent
     needed = lambda x, y: F.ceil(t * (x + y) / (100 + t)).cast("int")
-    right = index.select("shingle", "fp", "n", "pos", _size_block(F.col("n"), t).alias("size_block"), F.expr(f"pos * {_POSITION_BLOCKS} div n").cast("int").alias("pos_block"))
+    right = index.select("shingle", "fp", "n", "pos", "root", _size_block(F.col("n"), t).alias("size_block"), F.expr(f"pos * {_POSITION_BLOCKS} div n").cast("int").alias("pos_block"))
     most = F.floor(F.col("n") * 100 / t).cast("int")
     # A larger partner has at most `most` shingles and must hold the shared one no later than `latest`.
     latest = most - needed(F.col("n"), most)
     left = (
         index.filter((F.col("n") - F.col("pos")) * (100 + t) >= t * 2 * F.col("n"))
-        .select("shingle", "fp", "n", "pos", F.explode(F.sequence(_size_block(F.col("n"), t), _size_block(most, t))).alias("size_block"), F.floor(latest * _POSITION_BLOCKS / F.col("n")).cast("int").alias("latest_block"))
-        .select("shingle", "fp", "n", "pos", "size_block", F.explode(F.sequence(F.lit(0), F.col("latest_block"))).alias("pos_block"))
+        .select("shingle", "fp", "n", "pos", "root", F.explode(F.sequence(_size_block(F.col("n"), t), _size_block(most, t))).alias("size_block"), F.floor(latest * _POSITION_BLOCKS / F.col("n")).cast("int").alias("latest_block"))
+        .select("shingle", "fp", "n", "pos", "root", "size_block", F.explode(F.sequence(F.lit(0), F.col("latest_block"))).alias("pos_block"))
     )
     a, b = left.alias("a"), right.alias("b")
     an, bn, ap, bp = F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos")
@@ -146,13 +151,49 @@ def _candidates(index: DataFrame, percent: int) -> DataFrame:
         (F.col("a.shingle") == F.col("b.shingle"))
         & (F.col("a.size_block") == F.col("b.size_block"))
         & (F.col("a.pos_block") == F.col("b.pos_block"))
+        & (F.col("a.root") != F.col("b.root"))
         & ((an < bn) | ((an == bn) & (F.col("a.fp") < F.col("b.fp"))))
-        & (an * 100 >= bn * t)
-        & (F.least(an - ap, bn - bp) * (100 + t) >= (an + bn) * t),
+        & _can_link(an, ap, bn, bp, t),
     )
     return met.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
 
 
+def _can_link(an: Column, ap: Column, bn: Column, bp: Column, percent: int) -> Column:
+    """Whether sizes and positions of the first shared shingle leave room for enough overlap."""
+    return (F.least(an, bn) * 100 >= F.greatest(an, bn) * percent) & (F.least(an - ap, bn - bp) * (100 + percent) >= (an + bn) * percent)
+
+
+def _led(index: DataFrame, percent: int) -> DataFrame:
+    """Each set of a list with the list's leader, the set that holds the shingle first; a is the smaller set."""
+    lead = F.col("leader")
+    met = index.filter((F.col("fp") != lead["fp"]) & _can_link(F.col("n"), F.col("pos"), lead["n"], lead["pos"], percent))
+    own, other = F.struct("n", "fp"), F.struct(lead["n"].alias("n"), lead["fp"].alias("fp"))
+    return met.select(F.least(own, other)["fp"].alias("a"), F.greatest(own, other)["fp"].alias("b")).distinct()
+
+
+def _not_apart(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs, with `apart`, but for those whose bitmaps prove too large a difference.
+
+    A bitmap of twice the cells is folded first; the sizes of a pair never differ by more.
+    """
+    light = nodes.select("fp", "n", "bits")
+    both = pairs.join(_pick(light, "a"), "a").join(_pick(light, "b"), "b")
+    half = F.size("bits_a")
+    xor = lambda x, y: x.bitwiseXOR(y)
+    folded = F.when(F.size("bits_b") == half, F.col("bits_b")).otherwise(F.zip_with(F.slice("bits_b", F.lit(1), half), F.slice("bits_b", half + 1, half), xor))
+    apart = F.aggregate(F.zip_with("bits_a", folded, lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda s, x: s + x)
+    return both.select("a", "b", "n_a", "n_b", apart.alias("apart")).filter((100 + percent) * F.col("apart") <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b", "apart")
+
+
+def _sets_of(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(fp, shingles) of the sets in the pairs, from the text of one document of each; a few ids are broadcast."""
+    needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    wanted = written(nodes.join(needed, "fp", "left_semi").select(F.col("label").alias("doc_id")), "wanted")
+    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    named = texts.filter("doc_id IS NOT NULL").join(ids, "doc_id", "left_semi")
+    return written(in_batches(named.unionByName(texts.filter("doc_id IS NULL")), partial(_whole_sets, k), "fp long, shingles array<long>"), "sets")
+
+
 def _pick(nodes: DataFrame, side: str) -> DataFrame:
     return nodes.select(F.col("fp").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in nodes.columns if c != "fp"))
 
@@ -211,38 +252,25 @@ def link_documents(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id"
     nodes = written(rows.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
 
     prefixes = in_batches(texts, partial(_prefixes, k, percent, _frequent(spark, described)), "shingle long, fp long, n int, pos int")
-    same = Window.partitionBy("shingle")
+    list_, block = Window.partitionBy("shingle"), Window.partitionBy("shingle", "size_block")
+    leader = F.min(F.struct("pos", "n", "fp")).over(block).alias("leader")
     index = written(
-        prefixes.select("*", F.min("fp").over(same).alias("lo"), F.max("fp").over(same).alias("hi")).filter("lo < hi").select("shingle", "fp", "n", "pos").distinct(),
+        prefixes.withColumn("size_block", _size_block(F.col("n"), percent))
+        .select("shingle", "fp", "n", "pos", F.min("fp").over(list_).alias("lo"), F.max("fp").over(list_).alias("hi"), leader)
+        .filter("lo < hi").drop("lo", "hi"),
         "index",
     )
-    light = nodes.select("fp", "n", "bits")
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    pairs = written(
-        _candidates(index, percent).join(_pick(light, "a"), "a").join(_pick(light, "b"), "b")
-        .select("a", "b", "n_a", "n_b", apart.alias("apart"))
-        .filter((100 + percent) * F.col("apart") <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
-        .select("a", "b", "apart"),
-        "pairs",
-    )
-    ends = pairs.select(F.col("a").alias("fp"), F.col("b").alias("other"), "apart").union(pairs.select("b", "a", "apart"))
-    closest = ends.groupBy("fp").agg(F.min(F.struct("apart", "other")).alias("best")).select("fp", F.col("best.other").alias("other"))
-    first_pairs = written(closest.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct(), "first_pairs")
-
-    needed = ends.select("fp").distinct()
-    wanted = nodes.join(needed, "fp", "left_semi").select(F.col("label").alias("doc_id"))
-    named = texts.filter("doc_id IS NOT NULL").join(wanted, "doc_id", "left_semi")
-    nameless = texts.filter("doc_id IS NULL")
-    sets = written(in_batches(named.unionByName(nameless), partial(_whole_sets, k), "fp long, shingles array<long>"), "sets")
-    first = written(_linked(first_pairs, sets, percent), "first_links")
+    # First answers: each set and the closest of those that lead a list it is in.
+    led = _not_apart(_led(index, percent), nodes, percent)
+    ends = written(led.select(F.col("a").alias("fp"), "a", "b", "apart").union(led.select("b", "a", "b", "apart")), "ends")
+    first_pairs = written(ends.groupBy("fp").agg(F.min(F.struct("apart", "a", "b")).alias("best")).select("best.a", "best.b").distinct(), "first_pairs")
+    first = written(_linked(first_pairs, _sets_of(texts, nodes, first_pairs, k), percent), "first_links")
+    # Other answers follow from those unless two sets are still apart.
     known = components(first)
-    of = lambda side: known.select(F.col("fp").alias(side), F.col("root").alias(f"root_{side}"))
-    open_pairs = (
-        pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
-        .filter(~F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))).select("a", "b")
-        .join(first_pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")), (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left_anti")
-    )
-    links = first.union(_linked(written(open_pairs, "open_pairs"), sets, percent))
+    rooted = index.drop("leader").join(known, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    open_pairs = _not_apart(_candidates(written(rooted, "rooted"), percent), nodes, percent).join(first_pairs, ["a", "b"], "left_anti").select("a", "b")
+    open_pairs = written(open_pairs, "open_pairs")
+    links = first.union(_linked(open_pairs, _sets_of(texts, nodes, open_pairs, k), percent))
     rooted = nodes.select("fp", "label").join(components(links), "fp", "left").select("fp", "label", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("label").alias("component_id"))
     found = rooted.join(names, "root").select("fp", "component_id")
