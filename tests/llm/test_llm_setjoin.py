@@ -1,0 +1,81 @@
+import random
+
+import brute
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from turnstile.llm import setjoin
+from turnstile.llm.shingles import shingle_sets
+
+
+def frame(spark, rows, schema="doc_id long, text string, n int"):
+    return spark.createDataFrame([(*r, 0) for r in rows], schema)
+
+
+def _varied(seed, docs=120):
+    """Texts with copies, near copies of several distances, and passages shared by unrelated texts."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(60)]
+    passage = rng.choices(vocabulary, k=25)
+    texts = []
+    for i in range(docs):
+        kind = rng.random()
+        if texts and kind < 0.5:
+            w = rng.choice(texts).split()
+            for _ in range(rng.randint(0, 2)):
+                if w:
+                    w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            texts.append(" ".join(w))
+        else:
+            w = rng.choices(vocabulary, k=rng.choice([0, 1, 2, 3, 9, 40, 90]))
+            texts.append(" ".join(w + passage if kind > 0.8 else w))
+    return [(1000 - i, t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize(("seed", "k", "percent"), [(1, 3, 90), (2, 3, 80), (3, 5, 80)])
+def test_links_equal_all_pairs(spark, seed, k, percent):
+    rows = _varied(seed)
+    found = setjoin.link_documents(frame(spark, rows), k, percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.components(rows, k, percent)
+
+
+def test_frequent_shingles_change_the_order_but_not_the_links(spark, monkeypatch):
+    rows = _varied(4)
+    monkeypatch.setattr(setjoin, "FREQUENT_LIMIT", 1)
+    found = setjoin.link_documents(frame(spark, rows), 3, 90).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.components(rows, 3, 90)
+
+
+def test_nulls_empty_repeated_and_clashing_columns(spark):
+    text = "one two three four five six"
+    rows = [(1, None, "x"), (2, "", "x"), (3, " \n ", "x"), (5, text, "x"), (5, text, "x"), (4, text.upper(), None), (None, text, "x"), (9, "hi", None), (8, "HI", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    found = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in setjoin.link_documents(docs, 3, 90).collect())
+    assert found == [(0, 4, 4), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 4, 4), (5, 4, 4), (5, 4, 4), (8, 1, 8), (9, 1, 8)]
+    kept = setjoin.one_per_group(docs, 3, 90)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 8]
+
+
+def test_empty_table(spark):
+    docs = frame(spark, [])
+    assert setjoin.link_documents(docs, 3, 90).isEmpty()
+    assert setjoin.one_per_group(docs).isEmpty()
+
+
+def test_a_long_chain_is_one_component(spark):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 150])) for i in range(60)]
+    found = setjoin.link_documents(frame(spark, rows), 3, 90).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.components(rows, 3, 90)
+
+
+def test_shingle_sets_over_chunks_and_slices():
+    texts = ["a b c d", "", "A  b\tC d", "x" * 3_000_000 + " y z", "é b c", "a b", "a", "b a"]
+    whole = pa.array(texts, pa.large_string())
+    sets = list(shingle_sets(whole, 3))
+    assert [len(s) for s in sets] == [2, 0, 2, 1, 1, 1, 1, 1]
+    assert np.array_equal(sets[0], sets[2])
+    assert len({int(s[0]) for s in sets[5:]}) == 3
+    assert all(np.array_equal(a, b) for a, b in zip(list(shingle_sets(whole.slice(2, 4), 3)), sets[2:6], strict=True))
