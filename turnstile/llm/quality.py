@@ -38,8 +38,13 @@ def _without(text: Column, chars: str, put: str = "") -> Column:
     return text
 
 
+def _split(text: Column) -> Column:
+    """The words of a text, and some empty ones."""
+    return F.split(_without(text, _WHITE[1:], " "), " ")
+
+
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(_without(text, _WHITE[1:], " "), " "), "")
+    return F.array_remove(_split(text), "")
 
 
 def _bucket(word: Column) -> Column:
@@ -80,12 +85,16 @@ def _covered(whole: Column) -> Column:
 
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The input columns, and a struct `measures` with the words and the counts of each text."""
-    text, words, bits, packed, whole = (free_name(docs, n) for n in ("q_text", "q_words", "q_bits", "q_packed", "q_whole"))
+    text, words, hashes, bits, packed, whole = (free_name(docs, n) for n in ("q_text", "q_words", "q_hashes", "q_bits", "q_packed", "q_whole"))
     out = docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumn(words, _words(F.col(text)))
     w, t, b = F.col(words), F.col(text), F.col(bits)
     out = out.withColumn(bits, F.length(F.bin(F.size(w))))
-    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: _left(_right(_window(w, i), b), b) + i)
-    out = out.withColumn(packed, F.when(F.size(w) >= 3, F.sort_array(windows)).otherwise(F.array().cast("array<bigint>")))
+    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: _window(w, i))
+    none, h = F.array().cast("array<bigint>"), F.col(hashes)
+    out = out.withColumn(hashes, F.when(F.size(w) >= 3, windows).otherwise(none))
+    # Most texts repeat no window; the others' windows are put in order.
+    inorder = F.sort_array(F.transform(h, lambda x, i: _left(_right(x, b), b) + i))
+    out = out.withColumn(packed, F.when(F.size(F.array_distinct(h)) < F.size(h), inorder).otherwise(none))
     out = out.withColumn(whole, _meeting(w, F.col(packed), b))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counts = F.struct(
@@ -96,7 +105,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         _covered(F.col(whole)).cast("long").alias("n_repeat_words"),
         w.alias("words"),
     )
-    return out.withColumn(free_name(docs, "measures"), counts).drop(text, words, bits, packed, whole)
+    return out.withColumn(free_name(docs, "measures"), counts).drop(text, words, hashes, bits, packed, whole)
 
 
 def fit_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", trusted_col: str = "doc_id") -> list[int]:
@@ -108,9 +117,10 @@ def fit_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", tex
     ids = trusted.select(F.col(trusted_col).cast("long").alias("id")).filter("id IS NOT NULL").distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), _words(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("words"))
-    marked = texts.join(ids.withColumn("good", F.lit(True)), "id", "left").select("words", F.coalesce("good", F.lit(False)).alias("good"))
-    grams = marked.select("good", F.explode("words").alias("word")).select("good", _bucket(F.col("word")).alias("bucket"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    marked = texts.join(ids.withColumn("good", F.lit(True)), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    words = marked.select("good", F.explode(_split(F.col("text"))).alias("word")).filter("word <> ''")
+    grams = words.select("good", _bucket(F.col("word")).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("all"), F.count_if("good").alias("good"))
     rows = {r["bucket"]: (r["all"], r["good"]) for r in counts.collect()}
     return weights_of(rows)
