@@ -378,21 +378,27 @@ def test_cancellation_without_ids_is_null(spark):
     assert rows_of(operations.cancellation_by_show(t, ANY)) == [("a", 0, 1, None)]
 
 
-def test_cross_tabs_are_dense(spark):
+def test_cross_tabs_are_sparse_and_dense_on_request(spark):
     t = tickets(
         spark,
         "event_name utm_source utm_medium",
         [("a", "x", "app"), ("b", "y", "web"), ("b", "y", "web")],
     )
-    assert rows_of(marketing.channel_by_show(t, ANY), "event_name", "utm_source", "tickets") == [
+    shown = ("event_name", "utm_source", "tickets")
+    sparse = [("a", "x", 1), ("b", "y", 2)]
+    assert rows_of(marketing.channel_by_show(t, ANY), *shown) == sparse
+    assert rows_of(marketing.channel_by_show(t, ANY, ["y", "x", "y"]), *shown) == [
         ("a", "x", 1),
         ("a", "y", 0),
         ("b", "x", 0),
         ("b", "y", 2),
     ]
-    out = rows_of(
-        marketing.channel_by_medium(t, ANY), "utm_source", "utm_medium", "tickets", "channel_total"
-    )
+    columns = ("utm_source", "utm_medium", "tickets", "channel_total")
+    assert rows_of(marketing.channel_by_medium(t, ANY), *columns) == [
+        ("x", "app", 1, 1),
+        ("y", "web", 2, 2),
+    ]
+    out = rows_of(marketing.channel_by_medium(t, ANY, ["app", "web"]), *columns)
     assert out == [("x", "app", 1, 1), ("x", "web", 0, 1), ("y", "app", 0, 2), ("y", "web", 2, 2)]
 
 
@@ -480,7 +486,7 @@ def test_door_rows(spark):
         ("a", date(2024, 4, 1), "20.000000", "valid", "Porta"),
         ("a", date(2024, 5, 1), third, "valid", "Porta"),
         ("a", date(2024, 5, 1), third, "valid", "Porta"),
-        ("a", date(2024, 5, 1), third, "valid", "Porta"),
+        ("a", date(2024, 5, 1), "3.333334", "valid", "Porta"),
         ("b", AS_OF, "5.000000", "valid", "Porta"),
     ]
     both = door.all_channels(online, door.door_rows(ledger, online, AS_OF))
@@ -511,6 +517,23 @@ def test_channel_comparison_fills_both_sides(spark):
     assert door.bundle(online, ledger, ANY) == {}
 
 
+def test_door_shares_add_up_to_the_ledger(spark):
+    ledger = _ledger(spark, [("a", 30_000, "100", None, None), ("b", 7, "-0.01", None, None)])
+    rows = door.door_rows(ledger, None, AS_OF)
+    sums = rows.groupBy("event_name").agg(F.sum("door_price").cast("string"), F.count("*"))
+    assert rows_of(sums) == [("a", "100.000000", 30_000), ("b", "-0.010000", 7)]
+
+
+def test_dates_filter_a_union_without_online_moments(spark):
+    online = tickets(spark, "event_name ticket_status", [("a", "valid")])
+    ledger = _ledger(spark, [("a", 5, "10", None, date(2024, 4, 1))])
+    both = door.all_channels(online, door.door_rows(ledger, online, AS_OF))
+    at_door = Filters.of(channels=["Porta"], date_from="1999-01-01", date_to="1999-12-31")
+    assert kpi.headline(both, at_door).first()["tickets"] == 0
+    inside = Filters.of(channels=["Porta"], date_from="2024-04-01", date_to="2024-04-01")
+    assert kpi.headline(both, inside).first()["tickets"] == 5
+
+
 def test_large_door_entries_are_cut_into_parts(spark, monkeypatch):
     monkeypatch.setattr(door, "_PART", 4)
     listed = [str(i) for i in range(1, 11)]

@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 from datetime import date, datetime, timezone
 from decimal import Decimal
 
@@ -147,11 +148,11 @@ def test_tenant_names_are_checked(spark, folder):
         TicketStore(spark, folder).rows("../other")
 
 
-def test_tenant_is_a_partition_filter(spark, folder):
+def test_only_the_tenant_s_folder_is_listed(spark, folder):
     store = TicketStore(spark, f"{folder}/store").create()
     store.ingest("t1", _records(spark, _ticket("1")), NOW)
     plan = store.rows("t1").select("event_name")._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(tenant_id" in plan
+    assert re.search(r"InMemoryFileIndex\(1 paths\)\[[^\]]*tenant_id=t1", plan)
     assert "ReadSchema: struct<event_name:string>" in plan
 
 
@@ -285,11 +286,12 @@ def test_load_csv(spark, folder):
 def test_consolidated_round_trip(spark, folder):
     online = tickets(
         spark,
-        "ticket_id event_name ticket_status deal_price ordered_at contact_name",
+        "ticket_id event_name ticket_status deal_price ordered_at contact_name "
+        "contact_newsletter_optin",
         [
-            ("1", "a", "valid", 100, at("2024-01-01T10:00:00"), 'x "y"\nz'),
-            ("2", "a", "canceled", 100, at("2024-01-01T10:00:00"), None),
-            ("3", "b", None, 250, None, ""),
+            ("1", "a", "valid", 100, at("2024-01-01T10:00:00"), 'x "y"\nz', True),
+            ("2", "a", "canceled", 100, at("2024-01-01T10:00:00"), None, None),
+            ("3", "b", None, 250, None, "", False),
         ],
     )
     ledger = spark.createDataFrame(
@@ -300,15 +302,17 @@ def test_consolidated_round_trip(spark, folder):
     both = door.all_channels(online, door.door_rows(ledger, online, AS_OF))
     f = Filters.of(channels=["Shotgun", "Porta"])
     csv.export_consolidated(both, f, f"{folder}/out")
-    back, entries = csv.import_consolidated(spark, f"{folder}/out", AS_OF, "t1", NOW)
-    assert rows_of(back.rows, "ticket_id", "deal_price_cents", "contact_name", "order_date") == [
-        ("1", 100, 'x "y"\nz', date(2024, 1, 1)),
-        ("3", 250, None, None),  # CSV does not tell an empty text from none
+    back, entries, prices = csv.import_consolidated(spark, f"{folder}/out", AS_OF, "t1", NOW)
+    columns = ("ticket_id", "deal_price_cents", "contact_name", "order_date")
+    assert rows_of(back.rows, *columns, "contact_newsletter_optin") == [
+        ("1", 100, 'x "y"\nz', date(2024, 1, 1), True),
+        ("3", 250, None, None, False),  # CSV does not tell an empty text from none
     ]
     assert rows_of(door.door_totals(entries)) == [("a", 3, 1000), ("b", 2, 300)]
     assert {r["source"] for r in entries.collect()} == {"consolidated_upload"}
-    again = door.door_rows(entries, back, AS_OF)
-    assert again.count() == 5
+    again = door.door_rows(entries, back, AS_OF, prices)
+    given = door.door_rows(ledger, online, AS_OF)
+    assert rows_of(again, "event_name", "door_price") == rows_of(given, "event_name", "door_price")
     csv.export_consolidated(both, f, f"{folder}/full", full=True)
     assert csv.import_consolidated(spark, f"{folder}/full", AS_OF, "t1", NOW)[0].rows.count() == 3
 
@@ -321,15 +325,57 @@ def test_import_needs_the_source_column(spark, folder):
         csv.import_consolidated(spark, path, AS_OF, "t1", NOW)
 
 
-def test_long_price_lists_are_cut(spark, folder, monkeypatch):
-    monkeypatch.setattr(csv, "_LIST_LENGTH", 4)
-    path = os.path.join(folder, "t.csv")
-    with open(path, "w") as out:
-        out.write("source,event_name,deal_price_brl\n")
-        out.writelines(f"Porta,a,{i}.5\n" for i in range(10))
-    _, entries = csv.import_consolidated(spark, path, AS_OF, "t1", NOW)
-    assert max(len(r["prices"]) for r in entries.collect()) <= 4
-    assert rows_of(door.door_totals(entries)) == [("a", 10, 5000)]
+@pytest.mark.parametrize("partitions", [1, 4, 16])
+def test_an_import_does_not_depend_on_the_layout(spark, partitions):
+    rows = [("Porta", "ab"[i % 2], f"{i}.5") for i in range(100)]
+    frame = spark.createDataFrame(rows, "source string, event_name string, deal_price_brl string")
+    frame = frame.repartition(partitions)
+    _, entries, prices = csv.split_consolidated(frame, AS_OF, "t1", NOW)
+    assert rows_of(entries, "event_name", "tickets", "prices") == [("a", 50, None), ("b", 50, None)]
+    assert rows_of(door.door_totals(entries)) == [("a", 50, 247500), ("b", 50, 252500)]
+    back = door.door_rows(entries, None, AS_OF, prices)
+    assert rows_of(back.select("event_name", F.col("door_price").cast("double"))) == sorted(
+        ((n, float(p)) for _, n, p in rows), key=lambda r: (r[0], str(r[1]))
+    )
+
+
+def test_a_truncated_page_fails(spark, folder):
+    for name, end in (("a", "]}"), ("b", "")):
+        with open(os.path.join(folder, f"{name}.json"), "w") as out:
+            out.write('{"cursor": "%s", "data": [{"ticket_id": "1"}, {"ticket_id": "2"}%s' % (name, end))
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        pages.read_pages(spark, folder).collect()
+
+
+def test_a_replay_does_not_fill_the_quarantine(spark, folder):
+    store = TicketStore(spark, f"{folder}/store").create()
+    batch = _records(spark, _ticket("1"), _ticket("2", deal_price="1.5"), {"event_name": "a"})
+    for _ in range(3):
+        store.ingest("t1", batch, NOW, quarantine=f"{folder}/rejected")
+    assert spark.read.parquet(f"{folder}/rejected").count() == 2
+    assert store.rows("t1").count() == 1
+    assert store.rows("nobody").count() == 0
+
+
+def test_a_date_mapped_to_two_shows_is_refused(spark):
+    dated = spark.createDataFrame(
+        [("f", date(2024, 1, 1), 2, Decimal(3), [Decimal(1), Decimal(2)])],
+        "file string, sale_date date, tickets long, revenue_brl decimal(18,6), "
+        "prices array<decimal(18,6)>",
+    )
+
+    def mapped(*shows):
+        rows = [(date(2024, 1, 1), s) for s in shows]
+        return spark.createDataFrame(rows, "sale_date date, event_name string")
+
+    once = statement.assigned_entries(dated, mapped("a", "a"), "t1", NOW)
+    assert rows_of(once, "event_name", "tickets") == [("a", 2)]
+    with pytest.raises(Exception, match="two shows"):
+        statement.assigned_entries(dated, mapped("a", "b"), "t1", NOW).collect()
+    whole = statement.one_show_entries(dated, "z", "t1", NOW)
+    assert rows_of(whole, "event_name", "tickets", "entry_date", "source") == [
+        ("z", 2, None, "pagbank_csv")
+    ]
 
 
 # Stream -------------------------------------------------------------------------

@@ -105,21 +105,30 @@ def recurrence(tickets: Tickets, f: Filters) -> DataFrame:
 def top_loyal(tickets: Tickets, f: Filters) -> DataFrame:
     """The ten buyers with most shows, labelled by the name on their first row, else their id.
 
-    Ten ids are found first; only their rows are then looked at for a name.
+    One scan: rows shrink to one per buyer and show with its earliest name, then to one per
+    buyer.
     """
-    best = _shows_per_buyer(tickets, f).orderBy(F.desc("n_shows"), "contact_id").limit(C.TOP_BUYERS)
     own_id = F.col("contact_id").cast("string")
     named = next((c for c in ("contact_name", "contact_email") if tickets.has(c)), None)
     if named is None:
-        return best.select("contact_id", own_id.alias("label"), "n_shows")
-    # At most ten rows by the limit above: a bounded broadcast.
-    theirs = kept_online(tickets, f).join(F.broadcast(best), "contact_id")
-    first = theirs.groupBy("contact_id").agg(
-        F.first("n_shows").alias("n_shows"),
-        F.min_by(F.struct(named), _earliest()).alias("first"),
-    )
-    label = F.coalesce(F.col(f"first.{named}"), own_id)
-    return first.select("contact_id", label.alias("label"), "n_shows")
+        shows, label = _shows_per_buyer(tickets, f), own_id
+    else:
+        tickets.require("contact_id", "event_id")
+        per_show = (
+            kept_online(tickets, f)
+            .filter(F.col("contact_id").isNotNull())
+            .groupBy("contact_id", "event_id")
+            .agg(
+                F.min(_earliest()).alias("at"),
+                F.min_by(F.struct(named), _earliest()).alias("first"),
+            )
+        )
+        shows = per_show.groupBy("contact_id").agg(
+            F.count("event_id").alias("n_shows"), F.min_by("first", "at").alias("first")
+        )
+        label = F.coalesce(F.col(f"first.{named}"), own_id)
+    best = shows.orderBy(F.desc("n_shows"), "contact_id").limit(C.TOP_BUYERS)
+    return best.select("contact_id", label.alias("label"), "n_shows")
 
 
 def age_by_gender(tickets: Tickets, f: Filters) -> DataFrame:

@@ -193,7 +193,7 @@ def bundle(tickets: Tickets, f: Filters) -> dict[str, DataFrame]:
         return {}
     ref = reference_show(tickets, f)
     out = {
-        "ref_vs_avg": ref_vs_avg(tickets, f, ref),
+        "ref_vs_avg": ref_vs_avg(tickets, f, ref).withColumn("ref_event", F.lit(ref)),
         "revenue": revenue(tickets, f),
         "tickets": tickets_sold(tickets, f),
     }
@@ -204,6 +204,7 @@ def bundle(tickets: Tickets, f: Filters) -> dict[str, DataFrame]:
             continue
     if tickets.has("order_date"):
         axis = curves.choose_axis(kept(tickets, f), tickets)
-        out["evolution"] = evolution(tickets, f, ref, axis)
-        out["evolution_avg_others"] = evolution_avg_others(tickets, f, ref, axis)
+        named = F.lit(axis).alias("axis")
+        out["evolution"] = evolution(tickets, f, ref, axis).select("*", named)
+        out["evolution_avg_others"] = evolution_avg_others(tickets, f, ref, axis).select("*", named)
     return out

@@ -23,16 +23,20 @@ def _zero():
     return F.lit(0).cast("long")
 
 
-def door_rows(ledger: DataFrame, online: Tickets | None, as_of: date) -> DataFrame:
+def door_rows(
+    ledger: DataFrame, online: Tickets | None, as_of: date, prices: DataFrame | None = None
+) -> DataFrame:
     """One row per door ticket of every ledger entry.
 
     The order date is the entry's own, else the day its show first starts, else
-    ``as_of``. The listed prices hold only if there is one per ticket; otherwise
-    each ticket carries an equal share of the entry's revenue. An entry can stand
-    for any number of tickets, so entries are cut into parts of bounded size and
-    the parts spread evenly before they become rows.
+    ``as_of``. Listed prices hold only if there is one per ticket, be it in the entry
+    or in the table ``prices`` (entry_id, price); otherwise each ticket carries an equal
+    share of the entry's revenue, and the first one also what rounding leaves, so that
+    shares add up to the revenue. An entry can stand for any number of tickets, so
+    entries are cut into parts of bounded size and the parts spread evenly before they
+    become rows.
     """
-    entries = ledger
+    entries = ledger.withColumn("n", F.col("tickets").cast("int"))
     if online is not None and online.has("event_start_time"):
         starts = (
             online.rows.filter(F.col("event_name").isNotNull())
@@ -43,37 +47,50 @@ def door_rows(ledger: DataFrame, online: Tickets | None, as_of: date) -> DataFra
     else:
         entries = entries.withColumn("show_date", F.lit(None).cast("date"))
 
-    n, prices, first = F.col("n"), F.col("prices"), F.col("part") * _PART
-    listed = prices.isNotNull() & (F.size(prices) == n)
-    size = F.least(F.lit(_PART), n - first)
     kept = [c for c in ledger.columns if c in ("tenant_id", "entry_id")]
+    day = F.coalesce("entry_date", "show_date", F.lit(as_of)).alias("order_date")
+    ticket = [
+        *kept,
+        "event_name",
+        F.lit(C.VALID).alias("ticket_status"),
+        F.lit(C.DOOR).alias("source"),
+        "order_date",
+    ]
+    priced = None
+    if prices is not None:
+        numbers = prices.groupBy("entry_id").agg(F.count(F.lit(1)).alias("n_prices"))
+        entries = entries.join(numbers, "entry_id", "left")
+        whole = F.col("n_prices").eqNullSafe(F.col("n").cast("long"))
+        priced = (
+            entries.filter(whole)
+            .select(*kept, "event_name", day)
+            .join(prices.select("entry_id", F.col("price").alias("door_price")), "entry_id")
+            .select(*ticket, "door_price")
+        )
+        entries = entries.filter(~whole).drop("n_prices")
+
+    n, own, first = F.col("n"), F.col("prices"), F.col("part") * _PART
+    listed = own.isNotNull() & (F.size(own) == n)
+    share = (F.col("revenue_brl") / n).cast(S.PRICE)
+    rest = (F.col("revenue_brl") - share * n).cast(S.PRICE)
+    size = F.least(F.lit(_PART), n - first)
     parts = (
-        entries.withColumn("n", F.col("tickets").cast("int"))
-        .filter(n > 0)
+        entries.filter(n > 0)
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / _PART).cast("int"))))
         .select(
             *kept,
             "event_name",
-            F.coalesce("entry_date", "show_date", F.lit(as_of)).alias("order_date"),
+            day,
             size.alias("size"),
-            F.when(listed, F.slice(prices, first + 1, size)).cast(_PRICES).alias("own_prices"),
-            F.when(~listed, F.col("revenue_brl") / n).cast(S.PRICE).alias("share"),
+            F.when(listed, F.slice(own, first + 1, size)).cast(_PRICES).alias("own_prices"),
+            F.when(~listed, share).alias("share"),
+            F.when(F.col("part") == 0, share + rest).otherwise(share).cast(S.PRICE).alias("lead"),
         )
-        .repartition(_even_partitions(ledger))
+        .hint("rebalance")
     )
-    shares = F.array_repeat("share", F.col("size"))
-    return parts.select(
-        *kept,
-        "event_name",
-        F.lit(C.VALID).alias("ticket_status"),
-        F.lit(C.DOOR).alias("source"),
-        "order_date",
-        F.explode(F.coalesce("own_prices", shares)).alias("door_price"),
-    )
-
-
-def _even_partitions(ledger: DataFrame) -> int:
-    return int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = F.concat(F.array("lead"), F.array_repeat("share", F.col("size") - 1)).cast(_PRICES)
+    out = parts.select(*ticket, F.explode(F.coalesce("own_prices", shares)).alias("door_price"))
+    return out if priced is None else out.unionByName(priced)
 
 
 def all_channels(online: Tickets, door: DataFrame) -> Tickets:
@@ -81,7 +98,7 @@ def all_channels(online: Tickets, door: DataFrame) -> Tickets:
     rows = online.rows.unionByName(door, allowMissingColumns=True)
     brl = F.coalesce(F.col("deal_price_brl").cast(S.PRICE), F.col("door_price"))
     rows = rows.withColumn("deal_price_brl", brl)
-    return Tickets(rows, online.present | {"door_price", "deal_price_brl"})
+    return Tickets(rows, online.present | set(door.columns) | {"door_price", "deal_price_brl"})
 
 
 def _ledger_cents():

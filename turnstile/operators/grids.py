@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnstile import constants as C
 
-_SLOTS = 64  # a power of two
-
-
 def with_zero_keys(counts: DataFrame, keys: DataFrame, key: str, measure: str) -> DataFrame:
     """Add a 0 for every key of the fixed range ``keys`` and sum again: no join needed."""
     zeros = keys.select(F.col(key), F.lit(0).cast("long").alias(measure))
@@ -20,53 +19,23 @@ def with_zero_keys(counts: DataFrame, keys: DataFrame, key: str, measure: str) -
 
 def with_age_range(cells: DataFrame, group: str, measure: str) -> DataFrame:
     """Every age of the chart range for every group that occurs in ``cells``."""
-    ages = F.sequence(F.lit(C.AGE_FIRST), F.lit(C.AGE_LAST))
-    zeros = F.transform(
-        ages, lambda a: F.struct(a.alias("age"), F.lit(0).cast("long").alias(measure))
-    )
-    own = F.array(F.struct(F.col("age"), F.col(measure)))
-    return (
-        cells.select(group, F.inline(F.concat(own, zeros)))
-        .groupBy(group, "age")
-        .agg(F.sum(measure).alias(measure))
-    )
+    ages = F.explode(F.sequence(F.lit(C.AGE_FIRST), F.lit(C.AGE_LAST))).alias("age")
+    zeros = cells.select(group).distinct().select(group, ages, F.lit(0).cast("long").alias(measure))
+    both = cells.select(group, "age", measure).unionByName(zeros)
+    return both.groupBy(group, "age").agg(F.sum(measure).alias(measure))
 
 
-def dense(cells: DataFrame, row: str, column: str, measure: str) -> DataFrame:
-    """Cells of an aggregated cross-tab with the missing ones added as 0.
+def dense(
+    cells: DataFrame, row: str, column: str, measure: str, labels: Sequence[str]
+) -> DataFrame:
+    """The cells of the given column labels, with a 0 where a row has none.
 
-    The labels of ``column`` are numbered within hash slots, every row label is
-    expanded over the slots' numbers and an equality join turns numbers back into
-    labels. What reaches every task is one count per slot; the labels themselves
-    are neither broadcast by force nor gathered in one place.
+    Cells of other labels are left out. Every row label that occurs gets one zero per label
+    of the list and the sums are taken again, so nothing is joined.
     """
-    # Stated here, or the join below would infer it for its own copy of the cells only;
-    # all copies must stay alike for their aggregation to run once.
-    cells = cells.filter(F.col(row).isNotNull() & F.col(column).isNotNull())
-
-    def occurring(key: str) -> DataFrame:
-        # Reads the measure, so that no copy of the cells drops it.
-        return cells.groupBy(key).agg(F.sum(measure).alias("n")).filter("n > 0").select(key)
-
-    slotted = occurring(column).select(
-        column, F.xxhash64(column).bitwiseAND(_SLOTS - 1).alias("slot")
-    )
-    numbered = slotted.select(
-        column,
-        "slot",
-        F.row_number().over(Window.partitionBy("slot").orderBy(column)).alias("number"),
-    )
-    slots = (
-        slotted.groupBy("slot")
-        .agg(F.count(F.lit(1)).cast("int").alias("size"))
-        .agg(F.collect_list(F.struct("slot", "size")))
-        .scalar()
-    )
-    grid = (
-        occurring(row)
-        .select(row, F.inline(slots))
-        .select(row, "slot", F.explode(F.sequence(F.lit(1), F.col("size"))).alias("number"))
-        .join(numbered, ["slot", "number"])
-        .select(row, column)
-    )
-    return grid.join(cells, [row, column], "left").na.fill(0, [measure])
+    named = cells.filter(F.col(row).isNotNull() & F.col(column).isin(list(labels)))
+    rows = cells.filter(F.col(row).isNotNull()).select(row).distinct()
+    wanted = F.explode(F.array(*[F.lit(label) for label in dict.fromkeys(labels)]))
+    zeros = rows.select(row, wanted.alias(column), F.lit(0).cast("long").alias(measure))
+    both = named.select(row, column, measure).unionByName(zeros)
+    return both.groupBy(row, column).agg(F.sum(measure).alias(measure))

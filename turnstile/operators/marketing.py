@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,10 @@ def by_channel(tickets: Tickets, f: Filters) -> DataFrame:
     )
 
 
-def channel_by_medium(tickets: Tickets, f: Filters) -> DataFrame:
-    """Channel by medium with zeros, and each channel's total to order by."""
+def channel_by_medium(
+    tickets: Tickets, f: Filters, media: Sequence[str] | None = None
+) -> DataFrame:
+    """Channel by medium, and each channel's total to order by; zeros for the ``media`` named."""
     tickets.require("utm_source", "utm_medium")
     cells = (
         kept_online(tickets, f)
@@ -31,22 +35,26 @@ def channel_by_medium(tickets: Tickets, f: Filters) -> DataFrame:
         .groupBy("utm_source", "utm_medium")
         .agg(F.count(F.lit(1)).alias("tickets"))
     )
+    if media is not None:
+        cells = grids.dense(cells, "utm_source", "utm_medium", "tickets", media)
     total = F.sum("tickets").over(Window.partitionBy("utm_source"))
-    return grids.dense(cells, "utm_source", "utm_medium", "tickets").withColumn(
-        "channel_total", total
-    )
+    return cells.withColumn("channel_total", total)
 
 
-def channel_by_show(tickets: Tickets, f: Filters) -> DataFrame:
-    """Show by channel with zeros."""
+def channel_by_show(
+    tickets: Tickets, f: Filters, channels: Sequence[str] | None = None
+) -> DataFrame:
+    """Show by channel; zeros for the ``channels`` named."""
     tickets.require("utm_source")
     cells = (
         kept_online(tickets, f)
-        .filter(F.col("utm_source").isNotNull())
+        .filter(F.col("event_name").isNotNull() & F.col("utm_source").isNotNull())
         .groupBy("event_name", "utm_source")
         .agg(F.count(F.lit(1)).alias("tickets"))
     )
-    return grids.dense(cells, "event_name", "utm_source", "tickets")
+    if channels is None:
+        return cells
+    return grids.dense(cells, "event_name", "utm_source", "tickets", channels)
 
 
 def bundle(tickets: Tickets, f: Filters) -> dict[str, DataFrame]:

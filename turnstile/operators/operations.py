@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,18 +85,22 @@ def status_distribution(tickets: Tickets, f: Filters) -> DataFrame:
     )
 
 
-def category_mix(tickets: Tickets, f: Filters, dense: bool = True) -> DataFrame:
-    """Tickets per show and category; ``dense`` adds the zero cells."""
+def category_mix(
+    tickets: Tickets, f: Filters, categories: Sequence[str] | None = None
+) -> DataFrame:
+    """Tickets per show and category; zeros for the ``categories`` named."""
     tickets.require("deal_title")
     label = money.category(tickets) if tickets.has("deal_price_cents") else F.col("deal_title")
     cells = (
         kept_online(tickets, f)
         .withColumn("category", label)
-        .filter(F.col("category").isNotNull())
+        .filter(F.col("event_name").isNotNull() & F.col("category").isNotNull())
         .groupBy("event_name", "category")
         .agg(F.count(F.lit(1)).alias("tickets"))
     )
-    return grids.dense(cells, "event_name", "category", "tickets") if dense else cells
+    if categories is None:
+        return cells
+    return grids.dense(cells, "event_name", "category", "tickets", categories)
 
 
 def bundle(tickets: Tickets, f: Filters) -> dict[str, DataFrame]:

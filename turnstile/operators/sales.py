@@ -40,9 +40,15 @@ def daily_by_axis(tickets: Tickets, f: Filters, axis: str = curves.UNTIL) -> Dat
     )
 
 
-def cumulative(tickets: Tickets, f: Filters) -> DataFrame:
-    """Running total of tickets per show in date order."""
-    return _curve(tickets, f).select("event_name", "order_date", "cum_tickets")
+def cumulative(tickets: Tickets, f: Filters, axis: str | None = None) -> DataFrame:
+    """Running total of tickets per show in date order; with ``axis`` also the day on it as x."""
+    curve = _curve(tickets, f)
+    if axis is None:
+        return curve.select("event_name", "order_date", "cum_tickets")
+    x = F.col(curves.axis_column(axis))
+    return curve.select("event_name", "order_date", x.alias("x"), "cum_tickets").filter(
+        F.col("x").isNotNull()
+    )
 
 
 def by_weekday(tickets: Tickets, f: Filters) -> DataFrame:
@@ -124,11 +130,14 @@ def bundle(tickets: Tickets, f: Filters) -> dict[str, DataFrame]:
     """Every sales chart that the input's columns allow."""
     out: dict[str, DataFrame] = {}
     if tickets.has("order_date"):
-        out["cumulative"] = cumulative(tickets, f)
         if f.is_multi(tickets):
+            # Both curves share one axis, which is told with them.
             axis = curves.choose_axis(kept(tickets, f), tickets)
-            out["daily"] = daily_by_axis(tickets, f, axis)
+            named = F.lit(axis).alias("axis")
+            out["cumulative"] = cumulative(tickets, f, axis).select("*", named)
+            out["daily"] = daily_by_axis(tickets, f, axis).select("*", named)
         else:
+            out["cumulative"] = cumulative(tickets, f)
             out["daily"] = daily(tickets, f)
         out["by_weekday"] = by_weekday(tickets, f)
         out["heatmap"] = heatmap(tickets, f)

@@ -100,7 +100,10 @@ starts as (
 door as (
   select entry_id, e.event_name,
     coalesce(entry_date, show_date, date '2001-08-01') as order_date,
-    cast(round(revenue_cents * 10000e0 / tickets) as bigint) as micros
+    cast(round(revenue_cents * 10000e0 / tickets) as bigint)
+      + case when seat = 0 and entry_id % 2 <> 0
+        then revenue_cents * 10000 - tickets * cast(round(revenue_cents * 10000e0 / tickets) as bigint)
+        else 0 end as micros
   from (select *, unnest(range(tickets)) as seat from entries) e
   left join starts s on e.event_name = s.event_name
 )"""
@@ -285,7 +288,8 @@ group by all
 """,
         "import_consolidated": _with("""
 select event_name, count(*) as tickets,
-  cast((sum(micros) + 5000) // 10000 as bigint) as revenue_cents
+  cast((sum(micros) + 5000) // 10000 as bigint) as revenue_cents,
+  cast(1 as bigint) as n_entries, count(*) as n_prices, cast(sum(micros) as bigint) as price_micros
 from door group by event_name
 """, _LEDGER),
         "dataset_counts": _with("""
@@ -455,18 +459,13 @@ where event_name = 'ASIA 1997Q2' and order_date is not null group by all
 """),
         "channel_tickets": _with(sold.format("utm_source", "live")),
         "channel_by_medium": _with("""
-select s.utm_source, m.utm_medium, count(t.ticket_id) as tickets, any_value(s.n) as channel_total
-from (select utm_source, count(*) as n from live group by all) s
-cross join (select distinct utm_medium from live) m
-left join live t on t.utm_source = s.utm_source and t.utm_medium = m.utm_medium
-group by s.utm_source, m.utm_medium
+select utm_source, utm_medium, count(*) as tickets,
+  cast(sum(count(*)) over (partition by utm_source) as bigint) as channel_total
+from live where utm_source is not null and utm_medium is not null group by utm_source, utm_medium
 """),
         "channel_by_show": _with("""
-select e.event_name, s.utm_source, count(t.ticket_id) as tickets
-from (select distinct event_name from live98) e
-cross join (select distinct utm_source from live98) s
-left join live98 t on t.utm_source = s.utm_source and t.event_name = e.event_name
-group by e.event_name, s.utm_source
+select event_name, utm_source, count(*) as tickets from live98
+where utm_source is not null group by event_name, utm_source
 """),
         "unique_buyers": _with("select contact_id, ticket_id from buyers", _BUYERS),
         "audience_gender": _with("""
@@ -527,11 +526,8 @@ select ticket_status, count(*) as tickets from tickets
 where ticket_status is not null group by all
 """),
         "category_mix": _with("""
-select e.event_name, c.category, count(t.ticket_id) as tickets
-from (select distinct event_name from labelled) e
-cross join (select distinct category from labelled) c
-left join labelled t on t.event_name = e.event_name and t.category = c.category
-group by e.event_name, c.category
+select event_name, category, count(*) as tickets from labelled
+where category is not null group by event_name, category
 """, """
 labelled as (
   select *, case when deal_price > 0 then deal_title else 'Gratuito' end as category from live98)"""),

@@ -38,29 +38,18 @@ ONE = Filters.of(events=["ASIA 1997Q2"])
 DATED = Filters.of(events=_SHOWS_1998, date_from="1998-02-01", date_to="1998-11-30")
 BOTH = Filters.of(events=_SHOWS_1998, channels=[C.ONLINE, C.DOOR])
 
-# Shows are named after the quarter they sell in, so a selection bounds the order day.
-_SOLD_WITHIN = {
-    Y98: (date(1998, 1, 1), date(1999, 1, 1)),
-    DATED: (date(1998, 1, 1), date(1999, 1, 1)),
-    BOTH: (date(1998, 1, 1), date(1999, 1, 1)),
-    ONE: (date(1997, 4, 1), date(1997, 7, 1)),
-}
 _SCOPE = "event_name ticket_status"
 
 
-def load(spark: SparkSession, directory: str, columns: str, f: Filters = ALL) -> Tickets:
-    """Normalised tickets with the columns a query reads, bounded where the selection allows."""
+def load(spark: SparkSession, directory: str, columns: str) -> Tickets:
+    """Normalised tickets with the columns a query reads."""
     configure(spark)
-    low, high = _SOLD_WITHIN.get(f, (None, None))
-    raw = tables.tickets(
-        spark, directory, *columns.split(), ordered_from=low, ordered_before=high
-    )
-    return Tickets.from_raw(raw, AS_OF)
+    return Tickets.from_raw(tables.tickets(spark, directory, *columns.split()), AS_OF)
 
 
 def _metric(metric, f: Filters, columns: str, scope: str = _SCOPE, post=None) -> Query:
     def run(spark: SparkSession, directory: str) -> DataFrame:
-        out = metric(load(spark, directory, f"{scope} {columns}", f), f)
+        out = metric(load(spark, directory, f"{scope} {columns}"), f)
         return post(out) if post else out
 
     return run
@@ -90,7 +79,7 @@ def _normalised(columns: str, pick) -> Query:
 
 def _scope_ids(scope) -> Query:
     def run(spark: SparkSession, directory: str) -> DataFrame:
-        rows = load(spark, directory, f"{_SCOPE} ticket_id ordered_at", DATED)
+        rows = load(spark, directory, f"{_SCOPE} ticket_id ordered_at")
         return scope(rows, DATED).select("ticket_id")
 
     return run
@@ -267,27 +256,35 @@ def _append_ledger(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _import_consolidated(spark: SparkSession, directory: str) -> DataFrame:
-    """Door totals after both channels went through one consolidated frame."""
-    both = _both(spark, directory, f"{_SCOPE} deal_price", bounded=False)
-    _, entries = csv.split_consolidated(
+    """Door totals, entries and prices after both channels went through one consolidated frame."""
+    both = _both(spark, directory, f"{_SCOPE} deal_price")
+    _, entries, prices = csv.split_consolidated(
         kept(both, Filters.of(channels=[C.ONLINE, C.DOOR])), AS_OF, "1", datetime(2024, 1, 1)
     )
-    return door.door_totals(entries)
+    listed = prices.groupBy("entry_id").agg(
+        F.count(F.lit(1)).alias("n_prices"), (F.sum("price") * 1_000_000).cast("long").alias("micros")
+    )
+    per_show = entries.join(listed, "entry_id", "left").groupBy("event_name").agg(
+        F.count(F.lit(1)).alias("n_entries"),
+        F.sum("n_prices").alias("n_prices"),
+        F.sum("micros").alias("price_micros"),
+    )
+    return door.door_totals(entries).join(per_show, "event_name", "left")
 
 
-def _both(spark: SparkSession, directory: str, columns: str, bounded: bool) -> Tickets:
+def _both(spark: SparkSession, directory: str, columns: str) -> Tickets:
     """Online tickets and door rows; the show dates of the door rows need every ticket."""
-    online = load(spark, directory, columns, BOTH if bounded else ALL)
+    online = load(spark, directory, columns)
     starts = load(spark, directory, "event_name event_start_time")
     return door.all_channels(online, door.door_rows(tables.ledger(spark, directory), starts, AS_OF))
 
 
 def _dataset_counts(spark: SparkSession, directory: str) -> DataFrame:
-    return universe.dataset_counts(_both(spark, directory, _SCOPE, bounded=False))
+    return universe.dataset_counts(_both(spark, directory, _SCOPE))
 
 
 def _all_channels(spark: SparkSession, directory: str) -> DataFrame:
-    both = _both(spark, directory, f"{_SCOPE} deal_price", bounded=True)
+    both = _both(spark, directory, f"{_SCOPE} deal_price")
     brl = F.round(F.coalesce(F.sum("deal_price_brl"), F.lit(0)), 2).cast("double")
     return (
         kept(both, BOTH)
@@ -304,12 +301,12 @@ def _door_rows(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _comparison(spark: SparkSession, directory: str) -> DataFrame:
-    online = load(spark, directory, f"{_SCOPE} deal_price", BOTH)
+    online = load(spark, directory, f"{_SCOPE} deal_price")
     return door.channel_comparison(online, tables.ledger(spark, directory), BOTH)
 
 
 def _grand_totals(spark: SparkSession, directory: str) -> DataFrame:
-    online = load(spark, directory, f"{_SCOPE} deal_price", BOTH)
+    online = load(spark, directory, f"{_SCOPE} deal_price")
     return door.channel_grand_totals(online, tables.ledger(spark, directory), BOTH)
 
 

@@ -12,8 +12,7 @@ from turnstile import schema as S
 from turnstile.filters import Filters, kept
 from turnstile.frame import Tickets
 
-# Prices of one show per ledger entry; a show with more sales gets more entries.
-_LIST_LENGTH = 10_000
+_FLAG = "contact_newsletter_optin"
 
 
 def _read(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
@@ -36,7 +35,11 @@ def export_consolidated(tickets: Tickets, f: Filters, path: str, full: bool = Fa
     """Write the filtered rows of both channels, or with ``full`` all rows, as CSV."""
     rows = tickets.rows if full else kept(tickets, f)
     columns = [F.col(f"{c}_cents").alias(c) for c in S.MONEY]
-    columns += [c for c in rows.columns if not c.endswith("_cents") and c != "door_price"]
+    # The normaliser knows a flag by these texts, not by CSV's lower-case ones.
+    flag = F.col(_FLAG)
+    columns.append(F.when(flag, "True").when(~flag, "False").alias(_FLAG))
+    plain = [c for c in rows.columns if not c.endswith("_cents") and c not in ("door_price", _FLAG)]
+    columns += plain
     writer = rows.select(*columns).write.mode("errorifexists")
     writer.csv(path, header=True, escape='"', timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
 
@@ -48,43 +51,42 @@ def import_consolidated(
     tenant: str,
     added_at: datetime,
     multi_line: bool = True,
-) -> tuple[Tickets, DataFrame]:
-    """(online tickets, door ledger entries) of a consolidated CSV."""
+) -> tuple[Tickets, DataFrame, DataFrame]:
+    """(online tickets, door ledger entries, their prices) of a consolidated CSV."""
     return split_consolidated(_read(spark, path, multi_line), as_of, tenant, added_at)
 
 
 def split_consolidated(
     rows: DataFrame, as_of: date | datetime, tenant: str, added_at: datetime
-) -> tuple[Tickets, DataFrame]:
-    """(online tickets, door ledger entries) of consolidated rows.
+) -> tuple[Tickets, DataFrame, DataFrame]:
+    """(online tickets, door ledger entries, their prices) of consolidated rows.
 
-    Door rows of a show become ledger entries with their price list. The lists are
-    cut at a fixed length by position in the file, so a show that holds most of the
-    door sales becomes several entries with the same totals, not one huge row.
+    The door rows of a show become one ledger entry with their number and sum. Their prices
+    come as a table of their own, (entry_id, price) with one row per ticket, so neither an
+    entry nor the number of entries depends on how large a show is or how the file is cut.
     """
     if "source" not in rows.columns:
         raise ValueError("not a consolidated file: no column 'source'")
     online = rows.filter(F.col("source") == C.ONLINE).drop("source")
-    position = F.monotonically_increasing_id()
+    stamp = added_at.isoformat()
     door = rows.filter((F.col("source") == C.DOOR) & F.col("event_name").isNotNull()).select(
+        F.sha2(F.concat_ws("\n", F.lit(tenant), F.lit(stamp), "event_name"), 256).alias("entry_id"),
         "event_name",
         F.col("deal_price_brl").try_cast(S.PRICE).alias("price"),
-        position.alias("position"),
-        F.floor(position / _LIST_LENGTH).alias("part"),
     )
-    listed = F.array_sort(F.collect_list(F.struct("position", "price")))
-    entries = door.groupBy("event_name", "part").agg(
+    entries = door.groupBy("entry_id", "event_name").agg(
         F.count(F.lit(1)).cast("int").alias("tickets"),
         F.coalesce(F.sum("price"), F.lit(0)).cast(S.PRICE).alias("revenue_brl"),
-        F.transform(listed, lambda p: p["price"]).alias("prices"),
     )
-    return Tickets.from_raw(online, as_of), entries.select(
+    ledger = entries.select(
+        "entry_id",
         F.lit(tenant).alias("tenant_id"),
         "event_name",
         "tickets",
         "revenue_brl",
-        "prices",
+        F.lit(None).cast("array<decimal(18,6)>").alias("prices"),
         F.lit(None).cast("date").alias("entry_date"),
         F.lit(C.ORIGIN_CONSOLIDATED).alias("source"),
         F.lit(added_at).alias("added_at"),
     )
+    return Tickets.from_raw(online, as_of), ledger, door.select("entry_id", "price")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from turnstile import schema as S
 from turnstile.functions.normalise import decimal_cents
@@ -17,6 +19,31 @@ def of_tenant(rows: DataFrame, tenant) -> DataFrame:
     return rows.filter(F.col("tenant_id") == F.lit(tenant))
 
 
+def tenant_rows(spark: SparkSession, path: str, tenant: str, schema: StructType) -> DataFrame:
+    """One tenant's rows, read from its folder alone: other tenants' files are not even listed."""
+    reader = spark.read.schema(schema).option("basePath", path)
+    try:
+        return reader.parquet(f"{path}/tenant_id={tenant}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def quarantine(rejected: DataFrame, path: str) -> None:
+    """Append rejected records that the folder does not hold yet, by their whole content."""
+    spark = rejected.sparkSession
+    content = F.sha2(F.to_json(F.struct(*rejected.columns), {"ignoreNullFields": "false"}), 256)
+    fresh = rejected.withColumn("content", content).dropDuplicates(["content"])
+    try:
+        held = spark.read.schema(fresh.schema).parquet(path).select("content")
+        fresh = fresh.join(held, "content", "left_anti").select(*fresh.columns)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    fresh.write.mode("append").parquet(path)
+
+
 def reject_reason(batch: DataFrame) -> Column:
     """Why a record cannot be stored, or null: it needs a key and whole cents."""
     dtypes = {f.name: f.dataType for f in batch.schema.fields}

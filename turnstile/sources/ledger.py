@@ -48,11 +48,15 @@ class LedgerStore:
             mine.filter(~is_valid()).write.mode("append").parquet(quarantine)
 
     def load(self, tenant: str) -> DataFrame:
-        """The tenant's entries in the order they were added; an empty price list is none."""
-        table = self.spark.read.schema(S.LEDGER).parquet(self.path)
+        """The tenant's entries in the order they were added; an empty price list is none.
+
+        A batch shares its time, so the order goes on with other columns: a range sort can
+        then part the batch.
+        """
         prices = F.when(F.size("prices") > 0, F.col("prices"))
-        rows = ingest.of_tenant(table, checked_tenant(tenant)).withColumn("prices", prices)
-        return rows.orderBy("added_at")
+        own = ingest.tenant_rows(self.spark, self.path, checked_tenant(tenant), S.LEDGER)
+        rows = own.withColumn("prices", prices)
+        return rows.orderBy("added_at", "event_name", "entry_date", "tickets", "revenue_brl")
 
     def clear(self, tenant: str) -> None:
         fields = [f for f in S.LEDGER.fields if f.name != "tenant_id"]

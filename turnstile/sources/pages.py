@@ -16,8 +16,9 @@ PAGE = "cursor string, data array<string>, pagination struct<next: string>"
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """One row per landed page."""
-    return landed(spark.read.schema(PAGE).json(path, multiLine=True))
+    """One row per landed page. A page that is cut off or malformed fails the read:
+    taken as empty, its tickets would be lost without a trace."""
+    return landed(spark.read.schema(PAGE).json(path, multiLine=True, mode="FAILFAST"))
 
 
 def landed(files: DataFrame) -> DataFrame:

@@ -104,6 +104,22 @@ def totals(sales_rows: DataFrame) -> DataFrame:
     return sales_rows.groupBy("file").agg(*_figures())
 
 
+def one_show_entries(
+    per_file: DataFrame, event_name: str, tenant: str, added_at: datetime
+) -> DataFrame:
+    """One ledger entry per statement, its figures of ``totals``, all for one show."""
+    return per_file.select(
+        F.lit(tenant).alias("tenant_id"),
+        F.lit(event_name).alias("event_name"),
+        F.col("tickets").cast("int").alias("tickets"),
+        "revenue_brl",
+        "prices",
+        F.lit(None).cast("date").alias("entry_date"),
+        F.lit(C.ORIGIN_STATEMENT).alias("source"),
+        F.lit(added_at).alias("added_at"),
+    )
+
+
 def by_date(sales_rows: DataFrame) -> DataFrame:
     """Figures per statement file and sale date."""
     return sales_rows.groupBy("file", "sale_date").agg(*_figures())
@@ -112,10 +128,25 @@ def by_date(sales_rows: DataFrame) -> DataFrame:
 def assigned_entries(
     dated: DataFrame, assignments: DataFrame, tenant: str, added_at: datetime
 ) -> DataFrame:
-    """Ledger entries for the dates that ``assignments`` (sale_date, event_name) maps to a show."""
+    """Ledger entries for the dates that ``assignments`` (sale_date, event_name) maps to a show.
+
+    A date has one show: a date that is mapped to two raises when the entries are read, as it
+    would double the day's sales. The same mapping twice is one.
+    """
     wanted = assignments.filter(
         F.col("event_name").isNotNull() & (F.col("event_name") != C.IGNORED_SHOW)
     )
+    twice = F.raise_error(F.concat(F.lit("date mapped to two shows: "), F.col("sale_date")))
+    wanted = (
+        wanted.groupBy("sale_date")
+        .agg(F.min("event_name").alias("event_name"), F.max("event_name").alias("other"))
+        .select(
+            "sale_date",
+            F.when(F.col("event_name") == F.col("other"), F.col("event_name"))
+            .otherwise(twice.cast("string"))
+            .alias("event_name"),
+        )
+    )
     return dated.join(wanted, "sale_date").select(
         F.lit(tenant).alias("tenant_id"),
         "event_name",

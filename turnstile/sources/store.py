@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
+import uuid
 from datetime import date, datetime
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,8 +71,16 @@ class TicketStore:
 
     def rows(self, tenant: str) -> DataFrame:
         """The stored rows of one tenant; other tenants' folders are not listed for reading."""
-        table = self.spark.read.schema(_WITH_TENANT).parquet(self.path)
-        return ingest.of_tenant(table, checked_tenant(tenant))
+        return ingest.tenant_rows(self.spark, self.path, checked_tenant(tenant), _WITH_TENANT)
+
+    def _staged(self, rows: DataFrame) -> DataFrame:
+        """The rows written beside the table, where readers do not look, and read back.
+
+        What is written twice must not be computed twice: the store changes in between.
+        """
+        folder = f"{self.path}/_staging/{uuid.uuid4().hex}"
+        rows.write.parquet(folder)
+        return self.spark.read.schema(rows.schema).parquet(folder)
 
     def tickets(self, tenant: str, as_of: date | datetime) -> Tickets:
         """Normalised tickets of one tenant."""
@@ -90,8 +98,9 @@ class TicketStore:
 
         Ids are compared before the JSON is parsed, so what is known already costs no
         parsing. Refused records go to the ``quarantine`` folder. With ``refresh`` the
-        batch also replaces stored rows of the same id. Running a batch again adds
-        nothing.
+        batch also replaces stored rows of the same id; the new partition is written in
+        full before the old one goes, and stays under ``_staging``. Running a batch again
+        adds nothing.
         """
         stored = self.rows(tenant)
         position = [c for c in ("page_file", "position") if c in records.columns]
@@ -109,31 +118,24 @@ class TicketStore:
             batch = typed(ingest.one_per_id(with_id, order), fetched_at)
             known = stored.select("ticket_id", F.lit(True).alias("known"))
             written = batch.join(known, "ticket_id", "left")
-        read_again = refresh or quarantine is not None
-        if read_again:
-            # Lost blocks are computed again from the batch and the store as listed above.
-            written = written.persist(StorageLevel.DISK_ONLY)
-        try:
-            accepted = written.filter(F.col("reject_reason").isNull()).drop("reject_reason")
-            if refresh:
-                n_new = accepted.filter(F.col("known").isNull()).count()
-                self._replace(tenant, stored, accepted.drop("known"))
-            else:
-                seen = Observation()
-                accepted = accepted.observe(seen, F.count(F.lit(1)).alias("n_new"))
-                accepted.write.mode("append").parquet(self._folder(tenant))
-                n_new = seen.get["n_new"]
-            if quarantine is not None:
-                nameless = keyed.filter(F.col("ticket_id").isNull()).select(
-                    "ticket_id", "raw", F.lit(ingest.NO_ID).alias("reject_reason")
-                )
-                refused = written.filter(F.col("reject_reason").isNotNull())
-                refused.select("ticket_id", "raw", "reject_reason").unionByName(
-                    nameless
-                ).write.mode("append").parquet(quarantine)
-        finally:
-            if read_again:
-                written.unpersist()
+        if refresh or quarantine is not None:
+            written = self._staged(written)
+        if quarantine is not None:
+            nameless = keyed.filter(F.col("ticket_id").isNull()).select(
+                "ticket_id", "raw", F.lit(ingest.NO_ID).alias("reject_reason")
+            )
+            refused = written.filter(F.col("reject_reason").isNotNull())
+            refused = refused.select("ticket_id", "raw", "reject_reason").unionByName(nameless)
+            ingest.quarantine(refused, quarantine)
+        accepted = written.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+        if refresh:
+            n_new = accepted.filter(F.col("known").isNull()).count()
+            self._replace(tenant, stored, accepted.drop("known"))
+        else:
+            seen = Observation()
+            accepted = accepted.observe(seen, F.count(F.lit(1)).alias("n_new"))
+            accepted.write.mode("append").parquet(self._folder(tenant))
+            n_new = seen.get["n_new"]
         return {"n_new": n_new, "n_existing": n_existing}
 
     def _replace(self, tenant: str, stored: DataFrame, batch: DataFrame) -> None:
@@ -141,7 +143,8 @@ class TicketStore:
         untouched = stored.join(batch.select("ticket_id"), "ticket_id", "left_anti")
         merged = untouched.unionByName(batch.withColumn("tenant_id", F.lit(tenant)))
         (
-            merged.write.mode("overwrite")
+            self._staged(merged)
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("tenant_id")
             .parquet(self.path)
