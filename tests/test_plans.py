@@ -13,7 +13,7 @@ import __spark_entry__ as contract
 from turnstile.plans import queries as registry
 from turnstile.sources import tables
 
-_ALL = sorted(contract.queries())
+_ALL = sorted(registry.queries())
 
 
 def _plan(df, mode: str = "simple") -> str:

@@ -18,7 +18,6 @@ SUBSCRIBED = "Inscrito"
 NOT_SUBSCRIBED = "Não Inscrito"
 IGNORED_SHOW = "(ignorar)"
 
-WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 WEEKDAY_LABELS = ["Seg", "Ter", "Qua", "Qui", "Sex", "Sáb", "Dom"]
 
 # Placeholders that mean "not given".

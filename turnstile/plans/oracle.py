@@ -270,11 +270,28 @@ select concat('show ', isodow(sale_date) - 1) as event_name, count(*) as tickets
 from lines where isodow(sale_date) <> 7 group by all
 """,
         "ledger": "with " + _RAW.strip() + "," + _TICKETS + "," + _LEDGER + """
-select entry_id, event_name, tickets, revenue_cents, entry_date,
+select event_name, tickets, revenue_cents, entry_date,
   case when entry_id % 3 = 0 then 'pagbank_csv' else 'manual' end as source,
   cast(case when entry_id % 2 = 0 then tickets when entry_id % 9 = 0 then 1 else 0 end as int)
     as n_prices
 from entries
+""",
+        "load_csv": _with("""
+select event_name, count(ticket_id) as tickets, cast(sum(deal_price) as bigint) as revenue_cents,
+  count(*) filter (contact_newsletter_optin) as optins, min(order_date) as first_order
+from live group by event_name
+"""),
+        "export_consolidated": _with("""
+select 'Shotgun' as source, event_name, count(*) as tickets,
+  cast(coalesce(sum(deal_price), 0) * 10000 as bigint) as price_micros
+from live group by event_name
+union all
+select 'Porta', event_name, count(*), cast(sum(micros) as bigint) from door group by event_name
+""", _LEDGER),
+        "clear_ledger": """
+select '1' as tenant_id, cast(0 as bigint) as entries union all
+select '2', count(*) from events join region on r_regionkey = cast(user_id % 5 as int)
+where event_type = 'purchase' and event_id % 2 = 1
 """,
         "append_ledger": """
 select source, source in ('manual', 'pagbank_csv') and event_name is not null as accepted,
@@ -334,6 +351,10 @@ where event_name = 'ASIA 1997Q2' and order_date is not null group by all
         "sales_daily_since_first": _with(
             "select event_name, order_date, days_since_first as x, tickets from curve", _CURVE
         ),
+        "sales_axis": _with(
+            "select event_name, order_date, days_until as x, tickets, 'until' as axis from curve",
+            _CURVE,
+        ),
         "sales_cumulative": _with("select event_name, order_date, cum_tickets from curve", _CURVE),
         "sales_by_weekday": _with(f"""
 select w.no as weekday_no, w.label as weekday, count(t.ticket_id) as tickets

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -9,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstile import constants as C
+from turnstile import schema as S
 from turnstile.filters import Filters, kept, kept_online, selected
 from turnstile.frame import Tickets
 from turnstile.operators import (
     audience,
     compare,
+    curves,
     door,
     kpi,
     marketing,
@@ -22,7 +26,7 @@ from turnstile.operators import (
     sales,
     universe,
 )
-from turnstile.session import configure
+from turnstile.session import configure, shared_dir
 from turnstile.sources import csv, ingest, ledger, pages, statement, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,7 +141,10 @@ def _ingest_pages(spark: SparkSession, directory: str) -> DataFrame:
         )
     )
     parsed = pages.parsed(pages.records(landed).select("ticket_id", "raw"))
-    back = Tickets.from_raw(parsed.drop("raw"), AS_OF)
+    return _per_show(Tickets.from_raw(parsed.drop("raw"), AS_OF))
+
+
+def _per_show(back: Tickets) -> DataFrame:
     return (
         kept(back, ALL)
         .groupBy("event_name")
@@ -229,16 +236,69 @@ def _assign_statement_dates(spark: SparkSession, directory: str) -> DataFrame:
     return door.door_totals(entries)
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder on storage that all executors share; a temporary one where none is named."""
+    shared = shared_dir(spark)
+    if shared is None:
+        shared = tempfile.mkdtemp(prefix="turnstile-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
+def _load_csv(spark: SparkSession, directory: str) -> DataFrame:
+    """Every ticket written as CSV text, loaded again and summed per show."""
+    configure(spark)
+    columns = [*_SCOPE.split(), "ticket_id", "ordered_at", "deal_price", "contact_newsletter_optin"]
+    flag = F.initcap(F.col("contact_newsletter_optin").cast("string"))
+    raw = tables.tickets(spark, directory, *columns).withColumn("contact_newsletter_optin", flag)
+    path = _folder(spark, "csv")
+    raw.write.csv(path, header=True, escape='"')
+    return _per_show(csv.load_csv(spark, path, AS_OF, multi_line=False))
+
+
+def _export(spark: SparkSession, directory: str) -> DataFrame:
+    """Both channels written as one consolidated file, summed from its text."""
+    both = _both(spark, directory, f"{_SCOPE} deal_price")
+    path = _folder(spark, "export")
+    csv.export_consolidated(both, Filters.of(channels=[C.ONLINE, C.DOOR]), path)
+    micros = F.col("deal_price_brl").cast(S.PRICE) * 1_000_000
+    return (
+        spark.read.csv(path, header=True, escape='"')
+        .groupBy("source", "event_name")
+        .agg(
+            F.count(F.lit(1)).alias("tickets"),
+            F.coalesce(F.sum(micros).cast("long"), F.lit(0)).alias("price_micros"),
+        )
+    )
+
+
 def _ledger(spark: SparkSession, directory: str) -> DataFrame:
+    """Every ledger entry appended to a store and loaded from it."""
     configure(spark)
+    store = ledger.LedgerStore(spark, _folder(spark, "ledger")).create()
+    store.append("1", tables.ledger(spark, directory))
     cents = (F.col("revenue_brl") * 100).cast("long").alias("revenue_cents")
     n_prices = F.coalesce(F.size("prices"), F.lit(0)).alias("n_prices")
-    entries = tables.ledger(spark, directory)
-    return entries.select(
-        "entry_id", "event_name", "tickets", cents, "entry_date", "source", n_prices
+    return store.load("1").select(
+        "event_name", "tickets", cents, "entry_date", "source", n_prices
     )
 
 
+def _clear_ledger(spark: SparkSession, directory: str) -> DataFrame:
+    """Two tenants' entries after one of them is cleared."""
+    configure(spark)
+    store = ledger.LedgerStore(spark, _folder(spark, "ledger")).create()
+    entries = tables.ledger(spark, directory)
+    for tenant, rest in (("1", 0), ("2", 1)):
+        store.append(tenant, entries.filter(F.col("entry_id") % 2 == rest))
+    store.clear("1")
+    left = [
+        store.load(t).agg(F.lit(t).alias("tenant_id"), F.count(F.lit(1)).alias("entries"))
+        for t in ("1", "2")
+    ]
+    return left[0].unionByName(left[1])
+
+
 def _append_ledger(spark: SparkSession, directory: str) -> DataFrame:
     """Every event offered to the ledger, with its type as the origin of all but two types."""
     configure(spark)
@@ -249,10 +309,22 @@ def _append_ledger(spark: SparkSession, directory: str) -> DataFrame:
         "case event_type when 'purchase' then 'manual' when 'view' then 'pagbank_csv' "
         "else event_type end as source",
     )
-    entries = ledger.conform(offered)
-    return entries.groupBy("source", ledger.is_valid().alias("accepted")).agg(
-        F.count(F.lit(1)).alias("entries")
+    store = ledger.LedgerStore(spark, _folder(spark, "ledger")).create()
+    refused = _folder(spark, "refused")
+    store.append("1", offered, quarantine=refused)
+    marked = (
+        store.load("1")
+        .select("source", F.lit(True).alias("accepted"))
+        .unionByName(spark.read.parquet(refused).select("source", F.lit(False).alias("accepted")))
     )
+    return marked.groupBy("source", "accepted").agg(F.count(F.lit(1)).alias("entries"))
+
+
+def _sales_axis(spark: SparkSession, directory: str) -> DataFrame:
+    """Daily tickets on the axis that the data allow, with its name."""
+    tickets = load(spark, directory, f"{_SCOPE} ordered_at event_start_time")
+    axis = curves.choose_axis(kept(tickets, Y98), tickets)
+    return sales.daily_by_axis(tickets, Y98, axis).withColumn("axis", F.lit(axis))
 
 
 def _import_consolidated(spark: SparkSession, directory: str) -> DataFrame:
@@ -331,6 +403,9 @@ def queries() -> dict[str, Query]:
         "statement_totals": _statement_totals,
         "statement_by_date": _statement_by_date,
         "assign_statement_dates": _assign_statement_dates,
+        "load_csv": _load_csv,
+        "export_consolidated": _export,
+        "clear_ledger": _clear_ledger,
         "ledger": _ledger,
         "append_ledger": _append_ledger,
         "import_consolidated": _import_consolidated,
@@ -379,6 +454,7 @@ def queries() -> dict[str, Query]:
         "sales_daily_since_first": _metric(
             lambda t, f: sales.daily_by_axis(t, f, axis="since_first"), Y98, curve
         ),
+        "sales_axis": _sales_axis,
         "sales_cumulative": _metric(sales.cumulative, Y98, curve),
         "sales_by_weekday": _metric(sales.by_weekday, ALL, "ordered_at"),
         "sales_lead_time": _metric(sales.lead_time, ALL, curve),

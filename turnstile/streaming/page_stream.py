@@ -38,6 +38,7 @@ def start(
     files = (
         spark.readStream.schema(pages.PAGE)
         .option("multiLine", True)
+        .option("mode", "FAILFAST")
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .json(landing)
     )
