@@ -82,7 +82,8 @@ def shard(rows: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "
     """
     h, size, depth, name, whole = (free_name(rows, n) for n in ("shard_hash", "n_bytes", "depth", "shard", "shard_bytes"))
     hashed = rows.withColumn(h, hash_of(F.col(id_col))).withColumn(size, F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long"))
-    sizes = hashed.select(F.col(h).alias("h"), F.col(size).alias("bytes"))
+    # 16 bytes a row, so that deciding the splits does not read the texts again.
+    sizes = written(hashed.select(F.col(h).alias("h"), F.col(size).alias("bytes")), "sizes")
     found = written(directory(sizes, limit), "cells")
     depths = [r[0] for r in found.select("cell_depth").distinct().collect()]
     placed = None
