@@ -84,13 +84,15 @@ def in_kept(f: Filters, tickets: Tickets) -> Column:
 
 def _within(low: date, high: date, tickets: Tickets) -> Column:
     """Order date between two days, both included."""
-    if tickets.has_door:
-        return F.col("order_date").between(F.lit(low), F.lit(high))
-    # Online tickets have a moment, whose bounds a scan can use.
+    # Online tickets have a moment, whose bounds a scan can use; door tickets have a day.
     ordered = F.col("ordered_at")
     first = F.lit(low).cast("timestamp")
     after = F.date_add(F.lit(high), 1).cast("timestamp")
-    return (ordered >= first) & (ordered < after)
+    moment = (ordered >= first) & (ordered < after)
+    if not tickets.has_door:
+        return moment
+    day = F.col("order_date").between(F.lit(low), F.lit(high))
+    return (is_online() & moment) | (~is_online() & day)
 
 
 def is_online() -> Column:

@@ -118,31 +118,35 @@ def tickets_sold(tickets: Tickets, f: Filters) -> DataFrame:
 def loyalty(tickets: Tickets, f: Filters) -> DataFrame:
     """Buyers of a show seen in no other selected show, and those seen in another one.
 
-    A buyer's set of shows is built map-side first and holds at most one entry per
-    selected show, so a buyer with very many tickets stays small.
+    Tickets shrink to one row per buyer and show. A buyer whose first and last show by
+    name are the same has one show; the others of a show's buyers return.
     """
     tickets.require("contact_id")
-    buyers = (
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    pairs = (
         kept(tickets, f)
         .filter(F.col("contact_id").isNotNull())
-        .groupBy("contact_id")
-        .agg(F.collect_set("event_name").alias("shows"))
+        .groupBy("contact_id", "event_name")
+        .agg(F.count(F.lit(1)).alias("tickets"))
     )
-    alone = F.size("shows") == 1
-    seen = buyers.select(
-        F.explode("shows").alias("event_name"),
-        alone.cast("long").alias("first_time"),
-        (~alone).cast("long").alias("returning"),
+    single = (
+        pairs.groupBy("contact_id")
+        .agg(F.min("event_name").alias("event_name"), F.max("event_name").alias("last"))
+        .filter(F.col("event_name") == F.col("last"))
+        .select("event_name", one.alias("first_time"), zero.alias("buyers"))
     )
+    seen = pairs.select("event_name", zero.alias("first_time"), one.alias("buyers"))
     none = _selected_shows(tickets, f).select(
-        "event_name",
-        F.lit(0).cast("long").alias("first_time"),
-        F.lit(0).cast("long").alias("returning"),
+        "event_name", zero.alias("first_time"), zero.alias("buyers")
     )
     return (
-        seen.unionByName(none)
+        seen.unionByName(single)
+        .unionByName(none)
         .groupBy("event_name")
-        .agg(F.sum("first_time").alias("first_time"), F.sum("returning").alias("returning"))
+        .agg(
+            F.sum("first_time").alias("first_time"),
+            (F.sum("buyers") - F.sum("first_time")).alias("returning"),
+        )
     )
 
 

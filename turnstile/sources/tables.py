@@ -146,12 +146,14 @@ def tickets(
     if wanted & _OF_PART:
         rows = rows.join(table(spark, directory, "part"), F.expr("l_partkey = p_partkey"), "left")
     if wanted & _OF_ORGANISER:
+        # Joined to each other first, so that a line item is looked up once.
+        organisers = table(spark, directory, "supplier")
         for name, condition in (
-            ("supplier", "l_suppkey = s_suppkey"),
             ("nation", "s_nationkey = n_nationkey"),
             ("region", "n_regionkey = r_regionkey"),
         ):
-            rows = rows.join(table(spark, directory, name), F.expr(condition), "left")
+            organisers = organisers.join(table(spark, directory, name), F.expr(condition), "left")
+        rows = rows.join(organisers, F.expr("l_suppkey = s_suppkey"), "left")
     return rows.selectExpr(*[f"{sql} as {name}" for name, sql in _TICKET.items() if name in wanted])
 
 
