@@ -143,7 +143,7 @@ def judge(docs: DataFrame, weights: list[int], threshold: float = THRESHOLD, tex
 
     `base_failed`: fewer than 50 words, or more than half of the words inside repeated three-word windows. Null and
     empty texts have no words, so they fail. Words of any length and texts of any length are taken whole; repeated
-    rows are judged alike. A name that the input already has gets underscores.
+    rows are judged alike. A name that the input already has gets underscores. To filter by the verdict, use `passing`.
     """
     held = free_name(docs, "measures")
     table = F.from_json(F.lit(json.dumps(weights)), "array<bigint>")
@@ -159,6 +159,18 @@ def judge(docs: DataFrame, weights: list[int], threshold: float = THRESHOLD, tex
     return out.withColumn(free_name(docs, "kept"), ~failed & (F.coalesce(F.col(score), F.lit(0.0)) >= threshold)).drop(held)
 
 
+def passing(docs: DataFrame, weights: list[int], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The documents that `judge` keeps; same columns.
+
+    A filter on computed columns is moved below the steps that compute them, and their expressions are then copied
+    into the functions of single words. A row number, which may not be computed twice, holds the filter in place.
+    """
+    judged = judge(docs, weights, threshold, text_col)
+    kept, row = judged.columns[-1], free_name(judged, "q_row")
+    numbered = judged.select(*docs.columns, F.col(kept), F.monotonically_increasing_id().alias(row))
+    return numbered.filter(F.col(kept) & (F.col(row) >= 0)).select(*docs.columns)
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """Ids of the documents labelled good and not toxic."""
     return labels.filter("quality = 1 AND toxic = 0").select("doc_id")
