@@ -58,6 +58,14 @@ def test_nulls_empty_repeated_and_clashing_columns(spark):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 8]
 
 
+def test_sizes_far_apart_fold_their_bitmaps(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "_BITMAP_BITS", 64)
+    words = [f"w{i}" for i in range(600)]
+    rows = [(1, " ".join(words[:200])), (2, " ".join(words[:520])), (3, " ".join(words[:600])), (4, " ".join(reversed(words)))]
+    found = setjoin.link_documents(frame(spark, rows), 3, 35).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.components(rows, 3, 35)
+
+
 def test_empty_table(spark):
     docs = frame(spark, [])
     assert setjoin.link_documents(docs, 3, 90).isEmpty()

@@ -174,13 +174,15 @@ def _led(index: DataFrame, percent: int) -> DataFrame:
 def _not_apart(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs, with `apart`, but for those whose bitmaps prove too large a difference.
 
-    A bitmap of twice the cells is folded first; the sizes of a pair never differ by more.
+    The larger set may have a bitmap of more cells, a power of two more; it is folded to the smaller one first.
     """
     light = nodes.select("fp", "n", "bits")
     both = pairs.join(_pick(light, "a"), "a").join(_pick(light, "b"), "b")
     half = F.size("bits_a")
     xor = lambda x, y: x.bitwiseXOR(y)
-    folded = F.when(F.size("bits_b") == half, F.col("bits_b")).otherwise(F.zip_with(F.slice("bits_b", F.lit(1), half), F.slice("bits_b", half + 1, half), xor))
+    pieces = F.sequence(F.lit(0), F.floor(F.size("bits_b") / half).cast("int") - 1)
+    folded = F.aggregate(pieces, F.array_repeat(F.lit(0).cast("long"), half), lambda sum_, k: F.zip_with(sum_, F.slice("bits_b", k * half + 1, half), xor))
+    folded = F.when(F.size("bits_b") == half, F.col("bits_b")).otherwise(folded)
     apart = F.aggregate(F.zip_with("bits_a", folded, lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda s, x: s + x)
     return both.select("a", "b", "n_a", "n_b", apart.alias("apart")).filter((100 + percent) * F.col("apart") <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b", "apart")
 
