@@ -32,7 +32,7 @@ _U = np.uint64
 #: Fewest cells of a bitmap.
 _BITMAP_BITS = 1024
 _RUN_DOCS = 4096
-_RUN_REPEATS = 8
+_RUN_REPEATS = 3
 #: At most so many shingles are put last for being frequent (16 bytes each are sent to every task).
 FREQUENT_LIMIT = 100_000
 _POSITION_BLOCKS = 20
@@ -187,6 +187,13 @@ def _not_apart(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", apart.alias("apart")).filter((100 + percent) * F.col("apart") <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b", "apart")
 
 
+def _apart_by(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs whose sets the known links do not join."""
+    of = lambda side: known.select(F.col("fp").alias(side), F.col("root").alias(f"root_{side}"))
+    rooted = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return rooted.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def _sets_of(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """(fp, shingles) of the sets in the pairs, from the text of one document of each; a few ids are broadcast."""
     needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
@@ -268,9 +275,14 @@ def link_documents(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id"
     first_pairs = written(ends.groupBy("fp").agg(F.min(F.struct("apart", "a", "b")).alias("best")).select("best.a", "best.b").distinct(), "first_pairs")
     first = written(_linked(first_pairs, _sets_of(texts, nodes, first_pairs, k), percent), "first_links")
     # Other answers follow from those unless two sets are still apart.
+    # A large group of near copies has many lists and leaders: all leaders that are still apart from a set come next.
+    # They are no more than the rows of the index, whatever the size of a group.
+    led_pairs = ends.select("a", "b").distinct().join(first_pairs, ["a", "b"], "left_anti")
+    second_pairs = written(_apart_by(led_pairs, components(first)), "second_pairs")
+    first = written(first.union(_linked(second_pairs, _sets_of(texts, nodes, second_pairs, k), percent)), "leader_links")
     known = components(first)
     rooted = index.drop("leader").join(known, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    open_pairs = _not_apart(_candidates(written(rooted, "rooted"), percent), nodes, percent).join(first_pairs, ["a", "b"], "left_anti").select("a", "b")
+    open_pairs = _not_apart(_candidates(written(rooted, "rooted"), percent), nodes, percent).join(first_pairs.union(second_pairs), ["a", "b"], "left_anti").select("a", "b")
     open_pairs = written(open_pairs, "open_pairs")
     links = first.union(_linked(open_pairs, _sets_of(texts, nodes, open_pairs, k), percent))
     rooted = nodes.select("fp", "label").join(components(links), "fp", "left").select("fp", "label", F.coalesce("root", "fp").alias("root"))
