@@ -31,7 +31,7 @@ DROPOUT = 0.1
 SEED = 20
 VARIANTS = 4
 #: Units in the newer of two generations kept in each worker; when it is full, it becomes the older one.
-CACHE_UNITS = 500_000
+CACHE_UNITS = 1_000_000
 
 _SPACE = "▁"
 _UNIT = re.compile(rf"\n|{_SPACE}+[^{_SPACE}\n]*|[^{_SPACE}\n]+")
@@ -40,9 +40,9 @@ _MASK = (1 << 64) - 1
 _LITERAL = "\ud800"
 #: Units of up to so many characters are merged by scanning a list, longer ones with a heap; the result is the same.
 _SHORT = 24
-_NEVER = float("inf")
-# Odd multipliers of the keyed hash of a candidate.
-_A, _B, _C, _D = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93
+_NEVER = 1 << 60
+# Odd multipliers of the hashes; the last also mixes a candidate's place into the key.
+_A, _B, _D = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93
 
 
 def read_pieces(path: str = MODEL) -> list[tuple[str, float, bool]]:
@@ -67,7 +67,7 @@ class Codec:
 
     def __init__(self, pieces: list[tuple[str, float, bool]], seed: int = SEED, dropout: float = DROPOUT):
         self.ids, self.bytes = {}, [0] * 256
-        self.rank: dict[str, float] = {}
+        scored: list[tuple[float, str]] = []
         self.raw: list[bytes] = []
         for i, (piece, score, is_byte) in enumerate(pieces):
             if is_byte:
@@ -78,9 +78,12 @@ class Codec:
             self.raw.append(piece.replace(_SPACE, " ").encode())
             if piece:
                 self.ids[piece] = i
-                self.rank[piece] = -score
+                scored.append((-score, piece))
                 if len(piece) > 1 and (_SPACE in piece.lstrip(_SPACE) or "\n" in piece):
                     raise ValueError(f"a piece joins units: {piece!r}")
+        #: Equal scores share a rank, so that place decides between them.
+        order = {score: n for n, score in enumerate(sorted({score for score, _ in scored}))}
+        self.rank = {piece: order[score] for score, piece in scored}
         self.key = int.from_bytes(hashlib.blake2b(str(seed).encode(), digest_size=8).digest(), "little")
         self.limit = int(dropout * (1 << 32))
         self.kept: list[dict[str, bytes]] = [{} for _ in range(VARIANTS if self.limit else 1)]
@@ -88,11 +91,15 @@ class Codec:
         self.room = CACHE_UNITS
 
     def _hash(self, data: str, more: int) -> int:
-        return xxhash.xxh64_intdigest(data.encode("utf-8", "surrogatepass"), seed=(self.key + more) & _MASK)
+        try:
+            raw = data.encode()
+        except UnicodeEncodeError:  # the stand-in of a literal mark
+            raw = data.encode("utf-8", "surrogatepass")
+        return xxhash.xxh64_intdigest(raw, (self.key + more) & _MASK)
 
     def _skipped(self, base: int, start: int, left: int, whole: int) -> bool:
         """Whether the key drops the candidate of `whole` characters at `start` whose left part has `left`."""
-        return ((base ^ (start * _A + left * _B + whole * _C)) * _D & _MASK) >> 32 < self.limit
+        return ((base ^ (start << 10) + (left << 5) + whole) * _D & _MASK) >> 32 < self.limit
 
     def _spell(self, symbol: str) -> Iterator[int]:
         """Id of a symbol, or of its bytes."""
@@ -115,14 +122,15 @@ class Codec:
     def _scan(self, unit: str, base: int) -> list[str]:
         rank, limit = self.rank.get, self.limit
         parts, starts = list(unit), list(range(len(unit)))
-        ranks = [rank(unit[i : i + 2], _NEVER) for i in starts[:-1]]
+        ranks = [rank(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
         while ranks:
             best = min(ranks)
             if best == _NEVER:
                 break
             i = ranks.index(best)
-            whole = parts[i] + parts[i + 1]
-            if limit and ((base ^ (starts[i] * _A + len(parts[i]) * _B + len(whole) * _C)) * _D & _MASK) >> 32 < limit:
+            left = parts[i]
+            whole = left + parts[i + 1]
+            if limit and ((base ^ (starts[i] << 10) + (len(left) << 5) + len(whole)) * _D & _MASK) >> 32 < limit:
                 ranks[i] = _NEVER
                 continue
             parts[i] = whole
@@ -172,7 +180,7 @@ class Codec:
         return np.frombuffer(b"".join(found), dtype=np.int32)
 
     def _look_up(self, unit: str, v: int) -> bytes:
-        ids = self.kept[v].get(unit) or self.older[v].get(unit)
+        ids = self.older[v].get(unit)
         if ids is None:
             ids = self._merge(unit, self._hash(unit, v) if self.limit else 0)
         if not self.room:
