@@ -195,6 +195,34 @@ def test_list_and_heap_agree(vocabulary):
         assert codec._scan(unit, 12345) == codec._agenda(unit, 12345)
 
 
+def test_each_occurrence_draws_its_own_skips(vocabulary):
+    codec, plain = pieces.Codec(vocabulary, 7, 0.1), pieces.Codec(vocabulary, 7, 0.0)
+    text = " ".join(["information", "representation"] * 3000)
+    units = pieces._units(text)
+    keys = codec._keys(text, len(units))
+    # What is kept of a unit changes nothing: each occurrence is as merged alone under its own key.
+    alone = [codec._merge(u, int(k)) for u, k in zip(units, keys, strict=True)]
+    assert codec.encode(text).tobytes() == b"".join(alone) == codec.encode(text).tobytes()
+    for word in ("▁information", "▁representation"):
+        seen = [a for u, a in zip(units, alone, strict=True) if u == word]
+        codes = []
+        plain._scan(word, 0, (), codes)
+        assert len(set(seen)) > 30
+        # No candidate is skipped as often as independent draws of one in ten would have it.
+        untouched = sum(u == word and not any((int(k) ^ c) * pieces._D % 2**64 >> 32 < codec.limit for c in codes) for u, k in zip(units, keys, strict=True))
+        assert abs(untouched / len(seen) - 0.9 ** len(codes)) < 0.04
+
+
+def test_a_full_cache_and_long_units_change_nothing(vocabulary, monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE_ORDERS", 3)
+    text = "some words recur and some words do not, some are " + "verylong" * 40
+    small = pieces.Codec(vocabulary, 7, 0.3)
+    texts = [text * 3, "", text]
+    small = [ids.tolist() for ids in small.encode_all(texts)]
+    monkeypatch.undo()
+    assert small == [pieces.Codec(vocabulary, 7, 0.3).encode(t).tolist() for t in texts]
+
+
 def test_tables_of_pieces(spark):
     rows = [(1, "Hello  ▁world", "s"), (1, "Hello  ▁world", "s"), (2, None, None), (3, "", None), (None, LONG, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, token_ids string")

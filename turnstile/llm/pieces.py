@@ -5,8 +5,10 @@ pair is taken first, the leftmost among equals. A keyed hash of the candidate an
 is skipped, so a seed always gives the same segmentation and another seed another one. Characters that the vocabulary
 lacks, and a ▁ of the text itself, become byte pieces; therefore every segmentation decodes to the text.
 
-No piece holds ▁ after another character, so a text is merged in units of a run of ▁ and what follows; results of units
-are kept in each worker for a few variants of the key. The variant is drawn by the text and the unit's place in it.
+No piece holds ▁ after another character, so a text is merged in units of a run of ▁ and what follows. The key of a unit
+is drawn by the text and the unit's place in it, so every occurrence has its own skips. What each worker keeps of a unit
+is no result of one key but the candidates in the order they come up, for the skips that came before; an occurrence
+asks its key about each and follows.
 """
 
 from __future__ import annotations
@@ -29,9 +31,12 @@ from turnstile.llm.common import in_batches, slices, strings
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 20
-VARIANTS = 4
-#: Units in the newer of two generations kept in each worker; when it is full, it becomes the older one.
-CACHE_UNITS = 1_000_000
+#: Orders of merges, and names of units seen, kept in each worker; when so many are there, it starts anew.
+CACHE_ORDERS = 600_000
+#: After so many skips in a unit its merges are done for that occurrence alone and not kept.
+_KEPT_SKIPS = 3
+#: Units looked at together.
+_TOGETHER = 1 << 16
 
 _SPACE = "▁"
 _UNIT = re.compile(rf"\n|{_SPACE}+[^{_SPACE}\n]*|[^{_SPACE}\n]+")
@@ -41,8 +46,8 @@ _LITERAL = "\ud800"
 #: Units of up to so many characters are merged by scanning a list, longer ones with a heap; the result is the same.
 _SHORT = 24
 _NEVER = 1 << 60
-# Odd multipliers of the hashes; the last also mixes a candidate's place into the key.
-_A, _B, _D = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93
+# Odd multipliers of the hashes; the last mixes a candidate's code into the key.
+_A, _B, _C, _D = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93
 
 
 def read_pieces(path: str = MODEL) -> list[tuple[str, float, bool]]:
@@ -62,6 +67,25 @@ def _units(text: str) -> list[str]:
     return (_SPACE + text.replace(_SPACE, _LITERAL).replace(" ", "\0" + _SPACE).replace("\n", "\0\n\0")).split("\0")
 
 
+def _code(start: int, left: int, whole: int) -> int:
+    """A number for the candidate of `whole` characters at `start` whose left part has `left`, spread over 64 bits."""
+    return ((start << 10) + (left << 5) + whole) * _A & _MASK
+
+
+class _Order:
+    """Codes of a unit's candidates in the order they come up after `skips` (numbers of skipped ones), and the ids if no more are skipped."""
+
+    __slots__ = ("after", "codes", "ids", "skips")
+
+    def __init__(self, codes: bytes, ids: bytes | None, skips: tuple[int, ...]):
+        self.codes, self.ids, self.skips = codes, ids, skips
+        #: The order after a further skip, by the place in `codes` of the candidate skipped.
+        self.after: dict[int, _Order] = {}
+
+
+_UNKEPT = _Order(b"", None, ())
+
+
 class Codec:
     """Encodes and decodes with one vocabulary, seed and rate of dropout."""
 
@@ -86,9 +110,9 @@ class Codec:
         self.rank = {piece: order[score] for score, piece in scored}
         self.key = int.from_bytes(hashlib.blake2b(str(seed).encode(), digest_size=8).digest(), "little")
         self.limit = int(dropout * (1 << 32))
-        self.kept: list[dict[str, bytes]] = [{} for _ in range(VARIANTS if self.limit else 1)]
-        self.older: list[dict[str, bytes]] = [{} for _ in self.kept]
-        self.room = CACHE_UNITS
+        self.kept: dict[str, _Order] = {}
+        self.seen: set[str] = set()
+        self.room = CACHE_ORDERS
 
     def _hash(self, data: str, more: int) -> int:
         try:
@@ -99,7 +123,7 @@ class Codec:
 
     def _skipped(self, base: int, start: int, left: int, whole: int) -> bool:
         """Whether the key drops the candidate of `whole` characters at `start` whose left part has `left`."""
-        return ((base ^ (start << 10) + (left << 5) + whole) * _D & _MASK) >> 32 < self.limit
+        return ((base ^ _code(start, left, whole)) * _D & _MASK) >> 32 < self.limit
 
     def _spell(self, symbol: str) -> Iterator[int]:
         """Id of a symbol, or of its bytes."""
@@ -111,15 +135,18 @@ class Codec:
                 yield self.bytes[b]
 
     def _merge(self, unit: str, base: int) -> bytes:
-        """Ids of a unit as 32-bit numbers."""
-        parts = self._scan(unit, base) if len(unit) <= _SHORT else self._agenda(unit, base)
+        """Ids of a unit under the key `base`, as 32-bit numbers."""
+        return self._spelled(self._scan(unit, base) if len(unit) <= _SHORT else self._agenda(unit, base))
+
+    def _spelled(self, parts: list[str]) -> bytes:
         known = self.ids.get
         ids = [known(part) for part in parts]
         if None in ids:
             ids = [i for part in parts for i in self._spell(part)]
         return array("i", ids).tobytes()
 
-    def _scan(self, unit: str, base: int) -> list[str]:
+    def _scan(self, unit: str, base: int, skips: tuple[int, ...] = (), codes: list[int] | None = None) -> list[str]:
+        """The parts of a unit. With `codes`, it gets the code of each candidate, and those numbered in `skips` are skipped."""
         rank, limit = self.rank.get, self.limit
         parts, starts = list(unit), list(range(len(unit)))
         ranks = [rank(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
@@ -130,7 +157,12 @@ class Codec:
             i = ranks.index(best)
             left = parts[i]
             whole = left + parts[i + 1]
-            if limit and ((base ^ (starts[i] << 10) + (len(left) << 5) + len(whole)) * _D & _MASK) >> 32 < limit:
+            if codes is not None:
+                skipped = len(codes) in skips
+                codes.append(_code(starts[i], len(left), len(whole)))
+            else:
+                skipped = limit and ((base ^ ((starts[i] << 10) + (len(left) << 5) + len(whole)) * _A & _MASK) * _D & _MASK) >> 32 < limit
+            if skipped:
                 ranks[i] = _NEVER
                 continue
             parts[i] = whole
@@ -164,30 +196,98 @@ class Codec:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of the pieces; none for an empty text."""
-        if not text:
-            return np.empty(0, np.int32)
-        units = _units(text)
-        if self.limit:
-            at = np.arange(len(units), dtype=np.uint64) * np.uint64(_A) + np.uint64(self._hash(text, len(units)))
-            variants = ((at ^ (at >> np.uint64(29))) * np.uint64(_B) >> np.uint64(40)) % np.uint64(VARIANTS)
-            named = list(zip(units, variants.tolist(), strict=True))
-        else:
-            named = [(u, 0) for u in units]
-        kept = self.kept
-        found = [kept[v].get(u) for u, v in named]
-        if None in found:
-            found = [self._look_up(u, v) if ids is None else ids for ids, (u, v) in zip(found, named, strict=True)]
-        return np.frombuffer(b"".join(found), dtype=np.int32)
-
-    def _look_up(self, unit: str, v: int) -> bytes:
-        ids = self.older[v].get(unit)
-        if ids is None:
-            ids = self._merge(unit, self._hash(unit, v) if self.limit else 0)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """Ids of each text. Units of several texts are looked at together."""
+        units: list[str] = []
+        keys: list[np.ndarray] = []
+        ends: list[int] = []
+        for text in texts:
+            if text:
+                found = _units(text)
+                units += found
+                keys.append(self._keys(text, len(found)))
+            ends.append(len(units))
+            if len(units) >= _TOGETHER:
+                yield from self._parted(units, keys, ends)
+                units, keys, ends = [], [], []
+        yield from self._parted(units, keys, ends)
+
+    def _parted(self, units: list[str], keys: list[np.ndarray], ends: list[int]) -> Iterator[np.ndarray]:
+        ids = self._all(units, np.concatenate([*keys, np.empty(0, np.uint64)]))
+        for start, end in zip([0, *ends], ends):
+            yield np.frombuffer(b"".join(ids[start:end]), dtype=np.int32)
+
+    def _keys(self, text: str, n: int) -> np.ndarray:
+        """The key of each unit, drawn by the whole text and the unit's place."""
+        x = np.arange(n, dtype=np.uint64) * np.uint64(_A) + np.uint64(self._hash(text, n) if self.limit else 0)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(_B)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(_C)
+        return x ^ (x >> np.uint64(31))
+
+    def _all(self, units: list[str], keys: np.ndarray) -> list[bytes]:
+        """Ids of each unit under its key."""
+        get, order = self.kept.get, self._order
+        orders = [get(u) or order(u) for u in units]
+        out = [o.ids for o in orders]
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    out[i] = self._merge(units[i], int(keys[i]))
+        places, limit = list(range(len(units))), np.uint64(self.limit)
+        while self.limit and orders:
+            # The first candidate of each order that its key skips, if any, leads to the order after that skip.
+            codes = [o.codes for o in orders]
+            counts = np.fromiter(map(len, codes), np.int64, len(codes)) >> 3
+            ends = np.cumsum(counts)
+            hashes = (np.frombuffer(b"".join(codes), np.uint64) ^ np.repeat(keys, counts)) * np.uint64(_D) >> np.uint64(32)
+            at = np.flatnonzero(hashes < limit)
+            owner = np.searchsorted(ends, at, side="right")
+            first = np.ones(len(owner), bool)
+            first[1:] = owner[1:] != owner[:-1]
+            owner, at = owner[first], at[first]
+            at -= (ends - counts)[owner]
+            further, left = [], []
+            for n, k, j in zip(range(len(owner)), owner.tolist(), at.tolist(), strict=True):
+                place, was = places[k], orders[k]
+                if len(was.skips) == _KEPT_SKIPS:
+                    out[place] = self._merge(units[place], int(keys[k]))
+                    continue
+                now = was.after.get(j) or order(units[place], was, j)
+                out[place] = now.ids
+                further.append(now)
+                left.append(n)
+            orders, places = further, [places[k] for k in owner[left].tolist()]
+            keys = keys[owner[left]]
+        return out
+
+    def _order(self, unit: str, was: _Order | None = None, skip: int = 0) -> _Order:
+        """The order of a unit's merges, first or after one more skip; kept from a unit's second occurrence on.
+
+        Most units occur once. Long ones have too many orders to meet one again.
+        """
+        if self.limit and not was and (len(unit) > _SHORT or unit not in self.seen):
+            self.seen.add(unit)
+            if len(self.seen) > CACHE_ORDERS:
+                self.seen.clear()
+            return _UNKEPT
         if not self.room:
-            self.older, self.kept, self.room = self.kept, [{} for _ in self.kept], CACHE_UNITS
-        self.kept[v][unit] = ids
+            self.kept.clear()
+            self.room = CACHE_ORDERS
         self.room -= 1
-        return ids
+        if not self.limit:
+            now = self.kept[unit] = _Order(b"", self._merge(unit, 0), ())
+            return now
+        codes: list[int] = []
+        skips = (*was.skips, skip + (was.skips[-1] + 1 if was.skips else 0)) if was else ()
+        parts = self._scan(unit, 0, skips, codes)
+        now = _Order(array("Q", codes[skips[-1] + 1 if skips else 0 :]).tobytes(), self._spelled(parts), skips)
+        if was:
+            was.after[skip] = now
+        else:
+            self.kept[unit] = now
+        return now
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
@@ -207,10 +307,9 @@ def _codec(vocabulary, seed: int, dropout: float) -> Codec:
 def _encoded(vocabulary, seed: int, dropout: float, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codec = _codec(vocabulary, seed, dropout)
     for batch in slices(batches, 128):
-        ids, exact = [], []
-        for text in strings(batch.column(1)).to_pylist():
-            ids.append(codec.encode(text))
-            exact.append(codec.decode(ids[-1].tolist()) == text)
+        texts = strings(batch.column(1)).to_pylist()
+        ids = list(codec.encode_all(texts))
+        exact = [codec.decode(x.tolist()) == text for x, text in zip(ids, texts, strict=True)]
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
         tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
         counts = pa.array(np.diff(offsets).astype(np.int64))
