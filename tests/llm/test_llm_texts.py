@@ -63,6 +63,25 @@ def test_passages_are_cut_and_clean_documents_stay(spark):
     assert kept[6].split() == ("u u " + clean).split()
 
 
+def test_cuts_do_not_depend_on_blocks(spark):
+    items = [(1, "a b c d e f g h i j"), (2, "h i j k l m n o p q"), (3, "x y"), (4, "r s t u v w")]
+    clean = " ".join(["fine"] * 40)
+    texts = [
+        "a b c d e f g h i j " + "z " * 14 + "r s t u v w r s t u v w",  # over half only with both
+        clean + " a b c d e f g h i j k l m n o p q " + clean,  # overlapping
+        clean + " a b c d x y e f g h i j " + clean,  # joined by the cut of another item
+        clean + " r s t a b c d e f g h i j u v x y w " + clean,  # joined by two
+        clean, "", None, "x y", "x y",
+    ]
+    docs = rows_of(spark, [(i % 5, t, "s") for i, t in enumerate(texts)] + [(None, "x y " + clean, None)])
+    order = lambda r: tuple(map(str, r))
+    for limits in ({}, {"max_words": 6}, {"max_share": 0.2}):
+        one, several = (sorted(map(tuple, decontaminate.decontaminate(docs, _items(spark, items), block_bytes=b, **limits).collect()), key=order) for b in (1 << 20, 12))
+        assert one == several and one
+    kept = [r.text for r in decontaminate.decontaminate(docs, _items(spark, items), block_bytes=12).collect() if r.text]
+    assert len(kept) == 5 and {w for t in kept for w in t.split()} == {"fine"}
+
+
 # --- personal data
 
 

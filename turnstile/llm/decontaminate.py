@@ -19,7 +19,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from turnstile.llm.common import in_batches, slices, strings, written
+from turnstile.llm.common import free_name, in_batches, slices, strings, written
 
 WINDOW = 10
 #: Bytes of item texts in one broadcast block; hashing may put a little more into one.
@@ -262,24 +262,34 @@ def cut(text: str, find, max_words: int, max_share: float) -> str | None:
     A cut joins words that were apart, so the rest is looked through again until nothing is found.
     """
     words = words_of(text)
-    share = sum(end - start for start, end in find(words)[0]) / len(words) if words else 0
-    if share > max_share:
+    spans = find(words)[0]
+    if _covered(spans, len(words)) > max_share:
         return None
-    while True:
-        words = words_of(text)
-        spans = [s for s in find(words)[0] if s[1] - s[0] > max_words]
-        if not spans:
-            return text
-        raw = text.encode("utf-8", "surrogatepass")
-        flat = raw.translate(_TABLE)
-        places, at = [], 0
-        for w in words:
-            at = flat.index(w, at)
-            places.append((at, at + len(w)))
-            at += len(w)
-        for start, end in reversed(spans):
-            raw = raw[: places[start][0]] + b"\n" + raw[places[end - 1][1] :]
-        text = raw.decode("utf-8", "surrogatepass")
+    while spans := [s for s in spans if s[1] - s[0] > max_words]:
+        text = _without(text, spans)
+        spans = find(words_of(text))[0]
+    return text
+
+
+def _covered(spans: list[tuple[int, int]], n_words: int) -> float:
+    """Share of a text's words that lie in its merged spans."""
+    return sum(end - start for start, end in spans) / n_words if n_words else 0
+
+
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    """A text with a line break in place of each of its merged spans of words."""
+    raw = text.encode("utf-8", "surrogatepass")
+    flat = raw.translate(_TABLE)
+    places, at = [], 0
+    for w in words_of(text):
+        at = flat.index(w, at)
+        places.append((at, at + len(w)))
+        at += len(w)
+    parts, at = [], 0
+    for start, end in spans:
+        parts.append(raw[at : places[start][0]])
+        at = places[end - 1][1]
+    return b"\n".join([*parts, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
 def _cut_batches(block: _Block, window: int, max_words: int, max_share: float, at: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,14 +302,57 @@ def _cut_batches(block: _Block, window: int, max_words: int, max_share: float, a
         yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(keep)
 
 
+def _cut_once(max_words: int, max_share: float | None, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, text, list of span lists), those that lose something: the key, and the text left, null if it goes as a whole."""
+    for batch in slices(batches):
+        keys, texts = [], []
+        for key, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            spans = _merge(span for flat in found for span in zip(flat[::2], flat[1::2], strict=True))
+            gone = max_share is not None and _covered(spans, len(words_of(text))) > max_share
+            spans = [s for s in spans if s[1] - s[0] > max_words]
+            if gone or spans:
+                keys.append(key)
+                texts.append(None if gone else _without(text, spans))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.string())], names=["key", "text"])
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_words: int = 0, max_share: float = 0.5, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without benchmark passages; same columns.
 
     Words inside occurrences of windows form spans. A span of more than `max_words` words is cut out (length limit);
     a document of which such words are more than `max_share` goes as a whole (coverage limit). Documents without hits, null and empty texts stay as they are.
-    Blocks of items are applied one after the other.
+    The result does not depend on how items fall into blocks: with several, spans of all of them are merged by
+    document before anything is decided or cut, and documents that were cut are looked through by all of them again.
     """
     at = docs.columns.index(text_col)
-    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        docs = in_batches(docs, partial(_cut_batches, block, window, max_words, max_share, at), docs.schema)
-    return docs
+    blocks = list(_blocks(benchmark, item_col, item_text_col, block_bytes))
+    if not blocks:
+        return docs
+    if len(blocks) == 1:
+        return in_batches(docs, partial(_cut_batches, blocks[0], window, max_words, max_share, at), docs.schema)
+    row, last = free_name(docs, "cut_row"), free_name(docs, "cut_last")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    texts = numbered.select(F.col(row).alias("key"), F.col(text_col).cast("string").alias("text"))
+    rounds: list[DataFrame] = []
+    while True:
+        scans = [in_batches(texts, partial(_scan, block, window), "key long, n_words long, spans array<int>, items array<long>") for block in blocks]
+        hits = scans[0]
+        for scan in scans[1:]:
+            hits = hits.unionByName(scan)
+        hits = hits.filter(F.size("spans") > 0).groupBy("key").agg(F.collect_list("spans").alias("spans"))
+        # Coverage is a matter of the whole document, so it counts before the first cut only.
+        share = max_share if not rounds else None
+        cuts = written(in_batches(texts.join(hits, "key").select("key", "text", "spans"), partial(_cut_once, max_words, share), "key long, text string"), "cut")
+        if cuts.isEmpty():
+            break
+        rounds.append(cuts.withColumn("round", F.lit(len(rounds))))
+        texts = cuts.filter("text IS NOT NULL")
+    if not rounds:
+        return numbered.select(*docs.columns)
+    changed = rounds[0]
+    for cuts in rounds[1:]:
+        changed = changed.unionByName(cuts)
+    changed = changed.groupBy(F.col("key").alias(row)).agg(F.max_by(F.struct("text"), "round").alias(last))
+    out = numbered.join(changed, row, "left").filter(F.col(last).isNull() | F.col(last)["text"].isNotNull())
+    text = F.when(F.col(last).isNull(), F.col(text_col)).otherwise(F.col(last)["text"].cast(docs.schema[text_col].dataType))
+    return out.withColumn(text_col, text).select(*docs.columns)
