@@ -108,6 +108,26 @@ def test_clean_texts_have_no_spans(text):
     assert pii.find(text) == ([], [])
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("call +49 three 0 five 5 one 2 seven 8 four 6 now", "phone", "+49 three 0 five 5 one 2 seven 8 four 6"),
+        ("card 4 one 1 one 1 one 1 one 1 one 1 one 1 one 1 one.", "card", "4 one 1 one 1 one 1 one 1 one 1 one 1 one 1 one"),
+        ("write to jane.doe at example.com today", "email", "jane.doe at example.com"),
+        ("write to jane7 at example.co.uk today", "email", "jane7 at example.co.uk"),
+        ("to a dot b dot c dot d dot e dot f at x dot org", "email", "a dot b dot c dot d dot e dot f at x dot org"),
+        ("to " + "long.name" * 40 + " (at) x.org", "email", "long.name" * 40 + " (at) x.org"),
+    ],
+)
+def test_mixed_bare_and_long_disguises_are_found_whole(text, kind, found):
+    assert pii.find(text)[1] == [(text.index(found), text.index(found) + len(found), kind)]
+
+
+@pytest.mark.parametrize("text", ["we met at example.com", "since 2010 at example.com", "see p.5 at Section.Then", "one 2 three", "un 5 six"])
+def test_words_that_only_look_disguised(text):
+    assert pii.find(text) == ([], [])
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="ab@.+-() 0123456789%", max_size=60))
 def test_base_spans_equal_the_expressions(text):

@@ -114,19 +114,20 @@ _SPELLED = {
 }
 _DIGIT_WORD = "(?:" + "|".join(w for w, d in _SPELLED.items() if d.isdigit()) + ")"
 _PART = rf"(?:{_DIGIT_WORD}|dot|point|punkt|punto|[0-9])"
-# A text is looked through for runs only if two spelled digits stand side by side in its lower case.
-_ANY_PAIR = re.compile(rf"[\s,;.:/()+\"'-]{_DIGIT_WORD}[\s,;./()-]{{1,3}}(?:{_DIGIT_WORD}|dot|point|punkt|punto)\b")
-_PAIR = re.compile(rf"\b{_DIGIT_WORD}[\s,;./()-]{{1,3}}(?:{_DIGIT_WORD}\b|dot\b|point\b|punkt\b|punto\b)", re.IGNORECASE)
+# A text is looked through for runs only if its lower case has a spelled digit beside another, a digit or a dot word.
+_POINT, _GAP = "(?:dot|point|punkt|punto)", r"[\s,;./()-]{0,3}"
+_ANY_PAIR = re.compile(rf"{_DIGIT_WORD}{_GAP}(?:{_DIGIT_WORD}|{_POINT}|[0-9])|(?:[0-9]|{_POINT}){_GAP}{_DIGIT_WORD}")
+_SPELLED_OUT = re.compile(_DIGIT_WORD, re.IGNORECASE)
 _RUN = re.compile(rf"(?:(?<![^\W_])|(?<=[0-9]))(?:\bplus[\s-]{{1,3}})?(?:\+\s?)?{_PART}(?:[\s,;/()-]{{0,3}}(?:{_DIGIT_WORD}|[0-9])(?![^\W\d_])|[\s,;./()-]{{1,3}}{_PART}(?![^\W\d_])){{2,}}", re.IGNORECASE)
 _TOKEN = re.compile("|".join(sorted(_SPELLED, key=len, reverse=True)) + r"|[0-9.+]", re.IGNORECASE)
 
 
 def digit_edits(text: str) -> Iterator[Edit]:
-    """Runs of spelled digits (at least two of them side by side) become digits; what parts them goes."""
-    if not _ANY_PAIR.search(" " + text.lower()):
+    """Runs of digits, of which some are spelled, become digits; what parts them goes. Detectors decide what they are."""
+    if not _ANY_PAIR.search(text.lower()):
         return
     for run in _RUN.finditer(text):
-        if not _PAIR.search(run[0]):
+        if not _SPELLED_OUT.search(run[0]):
             continue
         at = run.start()
         for m in _TOKEN.finditer(text, run.start(), run.end()):
@@ -144,38 +145,55 @@ _AT = re.compile(r"\s*[\[({<]\s*(?:at|@|arobase|arroba)\s*[\])}>]\s*|\s+(?:at|ar
 _DOT_WORD = r"(?:\s*[\[({<]\s*(?:dot|\.|point|punkt|punto)\s*[\])}>]\s*|\s+(?:dot|point|punkt|punto)\s+)"
 _DOT = re.compile(_DOT_WORD, re.IGNORECASE)
 # Without one of these a text has no disguised address.
-_DISGUISED = re.compile(r"[\s\[({<](?:dot|point|punkt|punto)[\s\])}>]|[\[({<]\s*(?:at|@|arobase|arroba|\.)")
-#: The longest name and domain that a disguise may have (64 and 255 characters of an address, and what parts them).
-_NAME_REACH, _DOMAIN_REACH = 200, 600
-_NAME = re.compile(rf"[A-Za-z0-9._%+-]+(?:{_DOT_WORD}[A-Za-z0-9._%+-]+){{0,3}}\Z", re.IGNORECASE)
+_DISGUISED = re.compile(r"[\s\[({<](?:dot|point|punkt|punto)[\s\])}>]|[\[({<]\s*(?:at|@|arobase|arroba|\.)|\s(?:at|arobase|arroba)\s+[a-z0-9-]++\.[a-z0-9]")
 _SITE = re.compile(rf"[A-Za-z0-9-]++(?:(?:\.|{_DOT_WORD})[A-Za-z0-9-]++)+", re.IGNORECASE)
+# Around a bare `at` a plain name and a plain site must look like those of an address, or it is taken for the word.
+_NAME_SHAPE = re.compile(r"(?=[^A-Za-z]*[A-Za-z]).*(?:[A-Za-z0-9][._%+-][A-Za-z0-9]|[0-9])", re.DOTALL)
+_ENDING = re.compile(r"\.(?:com|org|net|edu|gov|mil|int|info|biz|name|app|dev|xyz|online|site|shop|example|test|invalid|[a-z]{2})\Z", re.IGNORECASE)
 _NUMBERS = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{_DOT_WORD})[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
 
 
 def address_edits(text: str) -> Iterator[Edit]:
-    """at and dot in addresses become @ and a point. A bare `at` counts only before a site with a disguised dot."""
+    """at and dot in addresses become @ and a point.
+
+    A bare `at` counts before a site with a disguised dot, or if name and site have the shape of an address.
+    """
     if not _DISGUISED.search(text.lower()):
         return
     edits: set[Edit] = set()
-    if _DOT.search(text):
+    dots = {d.end(): d.start() for d in _DOT.finditer(text)}
+    if dots:
         for m in _NUMBERS.finditer(text):
             edits.update((d.start(), d.end(), ".") for d in _DOT.finditer(text, m.start(), m.end()))
     end = 0
     for m in _AT.finditer(text):
-        site = _SITE.match(text, m.end(), m.end() + _DOMAIN_REACH)
-        if not site or m.start() < end:
+        site = None if m.start() < end else _SITE.match(text, m.end())
+        if not site:
             continue
         plain = m[0] == "@"
         hidden = list(_DOT.finditer(text, site.start(), site.end()))
-        if not hidden and (plain or not re.search(r"[\[({<]", m[0])):
+        if not hidden and plain:
             continue
-        low = max(end, m.start() - _NAME_REACH)
-        name = _NAME.search(text[low : m.start()])
-        if not name:
+        # The whole name, from its end outwards: characters of names, and dot words between them.
+        start, inner = m.start(), []
+        while True:
+            was = start
+            while start > end and text[start - 1] in _LOCAL:
+                start -= 1
+            dot = dots.get(start) if start < was else None
+            if dot is None or dot <= end or text[dot - 1] not in _LOCAL:
+                break
+            inner.append((dot, start, "."))
+            start = dot
+        if start == m.start():
             continue
+        if not hidden and not inner and not re.search(r"[\[({<]", m[0]):
+            shaped = _NAME_SHAPE.match(text, start, m.start())
+            if not shaped or not _ENDING.search(site[0]):
+                continue
         if not plain:
             edits.add((m.start(), m.end(), "@"))
-            edits.update((low + d.start(), low + d.end(), ".") for d in _DOT.finditer(text[low : m.start()], name.start()))
+            edits.update(inner)
         edits.update((d.start(), d.end(), ".") for d in hidden)
         end = site.end()
     last = 0
