@@ -14,8 +14,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the counts and the likelihood ratio; trusted are those labelled good and not toxic."""
-    weights = quality.fit_weights(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
-    return quality.passing(docs, weights)
+    model = quality.fit_model(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
+    return quality.passing(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

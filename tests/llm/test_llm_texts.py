@@ -193,6 +193,28 @@ def test_weights_equal_counting_by_hand(spark):
     assert weights == quality.weights_of({b: tuple(c) for b, c in counts.items()})
 
 
+def test_every_part_of_a_word_is_scored(spark):
+    import math
+
+    rng = random.Random(3)
+    stems = [a + b for a in ("wo", "re", "ta", "pla", "sto", "mi") for b in ("rk", "ad", "lk", "nt", "ck", "ll")]
+    good = [" ".join(rng.choice(stems) + "ing" for _ in range(80)) for _ in range(6)]
+    made_up = " ".join("".join(rng.choices("qxzvjk", k=5)) + "ing" for _ in range(80))
+    texts = [*good, made_up, "", None]
+    docs = rows_of(spark, [(i, t, None) for i, t in enumerate(texts)])
+    model = quality.fit_model(docs, spark.createDataFrame([(i,) for i in range(5)], "doc_id long"))
+    found = {r.doc_id: r for r in quality.judge(docs, model).collect()}
+    assert found[5].kept and not found[6].kept and not found[6].base_failed and found[7].score is None is found[8].score
+    # The score by hand: buckets are many, so a clash would be rare.
+    grams = lambda t: [p[i : i + 3] for p in [f" {t} "] for i in range(len(p) - 2)]
+    corpus, trusted = [g for t in texts if t for g in grams(t)], [g for t in texts[:5] for g in grams(t)]
+    share = len(trusted) / len(corpus)
+    weigh = lambda g: math.log((trusted.count(g) + share) / (share * (corpus.count(g) + 1)))
+    assert abs(found[5].score - sum(map(weigh, grams(good[5]))) / len(grams(good[5]))) < 0.02
+    assert [r.doc_id for r in quality.passing(docs, model).collect()] == list(range(6))
+    assert quality.buckets_for(10**10) > quality.buckets_for(10**8) > quality.buckets_for(0) == quality.BUCKETS
+
+
 # --- pieces
 
 

@@ -4,20 +4,22 @@ Two multinomials over hashed n-gram buckets are counted from whole texts: one ov
 whole corpus. A document's score is the sum of log(trusted / corpus) over its n-grams divided by their number, and
 every document is held against one threshold. Everything is DataFrame expressions.
 
-The n-gram of a word is its last three characters (or all of a shorter word). Endings recur in words that the corpus
-has only once, and they carry case and stray punctuation. Weights are whole millionths of a nat,
-so sums do not depend on their order.
+The n-grams (`fit_model`) are all runs of three characters of the whole text, with one space between words and at both
+ends, so every character of every word counts, and where words meet. The number of buckets grows with the corpus. A
+smaller model (`fit_weights`) has one n-gram a word, its last three characters. Weights are whole millionths of a nat, so
+sums do not depend on their order.
 """
 
 from __future__ import annotations
 
 import json
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from turnstile.llm.common import free_name
 
-#: Number of hash buckets; weights are sent to tasks as one array of this length.
+#: Number of hash buckets, or the least where it grows; weights are sent to tasks as one array.
 BUCKETS = 1 << 14
 #: Characters of an n-gram.
 GRAM = 3
@@ -51,6 +53,31 @@ def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(F.substring(word, -GRAM, GRAM)), F.lit(BUCKETS)).cast("int")
 
 
+class Model(NamedTuple):
+    """Weights of all n-grams of a text, one for each bucket."""
+
+    weights: list[int]
+
+
+def _characters(words: Column) -> Column:
+    return F.split(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), "")
+
+
+def _places(characters: Column) -> Column:
+    return F.sequence(F.lit(0), F.size(characters) - GRAM)
+
+
+def _gram(characters: Column, i: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*(F.get(characters, i + k) for k in range(GRAM))), F.lit(buckets)).cast("int")
+
+
+def buckets_for(n_characters: int) -> int:
+    """A power of two of at least four times the square root of the corpus' characters, as distinct n-grams grow about so."""
+    from math import isqrt
+
+    return max(BUCKETS, 1 << (4 * isqrt(n_characters)).bit_length())
+
+
 def _right(x: Column, bits: Column) -> Column:
     return F.call_function("shiftrightunsigned", x, bits)
 
@@ -108,17 +135,51 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn(free_name(docs, "measures"), counts).drop(text, words, hashes, bits, packed, whole)
 
 
+def _marked(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, trusted_col: str) -> DataFrame:
+    """(text, good) of each document."""
+    ids = trusted.select(F.col(trusted_col).cast("long").alias("id")).filter("id IS NOT NULL").distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return texts.join(ids.withColumn("good", F.lit(True)), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+
+
+def fit_model(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", trusted_col: str = "doc_id") -> Model:
+    """Log ratio of each bucket in millionths of a nat, from all n-grams of all documents' whole texts.
+
+    The trusted counts are smoothed by their share of the corpus, so what neither has weighs nothing. `trusted` as in
+    `fit_weights`; counting is one pass, after one that sums up lengths.
+    """
+    n = buckets_for(docs.agg(F.sum(F.length(F.col(text_col).cast("string")))).first()[0] or 0)
+    texts = _marked(docs, trusted, id_col, text_col, trusted_col).select("good", _words(F.col("text")).alias("words")).filter(F.size("words") > 0)
+    split = texts.select("good", _characters(F.col("words")).alias("characters"))
+    c = F.col("characters")
+    grams = split.select("good", F.explode(F.transform(_places(c), lambda i: _gram(c, i, n))).alias("bucket"))
+    counts = grams.groupBy("bucket").agg(F.count("*").alias("all"), F.count_if("good").alias("good"))
+    return Model(ratios_of({r["bucket"]: (r["all"], r["good"]) for r in counts.collect()}, n))
+
+
+def ratios_of(counts: dict[int, tuple[int, int]], buckets: int) -> list[int]:
+    """Log ratios of (corpus, trusted) counts per bucket, smoothed in proportion, as whole millionths."""
+    from math import log
+
+    corpus, trusted = (sum(c[i] for c in counts.values()) for i in (0, 1))
+    if not trusted:
+        return [0] * buckets
+    share = trusted / corpus
+    out = [0] * buckets
+    for b, (a, t) in counts.items():
+        out[b] = round(1e6 * log((t + SMOOTHING * share) / (share * (a + SMOOTHING))))
+    return out
+
+
 def fit_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", trusted_col: str = "doc_id") -> list[int]:
     """Log ratio of each bucket in millionths of a nat, from all n-grams of all documents.
 
     `trusted` lists the ids of the target documents. Counting is one pass that sums in every task before the
     shuffle; what comes back has one row per bucket. Without any trusted text all weights are 0.
     """
-    ids = trusted.select(F.col(trusted_col).cast("long").alias("id")).filter("id IS NOT NULL").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    marked = texts.join(ids.withColumn("good", F.lit(True)), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    marked = _marked(docs, trusted, id_col, text_col, trusted_col)
     words = marked.select("good", F.explode(_split(F.col("text"))).alias("word")).filter("word <> ''")
     grams = words.select("good", _bucket(F.col("word")).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("all"), F.count_if("good").alias("good"))
@@ -138,28 +199,35 @@ def weights_of(counts: dict[int, tuple[int, int]]) -> list[int]:
     return [round(1e6 * (log((t + SMOOTHING) / (trusted + rest)) - log((a + SMOOTHING) / (corpus + rest)))) for a, t in both]
 
 
-def judge(docs: DataFrame, weights: list[int], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, weights: Model | list[int], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """Adds counts, `score` (mean log ratio, null without words), `base_failed` and `kept` to the input columns.
 
     `base_failed`: fewer than 50 words, or more than half of the words inside repeated three-word windows. Null and
     empty texts have no words, so they fail. Words of any length and texts of any length are taken whole; repeated
-    rows are judged alike. A name that the input already has gets underscores. To filter by the verdict, use `passing`.
+    rows are judged alike. A `Model` scores all n-grams of a text, a list of weights words' endings. A name that the input already has gets underscores. To filter by the verdict, use `passing`.
     """
     held = free_name(docs, "measures")
-    table = F.from_json(F.lit(json.dumps(weights)), "array<bigint>")
+    every = isinstance(weights, Model)
+    listed = weights.weights if every else weights
+    table = F.from_json(F.lit(json.dumps(listed)), "array<bigint>")
     out = measures(docs, text_col)
-    m = F.col(held)
-    total = F.aggregate(m["words"], F.lit(0).cast("long"), lambda s, w: s + F.get(table, _bucket(w)))
-    mean = F.when(m["n_words"] > 0, total / m["n_words"] / 1e6)
+    m, zero, characters = F.col(held), F.lit(0).cast("long"), free_name(docs, "q_characters")
+    if every:
+        out = out.withColumn(characters, _characters(m["words"]))
+        c = F.col(characters)
+        total, n = F.aggregate(_places(c), zero, lambda s, i: s + F.get(table, _gram(c, i, len(listed)))), F.size(c) - (GRAM - 1)
+    else:
+        total, n = F.aggregate(m["words"], zero, lambda s, w: s + F.get(table, _bucket(w))), m["n_words"]
+    mean = F.when(m["n_words"] > 0, total / n / 1e6)
     for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"):
         out = out.withColumn(free_name(docs, name), m[name])
     failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
     score = free_name(docs, "score")
     out = out.withColumn(score, mean).withColumn(free_name(docs, "base_failed"), failed)
-    return out.withColumn(free_name(docs, "kept"), ~failed & (F.coalesce(F.col(score), F.lit(0.0)) >= threshold)).drop(held)
+    return out.withColumn(free_name(docs, "kept"), ~failed & (F.coalesce(F.col(score), F.lit(0.0)) >= threshold)).drop(held, characters)
 
 
-def passing(docs: DataFrame, weights: list[int], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+def passing(docs: DataFrame, weights: Model | list[int], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The documents that `judge` keeps; same columns.
 
     A filter on computed columns is moved below the steps that compute them, and their expressions are then copied

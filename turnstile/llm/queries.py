@@ -23,9 +23,9 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    weights = quality.fit_weights(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
+    model = quality.fit_model(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
-    return quality.judge(docs, weights).select(*columns)
+    return quality.judge(docs, model).select(*columns)
 
 
 def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
