@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnstile.llm import chat, decontaminate, htmltext, pieces, pii, quality, setjoin, sharding, sql, urls, warczip
+from turnstile.llm import align, boosting, chat, decontaminate, fim, htmltext, pieces, pii, quality, setjoin, sharding, sql, urls, warczip
 from turnstile.llm.common import table
 
 #: Bytes of a shard. Small, so that the test tables fill several; a large corpus would take some hundred megabytes.
@@ -59,7 +59,21 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.link_documents(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-_QUERIES = (op1_pii, op2_decontamination, op3_quality_rules, op4_warc_zip, op5_tag_path_text, op6_merge_dropout, op7_extendible_shards, op8_url_filter, op9_perspectives, op10_jaccard_join)
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boosting.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.summaries(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests = [F.sha2(c, 256).alias(n) for c, n in ((F.col("output"), "output_sha256"), (fim.restored(F.col("form"), F.col("output")), "restored_sha256"))]
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+_QUERIES = (op1_pii, op2_decontamination, op3_quality_rules, op4_warc_zip, op5_tag_path_text, op6_merge_dropout, op7_extendible_shards, op8_url_filter, op9_perspectives, op10_jaccard_join, op11_quality_classifier, op12_lockstep_alignment, op13_fill_in_middle)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -73,4 +87,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_extendible_shards": sql.shards(SHARD_BYTES),
         "op9_perspectives": sql.perspectives(chat.PART_TURNS),
         "op10_jaccard_join": sql.jaccard(3, 90),
+        "op13_fill_in_middle": sql.FILL_IN_MIDDLE,
     }
