@@ -9,7 +9,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from turnstile.session import local_session  # noqa: E402
+from turnstile.session import local_session, shared_dir  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -17,6 +17,8 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("*", shuffle_partitions=4)
+    if shared_dir(session) is None:
+        session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     yield session
     session.stop()
 

@@ -7,12 +7,12 @@ from turnstile.operators import audience, compare, operations, sales
 from turnstile.plans import queries as registry
 
 
-def _load(spark, columns, f):
-    return registry.load(spark, SMALL, f"event_name ticket_status {columns}", f)
+def _load(spark, columns):
+    return registry.load(spark, SMALL, f"event_name ticket_status {columns}")
 
 
 def test_first_time_and_returning_make_all_buyers(spark):
-    t = _load(spark, "contact_id", registry.Y98)
+    t = _load(spark, "contact_id")
     both = compare.loyalty(t, registry.Y98).select(
         "event_name", (F.col("first_time") + F.col("returning")).alias("n")
     )
@@ -22,7 +22,7 @@ def test_first_time_and_returning_make_all_buyers(spark):
 
 
 def test_last_running_total_is_the_total(spark):
-    t = _load(spark, "ordered_at event_start_time deal_price", registry.Y98)
+    t = _load(spark, "ordered_at event_start_time deal_price")
     last = sales.cumulative(t, registry.Y98).groupBy("event_name").agg(F.max("cum_tickets"))
     total = (
         sales.daily_by_axis(t, registry.Y98).groupBy("event_name").agg(F.sum("tickets"))
@@ -31,7 +31,7 @@ def test_last_running_total_is_the_total(spark):
 
 
 def test_present_and_absent_make_the_total(spark):
-    t = _load(spark, "ticket_id deal_price ticket_scanned_at", registry.ALL)
+    t = _load(spark, "ticket_id deal_price ticket_scanned_at")
     out = operations.attendance_by_show(t, registry.ALL)
     assert out.filter("present + absent <> total").count() == 0
     uneven = out.groupBy("event_name").agg(F.sum("total").alias("s"), F.max("show_total").alias("t"))
@@ -39,7 +39,7 @@ def test_present_and_absent_make_the_total(spark):
 
 
 def test_heatmap_covers_dated_sales(spark):
-    t = _load(spark, "ordered_at", registry.ALL)
+    t = _load(spark, "ordered_at")
     cells = sales.heatmap(t, registry.ALL).agg(F.sum("tickets")).first()[0]
     week = sales.by_weekday(t, registry.ALL).agg(F.sum("tickets")).first()[0]
     dated = t.rows.filter("order_date is not null and not (ticket_status <=> 'canceled')").count()
@@ -47,7 +47,7 @@ def test_heatmap_covers_dated_sales(spark):
 
 
 def test_unknown_buyers_count_once(spark):
-    t = _load(spark, "ticket_id contact_id ordered_at", registry.ALL)
+    t = _load(spark, "ticket_id contact_id ordered_at")
     buyers = audience.unique_buyers(t, registry.ALL, "ticket_id")
     assert buyers.filter("contact_id is null").count() == 1
     assert buyers.count() == buyers.select("contact_id").distinct().count()

@@ -90,8 +90,11 @@ def test_grid(skewed, live):
     shows = {s for s, _ in counts}
     channels = {c for _, c in counts}
     wanted = sorted((s, c, counts.get((s, c), 0)) for s in shows for c in channels)
-    out = marketing.channel_by_show(skewed, ANY).select("event_name", "utm_source", "tickets")
+    columns = ("event_name", "utm_source", "tickets")
+    out = marketing.channel_by_show(skewed, ANY, sorted(channels)).select(*columns)
     assert sorted(rows_of(out)) == wanted
+    sparse = marketing.channel_by_show(skewed, ANY).select(*columns)
+    assert sorted(rows_of(sparse)) == [cell for cell in wanted if cell[2]]
 
 
 def test_batch_of_mostly_one_id(spark):

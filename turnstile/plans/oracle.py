@@ -185,6 +185,29 @@ _WEEK = "(values (0,'Seg'),(1,'Ter'),(2,'Qua'),(3,'Qui'),(4,'Sex'),(5,'Sáb'),(6
 _AGES = "(select cast(unnest(range(16, 81)) as bigint) as age)"
 
 
+# Pages of every user's events, landed ones with the page that they announce, and the walk.
+_USER_CHAINS = """
+with recursive seqs as (
+  select user_id, event_id, row_number() over (partition by user_id order by event_id) as seq from events
+),
+landed as (
+  select cast(user_id as varchar) as feed, event_id,
+    case when seq > 1 then concat('c', seq) else '' end as spot,
+    case when event_id % 89 <> 7 then
+      case when event_id % 101 = 11 then concat('c', greatest(2, seq - 3)) else concat('c', seq + 1) end
+    end as following
+  from seqs where event_id % 97 <> 5
+),
+walked as (
+  select feed, spot, 0::bigint as arrival from landed where spot = ''
+  union all
+  select w.feed, n.spot, w.arrival + 1 from walked w
+  join landed l on l.feed = w.feed and l.spot = w.spot
+  join landed n on n.feed = w.feed and n.spot = l.following
+  where w.arrival < 100
+)"""
+
+
 def _with(body: str, *more: str) -> str:
     return "with " + ",".join([_RAW, _TICKETS, *more]).strip() + "\n" + body.strip()
 
@@ -244,6 +267,31 @@ select cursor, 'missing' as problem from announced a
 where not exists (select 1 from landed l where l.cursor = a.cursor)
 union all
 select cursor, 'repeated' from landed where n > 1
+""",
+        "page_chain_walk": _USER_CHAINS + """
+select feed, event_id, min(arrival) as arrival
+from walked join landed using (feed, spot) group by feed, event_id
+""",
+        "page_chain_audit": _USER_CHAINS + """,
+ranks as (select feed, spot, min(arrival) as arrival from walked group by all),
+announced as (
+  select l.feed, l.following as spot, max(r.arrival) as last_announcer
+  from landed l left join ranks r on r.feed = l.feed and r.spot = l.spot
+  where l.following is not null group by l.feed, l.following
+),
+known as (
+  select coalesce(l.feed, a.feed) as feed, coalesce(l.spot, a.spot) as spot, l.feed is not null as landed,
+    a.feed is not null as told, r.arrival, a.last_announcer
+  from landed l full join announced a on l.feed = a.feed and l.spot = a.spot
+  left join ranks r on r.feed = l.feed and r.spot = l.spot
+),
+found as (
+  select feed, 'missing' as problem from known where not landed
+  union all select feed, 'unannounced' from known where landed and spot <> '' and not told
+  union all select feed, 'unreached' from known where landed and spot <> '' and told and arrival is null
+  union all select feed, 'cycle' from known where arrival is not null and last_announcer >= arrival
+)
+select feed, problem, count(*) as cursors from found group by all
 """,
         "upsert_tickets": _with("""
 select distinct ticket_id from raw b
@@ -293,6 +341,24 @@ select '1' as tenant_id, cast(0 as bigint) as entries union all
 select '2', count(*) from events join region on r_regionkey = cast(user_id % 5 as int)
 where event_type = 'purchase' and event_id % 2 = 1
 """,
+        "replayed_ledger": "with " + _RAW.strip() + "," + _TICKETS + "," + _LEDGER + """
+select event_name, cast(sum(case when entry_id % 2 = 0 then 3 else 1 end) as bigint) as entries
+from entries group by event_name
+""",
+        "refreshed_tickets": _with("""
+select event_name, case when ordered_at >= timestamp '1998-01-01' then 'refunded' else ticket_status end
+  as ticket_status, count(*) as tickets, cast(sum(deal_price) as bigint) as cents
+from (select distinct on (ticket_id) * from raw where ordered_at is not null) group by all
+"""),
+        "ticket_lookup": _with("""
+select distinct ticket_id,
+  case when ordered_at >= timestamp '1998-01-01' then 'refunded' else ticket_status end as ticket_status
+from raw where ordered_at is not null and ticket_id like '%-7-%'
+"""),
+        "clear_tenant": _with("""
+select '1' as tenant_id, cast(0 as bigint) as tickets union all
+select '2', count(distinct ticket_id) from raw where tenant_id = 2
+"""),
         "append_ledger": """
 select source, source in ('manual', 'pagbank_csv') and event_name is not null as accepted,
   count(*) as entries
@@ -484,6 +550,30 @@ select utm_source, utm_medium, count(*) as tickets,
   cast(sum(count(*)) over (partition by utm_source) as bigint) as channel_total
 from live where utm_source is not null and utm_medium is not null group by utm_source, utm_medium
 """),
+        "channel_by_medium_filled": _with("""
+select c.utm_source, m.utm_medium, count(l.utm_source) as tickets,
+  cast(sum(count(l.utm_source)) over (partition by c.utm_source) as bigint) as channel_total
+from (select distinct utm_source from live where utm_source is not null and utm_medium is not null) c
+cross join (values ('app'), ('web'), ('print')) m(utm_medium)
+left join live l on l.utm_source = c.utm_source and l.utm_medium = m.utm_medium
+group by c.utm_source, m.utm_medium
+"""),
+        "channel_by_show_filled": _with("""
+select s.event_name, c.utm_source, count(l.event_name) as tickets
+from (select distinct event_name from live98 where utm_source is not null) s
+cross join (values ('direto'), ('instagram'), ('facebook'), ('app'), ('newsletter')) c(utm_source)
+left join live98 l on l.event_name = s.event_name and l.utm_source = c.utm_source
+group by s.event_name, c.utm_source
+"""),
+        "category_mix_filled": _with("""
+select s.event_name, c.category, count(l.event_name) as tickets
+from (select distinct event_name from labelled where category is not null) s
+cross join (values ('Gratuito'), ('STANDARD POLISHED TIN'), ('PROMO BRUSHED COPPER'), ('no such category')) c(category)
+left join labelled l on l.event_name = s.event_name and l.category = c.category
+group by s.event_name, c.category
+""", """
+labelled as (
+  select *, case when deal_price > 0 then deal_title else 'Gratuito' end as category from live98)"""),
         "channel_by_show": _with("""
 select event_name, utm_source, count(*) as tickets from live98
 where utm_source is not null group by event_name, utm_source

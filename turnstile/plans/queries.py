@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnstile import constants as C
@@ -26,8 +24,9 @@ from turnstile.operators import (
     sales,
     universe,
 )
-from turnstile.session import configure, shared_dir
-from turnstile.sources import csv, ingest, ledger, pages, statement, tables
+from turnstile.session import configure, scratch
+from turnstile.sources import chain, csv, ingest, ledger, pages, statement, tables
+from turnstile.sources.store import TicketStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +41,11 @@ ONE = Filters.of(events=["ASIA 1997Q2"])
 DATED = Filters.of(events=_SHOWS_1998, date_from="1998-02-01", date_to="1998-11-30")
 BOTH = Filters.of(events=_SHOWS_1998, channels=[C.ONLINE, C.DOOR])
 
+# Labels of the zero-filled cross-tabs; some occur nowhere.
+_MEDIA = ["app", "web", "print"]
+_CHANNELS = ["direto", "instagram", "facebook", "app", "newsletter"]
+_CATEGORIES = [C.FREE, "STANDARD POLISHED TIN", "PROMO BRUSHED COPPER", "no such category"]
+
 _SCOPE = "event_name ticket_status"
 
 
@@ -51,9 +55,9 @@ def load(spark: SparkSession, directory: str, columns: str) -> Tickets:
     return Tickets.from_raw(tables.tickets(spark, directory, *columns.split()), AS_OF)
 
 
-def _metric(metric, f: Filters, columns: str, scope: str = _SCOPE, post=None) -> Query:
+def _metric(metric, f: Filters, columns: str, scope: str = _SCOPE, post=None, **options) -> Query:
     def run(spark: SparkSession, directory: str) -> DataFrame:
-        out = metric(load(spark, directory, f"{scope} {columns}"), f)
+        out = metric(load(spark, directory, f"{scope} {columns}"), f, **options)
         return post(out) if post else out
 
     return run
@@ -181,6 +185,36 @@ def _page_chain_gaps(spark: SparkSession, directory: str) -> DataFrame:
     return pages.chain_gaps(pages.pages(lines))
 
 
+_USER_PAGES = (
+    "concat(user_id, '/', event_id) as page_file",
+    "case when seq > 1 then concat('c', seq) end as cursor",
+    "case when event_id % 89 = 7 then array() else array(cast(event_id as string)) end as data",
+    "named_struct('next', concat('https://tickets.example.org/list?page_size=1&after=c', "
+    "case when event_id % 101 = 11 then greatest(2, seq - 3) else seq + 1 end)) as pagination",
+)
+
+
+def _user_pages(spark: SparkSession, directory: str) -> DataFrame:
+    """Every user's events as a chain of pages: some pages are lost, empty, or point back."""
+    configure(spark)
+    events = tables.table(spark, directory, "events")
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    landed = events.select("user_id", "event_id", seq.alias("seq")).filter("event_id % 97 <> 5")
+    file = F.split("page_file", "/")
+    shown = pages.pages(landed.selectExpr(*_USER_PAGES))
+    return shown.select("*", file[0].alias("feed"), file[1].cast("long").alias("event_id"))
+
+
+def _page_chain_walk(spark: SparkSession, directory: str) -> DataFrame:
+    """Each walked page's place on its user's chain."""
+    return chain.walk(_user_pages(spark, directory)).select("feed", "event_id", "arrival")
+
+
+def _page_chain_audit(spark: SparkSession, directory: str) -> DataFrame:
+    found = chain.audit(_user_pages(spark, directory))
+    return found.groupBy("feed", "problem").agg(F.count(F.lit(1)).alias("cursors"))
+
+
 def _statements(spark: SparkSession, directory: str) -> DataFrame:
     """A statement per event: two sales, one row of another kind and one refund."""
     configure(spark)
@@ -236,22 +270,13 @@ def _assign_statement_dates(spark: SparkSession, directory: str) -> DataFrame:
     return door.door_totals(entries)
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder on storage that all executors share; a temporary one where none is named."""
-    shared = shared_dir(spark)
-    if shared is None:
-        shared = tempfile.mkdtemp(prefix="turnstile-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
-
-
 def _load_csv(spark: SparkSession, directory: str) -> DataFrame:
     """Every ticket written as CSV text, loaded again and summed per show."""
     configure(spark)
     columns = [*_SCOPE.split(), "ticket_id", "ordered_at", "deal_price", "contact_newsletter_optin"]
     flag = F.initcap(F.col("contact_newsletter_optin").cast("string"))
     raw = tables.tickets(spark, directory, *columns).withColumn("contact_newsletter_optin", flag)
-    path = _folder(spark, "csv")
+    path = scratch(spark, "csv")
     raw.write.csv(path, header=True, escape='"')
     return _per_show(csv.load_csv(spark, path, AS_OF, multi_line=False))
 
@@ -259,7 +284,7 @@ def _load_csv(spark: SparkSession, directory: str) -> DataFrame:
 def _export(spark: SparkSession, directory: str) -> DataFrame:
     """Both channels written as one consolidated file, summed from its text."""
     both = _both(spark, directory, f"{_SCOPE} deal_price")
-    path = _folder(spark, "export")
+    path = scratch(spark, "export")
     csv.export_consolidated(both, Filters.of(channels=[C.ONLINE, C.DOOR]), path)
     micros = F.col("deal_price_brl").cast(S.PRICE) * 1_000_000
     return (
@@ -275,7 +300,7 @@ def _export(spark: SparkSession, directory: str) -> DataFrame:
 def _ledger(spark: SparkSession, directory: str) -> DataFrame:
     """Every ledger entry appended to a store and loaded from it."""
     configure(spark)
-    store = ledger.LedgerStore(spark, _folder(spark, "ledger")).create()
+    store = ledger.LedgerStore(spark, scratch(spark, "ledger")).create()
     store.append("1", tables.ledger(spark, directory))
     cents = (F.col("revenue_brl") * 100).cast("long").alias("revenue_cents")
     n_prices = F.coalesce(F.size("prices"), F.lit(0)).alias("n_prices")
@@ -287,7 +312,7 @@ def _ledger(spark: SparkSession, directory: str) -> DataFrame:
 def _clear_ledger(spark: SparkSession, directory: str) -> DataFrame:
     """Two tenants' entries after one of them is cleared."""
     configure(spark)
-    store = ledger.LedgerStore(spark, _folder(spark, "ledger")).create()
+    store = ledger.LedgerStore(spark, scratch(spark, "ledger")).create()
     entries = tables.ledger(spark, directory)
     for tenant, rest in (("1", 0), ("2", 1)):
         store.append(tenant, entries.filter(F.col("entry_id") % 2 == rest))
@@ -299,6 +324,67 @@ def _clear_ledger(spark: SparkSession, directory: str) -> DataFrame:
     return left[0].unionByName(left[1])
 
 
+def _replayed_ledger(spark: SparkSession, directory: str) -> DataFrame:
+    """Every ledger entry, each of an even number twice over, appended in two batches and replayed."""
+    configure(spark)
+    entries = tables.ledger(spark, directory)
+    even = entries.filter("entry_id % 2 = 0")
+    store = ledger.LedgerStore(spark, scratch(spark, "ledger")).create()
+    for batch, rows in (("a", entries.unionByName(even)), ("b", even), ("a", entries)):
+        store.append("1", rows, batch=batch)
+    return store.load("1").groupBy("event_name").agg(F.count(F.lit(1)).alias("entries"))
+
+
+def _fetches(spark: SparkSession, directory: str) -> tuple[TicketStore, DataFrame]:
+    """A store after three fetches: early tickets, a later refresh of some, and a replayed old one."""
+    configure(spark)
+    columns = ["ticket_id", "event_name", "ticket_status", "ordered_at", "deal_price"]
+    rows = tables.tickets(spark, directory, *columns)
+    store = TicketStore(spark, scratch(spark, "tickets"), buckets=16).create()
+    early = rows.filter("ordered_at < timestamp '1998-07-01'")
+    status = F.when(F.col("ordered_at") >= F.lit(date(1998, 1, 1)), "refunded")
+    changed = rows.filter("ordered_at >= timestamp '1998-01-01'").withColumn(
+        "ticket_status", F.coalesce(status, "ticket_status")
+    )
+    spring = rows.filter("ordered_at >= timestamp '1998-04-01'").withColumn(
+        "ticket_status", F.lit("stale")
+    )
+    for day, batch, refresh in ((1, early, False), (9, changed, True), (5, spring, True)):
+        store.ingest("1", pages.to_raw_json(batch), datetime(2024, 1, day), refresh=refresh)
+    return store, rows
+
+
+def _refreshed_tickets(spark: SparkSession, directory: str) -> DataFrame:
+    """What a store holds when the latest fetch of every ticket counts."""
+    store, _ = _fetches(spark, directory)
+    return store.rows("1").groupBy("event_name", "ticket_status").agg(
+        F.count(F.lit(1)).alias("tickets"), F.sum("deal_price").alias("cents")
+    )
+
+
+def _ticket_lookup(spark: SparkSession, directory: str) -> DataFrame:
+    """Stored tickets among those of the seventh lines, found through their buckets."""
+    store, rows = _fetches(spark, directory)
+    asked = rows.filter("ticket_id like '%-7-%'").select("ticket_id")
+    return store.lookup("1", asked).select("ticket_id", "ticket_status")
+
+
+def _clear_tenant(spark: SparkSession, directory: str) -> DataFrame:
+    """Two tenants' stored tickets after one of them is cleared."""
+    configure(spark)
+    rows = tables.tickets(spark, directory, "ticket_id", "tenant_id", "event_name")
+    store = TicketStore(spark, scratch(spark, "tickets"), buckets=8).create()
+    for tenant in (1, 2):
+        mine = ingest.of_tenant(rows, tenant).drop("tenant_id")
+        store.ingest(str(tenant), pages.to_raw_json(mine), datetime(2024, 1, 1))
+    store.clear("1")
+    left = [
+        store.rows(t).agg(F.lit(t).alias("tenant_id"), F.count(F.lit(1)).alias("tickets"))
+        for t in ("1", "2")
+    ]
+    return left[0].unionByName(left[1])
+
+
 def _append_ledger(spark: SparkSession, directory: str) -> DataFrame:
     """Every event offered to the ledger, with its type as the origin of all but two types."""
     configure(spark)
@@ -309,8 +395,8 @@ def _append_ledger(spark: SparkSession, directory: str) -> DataFrame:
         "case event_type when 'purchase' then 'manual' when 'view' then 'pagbank_csv' "
         "else event_type end as source",
     )
-    store = ledger.LedgerStore(spark, _folder(spark, "ledger")).create()
-    refused = _folder(spark, "refused")
+    store = ledger.LedgerStore(spark, scratch(spark, "ledger")).create()
+    refused = scratch(spark, "refused")
     store.append("1", offered, quarantine=refused)
     marked = (
         store.load("1")
@@ -397,8 +483,13 @@ def queries() -> dict[str, Query]:
         "ingest_pages": _ingest_pages,
         "to_raw_json": _to_raw_json,
         "page_chain_gaps": _page_chain_gaps,
+        "page_chain_walk": _page_chain_walk,
+        "page_chain_audit": _page_chain_audit,
         "incremental_new_tickets": _incremental,
         "upsert_tickets": _upsert,
+        "refreshed_tickets": _refreshed_tickets,
+        "ticket_lookup": _ticket_lookup,
+        "clear_tenant": _clear_tenant,
         "statement_sales": _statement_sales,
         "statement_totals": _statement_totals,
         "statement_by_date": _statement_by_date,
@@ -408,6 +499,7 @@ def queries() -> dict[str, Query]:
         "clear_ledger": _clear_ledger,
         "ledger": _ledger,
         "append_ledger": _append_ledger,
+        "replayed_ledger": _replayed_ledger,
         "import_consolidated": _import_consolidated,
         "dataset_counts": _dataset_counts,
         # Row-level normalisation.
@@ -528,6 +620,15 @@ def queries() -> dict[str, Query]:
         # Marketing.
         "channel_tickets": _metric(marketing.by_channel, ALL, "utm_source"),
         "channel_by_medium": _metric(marketing.channel_by_medium, ALL, "utm_source utm_medium"),
+        "channel_by_medium_filled": _metric(
+            marketing.channel_by_medium, ALL, "utm_source utm_medium", media=_MEDIA
+        ),
+        "channel_by_show_filled": _metric(
+            marketing.channel_by_show, Y98, "utm_source", channels=_CHANNELS
+        ),
+        "category_mix_filled": _metric(
+            operations.category_mix, Y98, "deal_price deal_title", categories=_CATEGORIES
+        ),
         "channel_by_show": _metric(marketing.channel_by_show, Y98, "utm_source"),
         # Audience.
         "unique_buyers": _metric(

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Calendar parts (order date, hour, weekday) are defined in UTC; the rest is the cluster's."""
@@ -28,5 +31,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str | None:
-    """The folder every executor can reach, as the cluster names it; None where unset."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+    """The folder every executor can reach, as the cluster names it; None where unset.
+
+    The session's setting counts first, then the context's checkpoint folder (which tests set).
+    """
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    shared = shared_dir(spark)
+    if not shared:
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read back: computed once, and safe from lost executors."""
+    spark = rows.sparkSession
+    path = scratch(spark, name)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

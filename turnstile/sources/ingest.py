@@ -65,15 +65,16 @@ def split_rejected(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def one_per_id(batch: DataFrame, order: Column | None = None) -> DataFrame:
-    """One record per ticket id: the first by ``order``, or else by content."""
+def one_per_id(batch: DataFrame, order: Column | None = None, last: bool = False) -> DataFrame:
+    """One record per ticket id: the first (or last) by ``order``, or else by content."""
     others = [c for c in batch.columns if c != "ticket_id"]
     if not others:
         return batch.distinct()
     record = F.struct(*others)
     by = order if order is not None else F.to_json(record)
-    first = batch.groupBy("ticket_id").agg(F.min_by(record, by).alias("record"))
-    return first.select("ticket_id", "record.*").select(*batch.columns)
+    pick = F.max_by if last else F.min_by
+    one = batch.groupBy("ticket_id").agg(pick(record, by).alias("record"))
+    return one.select("ticket_id", "record.*").select(*batch.columns)
 
 
 def new_tickets(batch: DataFrame, stored: DataFrame, order: Column | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstile import schema as S
+from turnstile.sources import chain
 
 # Tickets stay JSON text here: a field nobody knows yet must reach the store too.
 PAGE = "cursor string, data array<string>, pagination struct<next: string>"
@@ -38,10 +39,23 @@ def pages(rows: DataFrame) -> DataFrame:
 
 
 def records(page_rows: DataFrame) -> DataFrame:
-    """One row per ticket with its id, its JSON text and where it stood."""
-    rows = page_rows.select("page_file", F.posexplode("data").alias("position", "raw"))
+    """One row per ticket with its id, its JSON text and where it stood.
+
+    Pages that were walked (``chain.walk``) also give their place on the chain.
+    """
+    place = [c for c in ("arrival", "page_file") if c in page_rows.columns]
+    rows = page_rows.select(*place, F.posexplode("data").alias("position", "raw"))
     ticket_id = F.get_json_object("raw", "$.ticket_id")
-    return rows.select(ticket_id.alias("ticket_id"), "raw", "page_file", "position")
+    return rows.select(ticket_id.alias("ticket_id"), "raw", *place, "position")
+
+
+def pull(spark: SparkSession, path: str) -> DataFrame:
+    """The tickets of the pages that a client following the cursors would get, in that order.
+
+    Pages that lie in the folder but that no walked page leads to are left out;
+    ``chain.audit`` names them.
+    """
+    return records(chain.walk(read_pages(spark, path)))
 
 
 def chain_gaps(page_rows: DataFrame) -> DataFrame:

@@ -1,12 +1,18 @@
-"""The ticket store: a Parquet table laid out by tenant, typed columns next to the raw record."""
+"""The ticket store: a Parquet table laid out by tenant and hash of the ticket id, typed columns next to the raw record.
+
+Whether an id is known can be told from its bucket alone, so a batch reads and rewrites only the buckets that its own ids fall
+into. How many rows a bucket has is written down whenever it is met; the others need not be counted.
+"""
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Sequence
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +34,9 @@ SCHEMA = T.StructType(
         T.StructField("fetched_at", T.TimestampType()),
     ]
 )
-_WITH_TENANT = T.StructType([*SCHEMA.fields, T.StructField("tenant_id", T.StringType())])
+_LAYOUT = [T.StructField("tenant_id", T.StringType()), T.StructField("id_bucket", T.IntegerType())]
+_LAID_OUT = T.StructType([*SCHEMA.fields, *_LAYOUT])
+_COUNTS = "tenant_id string, id_bucket int, n_rows long, noted_at timestamp"
 
 
 def checked_tenant(tenant: str) -> str:
@@ -57,21 +65,55 @@ def typed(records: DataFrame, fetched_at: datetime) -> DataFrame:
 class TicketStore:
     """One writer per tenant at a time; Parquet itself does not check uniqueness."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def _folder(self, tenant: str) -> str:
-        return f"{self.path}/tenant_id={checked_tenant(tenant)}"
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        """``buckets`` counts for a new table; an existing one keeps the number it was created with."""
+        self.spark, self.path, self._buckets = spark, path, buckets
+        self._known: int | None = None
 
     def create(self) -> TicketStore:
         """Make the table readable before its first append."""
-        empty = self.spark.createDataFrame([], _WITH_TENANT)
-        empty.write.mode("append").partitionBy("tenant_id").parquet(self.path)
+        empty = self.spark.createDataFrame([], _LAID_OUT)
+        empty.write.mode("append").partitionBy("tenant_id", "id_bucket").parquet(self.path)
+        if self._read("_layout", "buckets int").isEmpty():
+            layout = self.spark.createDataFrame([(self._buckets,)], "buckets int")
+            layout.write.mode("append").parquet(f"{self.path}/_layout")
         return self
 
+    def _read(self, folder: str, schema: str) -> DataFrame:
+        """A table kept beside the tickets, where readers of the tickets do not look."""
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    @property
+    def buckets(self) -> int:
+        if self._known is None:
+            noted = self._read("_layout", "buckets int").first()
+            self._known = noted["buckets"] if noted else self._buckets
+        return self._known
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("ticket_id"), F.lit(self.buckets)).cast("int").alias("id_bucket")
+
+    def _laid_out(self, tenant: str) -> DataFrame:
+        return ingest.tenant_rows(self.spark, self.path, checked_tenant(tenant), _LAID_OUT)
+
     def rows(self, tenant: str) -> DataFrame:
         """The stored rows of one tenant; other tenants' folders are not listed for reading."""
-        return ingest.tenant_rows(self.spark, self.path, checked_tenant(tenant), _WITH_TENANT)
+        return self._laid_out(tenant).drop("id_bucket")
+
+    def met(self, tenant: str, buckets: Sequence[int]) -> DataFrame:
+        """The stored rows of some buckets: a filter on partitions, so the others' files are not read."""
+        return self._laid_out(tenant).filter(F.col("id_bucket").isin(list(buckets)))
+
+    def lookup(self, tenant: str, ids: DataFrame) -> DataFrame:
+        """The stored rows of the given ids (ticket_id), from their buckets alone."""
+        keyed = ids.filter(F.col("ticket_id").isNotNull()).select("ticket_id", self._bucket())
+        held = self.met(tenant, _distinct(keyed, "id_bucket"))
+        return held.join(keyed, ["id_bucket", "ticket_id"], "left_semi").select(*SCHEMA.fieldNames())
 
     def _staged(self, rows: DataFrame) -> DataFrame:
         """The rows written beside the table, where readers do not look, and read back.
@@ -86,6 +128,20 @@ class TicketStore:
         """Normalised tickets of one tenant."""
         return Tickets.from_raw(self.rows(tenant).drop("raw", "fetched_at", "tenant_id"), as_of)
 
+    def _noted(self, tenant: str) -> dict[int, int]:
+        """Rows of each bucket as last noted; one number per bucket, so the list is bounded."""
+        noted = self._read("_counts", _COUNTS).filter(F.col("tenant_id") == checked_tenant(tenant))
+        last = noted.groupBy("id_bucket").agg(F.max_by("n_rows", "noted_at").alias("n_rows"))
+        return {r["id_bucket"]: r["n_rows"] for r in last.collect()}
+
+    def _note(self, tenant: str, counts: dict[int, int]) -> None:
+        rows = [(tenant, b, n) for b, n in counts.items()]
+        if rows:
+            noted = self.spark.createDataFrame(rows, "tenant_id string, id_bucket int, n_rows long")
+            noted.withColumn("noted_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(
+                f"{self.path}/_counts"
+            )
+
     def ingest(
         self,
         tenant: str,
@@ -97,29 +153,43 @@ class TicketStore:
         """Add the records (ticket_id, raw) whose id is unknown; return the two counts.
 
         Ids are compared before the JSON is parsed, so what is known already costs no
-        parsing. Refused records go to the ``quarantine`` folder. With ``refresh`` the
-        batch also replaces stored rows of the same id; the new partition is written in
-        full before the old one goes, and stays under ``_staging``. Running a batch again
-        adds nothing.
+        parsing, and only with the ids of the buckets that the batch meets. Refused records
+        go to the ``quarantine`` folder. Running a batch again adds nothing.
+
+        With ``refresh`` a record also replaces the stored row of its id, if it was fetched
+        later (or at the same time and says something else); of a batch's records of one id
+        the last counts. Only buckets where a row changes are written anew, in full under
+        ``_staging`` before the old ones go. An older fetch that is replayed changes nothing.
+
+        Counts are noted for every bucket met, from what was read there. After a run that
+        failed in between, they are right again once its batch has been replayed.
         """
-        stored = self.rows(tenant)
-        position = [c for c in ("page_file", "position") if c in records.columns]
+        checked_tenant(tenant)
+        position = [c for c in ("arrival", "page_file", "position") if c in records.columns]
         order = F.struct(*position) if position else None
         keyed = records.select("ticket_id", "raw", *position)
         with_id = keyed.filter(F.col("ticket_id").isNotNull())
-        n_existing = stored.count()
-
-        # A fetch is small beside the store: looked up in it first, its ids can be broadcast
-        # where Spark finds them small, and the store's ids are then read but not shuffled.
-        met = stored.select("ticket_id").join(with_id.select("ticket_id"), "ticket_id", "left_semi")
-        new = typed(ingest.new_tickets(with_id, met, order), fetched_at)
-        written = new
+        one = ingest.one_per_id(with_id, order, last=refresh).withColumn("id_bucket", self._bucket())
+        buckets = _distinct(one, "id_bucket")
+        met = self.met(tenant, buckets)
+        before = dict.fromkeys(buckets, 0) | _per_bucket(met)
+        n_existing = sum((self._noted(tenant) | before).values())
+
+        # A fetch is small beside the store: its ids can be broadcast where Spark finds them
+        # small, and the ids of the buckets it meets are then read but not shuffled.
+        held = met.join(one.select("id_bucket", "ticket_id"), ["id_bucket", "ticket_id"], "left_semi")
         if refresh:
-            batch = typed(ingest.one_per_id(with_id, order), fetched_at)
-            known = stored.select("ticket_id", F.lit(True).alias("known"))
-            written = batch.join(known, "ticket_id", "left")
-        if refresh or quarantine is not None:
-            written = self._staged(written)
+            held = held.select("ticket_id", F.col("raw").alias("held_raw"), F.col("fetched_at").alias("held_at"))
+            now = F.lit(fetched_at)
+            differs = (F.col("held_at") == now) & (F.col("held_raw") != F.col("raw"))
+            later = F.col("held_at").isNull() | (F.col("held_at") < now) | differs
+            fresh = one.join(held, "ticket_id", "left").filter(later)
+            known = fresh.select("ticket_id", F.col("held_raw").isNotNull().alias("known"))
+            written = typed(fresh, fetched_at).join(known, "ticket_id")
+        else:
+            written = typed(one.join(held, "ticket_id", "left_anti"), fetched_at)
+            written = written.withColumn("known", F.lit(False))
+        written = self._staged(written.withColumn("id_bucket", self._bucket()))
         if quarantine is not None:
             nameless = keyed.filter(F.col("ticket_id").isNull()).select(
                 "ticket_id", "raw", F.lit(ingest.NO_ID).alias("reject_reason")
@@ -128,29 +198,47 @@ class TicketStore:
             refused = refused.select("ticket_id", "raw", "reject_reason").unionByName(nameless)
             ingest.quarantine(refused, quarantine)
         accepted = written.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+        added = _per_bucket(accepted.filter(~F.col("known")))
         if refresh:
-            n_new = accepted.filter(F.col("known").isNull()).count()
-            self._replace(tenant, stored, accepted.drop("known"))
-        else:
-            seen = Observation()
-            accepted = accepted.observe(seen, F.count(F.lit(1)).alias("n_new"))
-            accepted.write.mode("append").parquet(self._folder(tenant))
-            n_new = seen.get["n_new"]
-        return {"n_new": n_new, "n_existing": n_existing}
-
-    def _replace(self, tenant: str, stored: DataFrame, batch: DataFrame) -> None:
-        """Write the tenant's partition anew: the batch, and stored rows it does not have."""
-        untouched = stored.join(batch.select("ticket_id"), "ticket_id", "left_anti")
-        merged = untouched.unionByName(batch.withColumn("tenant_id", F.lit(tenant)))
+            self._replace(tenant, accepted.drop("known"))
+        elif added:
+            self._write(tenant, accepted.drop("known"), "append")
+        self._note(tenant, {b: n + added.get(b, 0) for b, n in before.items()})
+        return {"n_new": sum(added.values()), "n_existing": n_existing}
+
+    def _write(self, tenant: str, rows: DataFrame, mode: str) -> None:
+        """Rows into the folders of their buckets, in files of a fitting size each."""
+        spread = rows.withColumn("tenant_id", F.lit(tenant)).hint("rebalance", "id_bucket")
         (
-            self._staged(merged)
-            .write.mode("overwrite")
+            spread.write.mode(mode)
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("tenant_id")
+            .partitionBy("tenant_id", "id_bucket")
             .parquet(self.path)
         )
 
+    def _replace(self, tenant: str, batch: DataFrame) -> None:
+        """Write the buckets of the batch anew: its rows, and stored rows that it does not have."""
+        changed = _distinct(batch, "id_bucket")
+        if not changed:
+            return
+        untouched = self.met(tenant, changed).drop("tenant_id")
+        untouched = untouched.join(batch.select("ticket_id"), "ticket_id", "left_anti")
+        self._write(tenant, self._staged(untouched.unionByName(batch)), "overwrite")
+
     def clear(self, tenant: str) -> None:
-        """Drop the tenant's rows by writing an empty partition in their place."""
-        empty = self.spark.createDataFrame([], SCHEMA)
-        empty.write.mode("overwrite").parquet(self._folder(tenant))
+        """Drop the tenant's rows by writing empty partitions in their place."""
+        empty = self.spark.createDataFrame([], T.StructType([*SCHEMA.fields, _LAYOUT[1]]))
+        folder = f"{self.path}/tenant_id={checked_tenant(tenant)}"
+        noted = self._noted(tenant)
+        empty.write.mode("overwrite").partitionBy("id_bucket").parquet(folder)
+        self._note(tenant, dict.fromkeys(noted, 0))
+
+
+def _distinct(rows: DataFrame, column: str) -> list[int]:
+    """The buckets that occur, at most as many as the table has."""
+    return sorted(r[0] for r in rows.select(column).distinct().collect())
+
+
+def _per_bucket(rows: DataFrame) -> dict[int, int]:
+    counts = rows.groupBy("id_bucket").agg(F.count(F.lit(1)).alias("n"))
+    return {r["id_bucket"]: r["n"] for r in counts.collect()}
