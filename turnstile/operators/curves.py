@@ -27,6 +27,11 @@ def daily(tickets: Tickets) -> DataFrame:
             F.min("event_start_time").alias("start"),
         )
     )
+    return of_days(per_day)
+
+
+def of_days(per_day: DataFrame) -> DataFrame:
+    """The curves from one row per show and order date: tickets, revenue and earliest start."""
     show = Window.partitionBy("event_name")
     to_date = show.orderBy("order_date").rowsBetween(Window.unboundedPreceding, 0)
     dated = F.col("order_date").isNotNull()

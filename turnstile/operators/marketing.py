@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnstile.filters import Filters, kept_online
+from turnstile.filters import Filters, in_kept, is_online, kept_online, selected
 from turnstile.frame import Tickets
 from turnstile.operators import grids
+from turnstile.operators.onepass import Grouping, together
 
 
 def by_channel(tickets: Tickets, f: Filters) -> DataFrame:
@@ -58,12 +59,22 @@ def channel_by_show(
 
 
 def bundle(tickets: Tickets, f: Filters) -> dict[str, DataFrame]:
-    """Every acquisition chart that the input's columns and the selection allow."""
+    """Every acquisition chart that the input's columns and the selection allow, from one scan."""
     if not tickets.has("utm_source"):
         return {}
-    out = {"by_channel": by_channel(tickets, f)}
+    source, event = F.col("utm_source"), F.col("event_name")
+    counts = in_kept(f, tickets) & is_online() & source.isNotNull()
+    groupings = {"by_channel": Grouping(counts, {"utm_source": source})}
     if tickets.has("utm_medium"):
-        out["channel_by_medium"] = channel_by_medium(tickets, f)
+        medium = F.col("utm_medium")
+        keys = {"utm_source": source, "utm_medium": medium}
+        groupings["channel_by_medium"] = Grouping(counts & medium.isNotNull(), keys)
     if f.is_multi(tickets):
-        out["channel_by_show"] = channel_by_show(tickets, f)
+        keys = {"event_name": event, "utm_source": source}
+        groupings["channel_by_show"] = Grouping(counts & event.isNotNull(), keys)
+    out = together(selected(tickets, f), groupings, {"tickets": F.count(F.lit(1))})
+    out["by_channel"] = out["by_channel"].orderBy("tickets", "utm_source")
+    if "channel_by_medium" in out:
+        total = F.sum("tickets").over(Window.partitionBy("utm_source"))
+        out["channel_by_medium"] = out["channel_by_medium"].withColumn("channel_total", total)
     return out

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnstile import constants as C
-from turnstile.filters import Filters, kept_online, selected
+from turnstile.filters import Filters, in_kept, is_online, kept_online, selected
 from turnstile.frame import Tickets
 from turnstile.functions import money
 from turnstile.functions.rates import percent
 from turnstile.operators import grids
+from turnstile.operators.onepass import Grouping, together
 
 
 def attendance_by_show(tickets: Tickets, f: Filters) -> DataFrame:
@@ -20,17 +21,24 @@ def attendance_by_show(tickets: Tickets, f: Filters) -> DataFrame:
 
     One aggregate per show holds both kinds, so the total needs no second shuffle.
     """
+    measures = [column.alias(name) for name, column in _attendance(tickets).items()]
+    return _present_and_absent(kept_online(tickets, f).groupBy("event_name").agg(*measures))
+
+
+def _attendance(tickets: Tickets) -> dict[str, Column]:
+    """Rows, ids and scans of either kind."""
     has_price = tickets.has("deal_price_cents")
     kind = money.paid_or_free(tickets) if has_price else F.lit(C.PAID)
-
-    def of_kind(label: str, prefix: str):
+    out = {}
+    for label, prefix in ((C.PAID, "paid"), (C.FREE, "free")):
         mine = kind == label
-        return [
-            F.count_if(mine).alias(f"{prefix}_rows"),
-            F.count(F.when(mine, F.col("ticket_id"))).alias(f"{prefix}_total"),
-            F.count(F.when(mine, F.col("ticket_scanned_at"))).alias(f"{prefix}_present"),
-        ]
+        out[f"{prefix}_rows"] = F.count_if(mine)
+        out[f"{prefix}_total"] = F.count(F.when(mine, F.col("ticket_id")))
+        out[f"{prefix}_present"] = F.count(F.when(mine, F.col("ticket_scanned_at")))
+    return out
 
+
+def _present_and_absent(per_show: DataFrame) -> DataFrame:
     def part(label: str, prefix: str):
         return F.struct(
             F.lit(label).alias("ticket_type"),
@@ -39,11 +47,6 @@ def attendance_by_show(tickets: Tickets, f: Filters) -> DataFrame:
             F.col(f"{prefix}_present").alias("present"),
         )
 
-    per_show = (
-        kept_online(tickets, f)
-        .groupBy("event_name")
-        .agg(*of_kind(C.PAID, "paid"), *of_kind(C.FREE, "free"))
-    )
     return (
         per_show.select(
             "event_name",
@@ -104,12 +107,36 @@ def category_mix(
 
 
 def bundle(tickets: Tickets, f: Filters) -> dict[str, DataFrame]:
-    """Every operations chart that the input's columns allow."""
-    out = {
-        "attendance_by_show": attendance_by_show(tickets, f),
-        "cancellation_by_show": cancellation_by_show(tickets, f),
-        "status_distribution": status_distribution(tickets, f),
+    """Every operations chart that the input's columns allow, from one scan."""
+    event, status = F.col("event_name"), F.col("ticket_status")
+    counts = in_kept(f, tickets) & is_online()
+    groupings = {
+        "attendance_by_show": Grouping(counts, {"event_name": event}),
+        "cancellation_by_show": Grouping(F.lit(True), {"event_name": event}),
+        "status_distribution": Grouping(status.isNotNull(), {"ticket_status": status}),
     }
     if tickets.has("deal_title"):
-        out["category_mix"] = category_mix(tickets, f)
+        label = money.category(tickets) if tickets.has("deal_price_cents") else F.col("deal_title")
+        groupings["category_mix"] = Grouping(
+            counts & event.isNotNull() & label.isNotNull(), {"event_name": event, "category": label}
+        )
+    measures = {
+        "tickets": F.count(F.lit(1)),
+        "total": F.count("ticket_id"),
+        "canceled": F.count_if(status == C.CANCELED),
+        **_attendance(tickets),
+    }
+    found = together(selected(tickets, f), groupings, measures)
+    out = {
+        "attendance_by_show": _present_and_absent(found["attendance_by_show"]),
+        "cancellation_by_show": found["cancellation_by_show"].select(
+            "event_name",
+            "total",
+            "canceled",
+            percent(F.col("canceled"), F.col("total")).alias("cancel_pct"),
+        ),
+        "status_distribution": found["status_distribution"].select("ticket_status", "tickets"),
+    }
+    if "category_mix" in found:
+        out["category_mix"] = found["category_mix"].select("event_name", "category", "tickets")
     return out

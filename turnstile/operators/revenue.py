@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstile.filters import Filters, kept
+from turnstile.filters import Filters, in_kept, kept, selected
 from turnstile.frame import Tickets
 from turnstile.functions import money, normalise
+from turnstile.operators.onepass import Grouping, together
 
 
 def by_show(tickets: Tickets, f: Filters) -> DataFrame:
@@ -84,19 +85,45 @@ def daily(tickets: Tickets, f: Filters) -> DataFrame:
 
 
 def bundle(tickets: Tickets, f: Filters) -> dict[str, DataFrame]:
-    """Every revenue chart that the input's columns and the selection allow."""
+    """Every revenue chart that the input's columns and the selection allow, from one scan."""
     if not tickets.has("deal_price_cents"):
         return {}
-    out: dict[str, DataFrame] = {}
-    multi = f.is_multi(tickets)
-    if multi:
-        out["by_show"] = by_show(tickets, f)
+    counts, price = in_kept(f, tickets), money.price(tickets)
+    groupings = {"by_show": Grouping(counts, {"event_name": F.col("event_name")})}
     if tickets.has("deal_title"):
-        out["by_category"] = by_category(tickets, f)
-        out["free_ticket_types"] = free_ticket_types(tickets, f)
+        title = F.col("deal_title")
+        groupings["by_category"] = Grouping(counts, {"category": money.category(tickets)})
+        groupings["free_ticket_types"] = Grouping(
+            counts & (price == 0) & title.isNotNull(), {"deal_title": title}
+        )
     if tickets.has("payment_method"):
-        out["by_payment"] = by_payment(tickets, f)
-    out["paid_vs_free"] = paid_vs_free(tickets, f)
-    if not multi and tickets.has("order_date"):
-        out["daily"] = daily(tickets, f)
+        method = normalise.payment_method(F.col("payment_method"))
+        groupings["by_payment"] = Grouping(counts & (price > 0), {"payment_method": method})
+    groupings["paid_vs_free"] = Grouping(counts, {"ticket_type": money.paid_or_free(tickets)})
+    if tickets.has("order_date"):
+        dated = F.col("order_date").isNotNull()
+        groupings["daily"] = Grouping(counts & dated, {"order_date": F.col("order_date")})
+    measures = {
+        "n": F.count(F.lit(1)),
+        "with_id": F.count("ticket_id"),
+        "revenue_cents": money.revenue_cents(tickets),
+    }
+    found = together(selected(tickets, f), groupings, measures)
+    out: dict[str, DataFrame] = {}
+    multi = len(f.events) > 1 if f.events else f.is_multi(tickets)
+    if multi:
+        shows = found["by_show"].select("event_name", "revenue_cents")
+        out["by_show"] = shows.orderBy(F.desc("revenue_cents"), "event_name")
+    for name, key in (("by_category", "category"), ("by_payment", "payment_method")):
+        if name in found:
+            cells = found[name].filter(F.col(key).isNotNull())
+            cells = cells.select(key, F.col("with_id").alias("tickets"), "revenue_cents")
+            out[name] = cells.orderBy(F.desc("revenue_cents"), key)
+    tickets_of = F.col("n").alias("tickets")
+    if "free_ticket_types" in found:
+        free = found["free_ticket_types"].select("deal_title", tickets_of)
+        out["free_ticket_types"] = free.orderBy(F.desc("tickets"), "deal_title")
+    out["paid_vs_free"] = found["paid_vs_free"].select("ticket_type", tickets_of)
+    if not multi and "daily" in found:
+        out["daily"] = found["daily"].select("order_date", "revenue_cents")
     return out
