@@ -55,7 +55,15 @@ def test_nulls_empty_repeated_and_clashing_columns(spark):
     assert found == [(0, 4, 4), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 4, 4), (5, 4, 4), (5, 4, 4), (8, 1, 8), (9, 1, 8)]
     kept = setjoin.one_per_group(docs, 3, 90)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 8]
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [1, 2, 3, 4, 8]
+
+
+def test_a_row_goes_only_if_a_linked_row_stands_for_it(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, a), (5, a), (5, b), (None, b), (None, "no id " * 9), (None, "no id " * 9), (None, None), (None, None), (7, a.upper()), (7, "")]
+    kept = setjoin.one_per_group(frame(spark, rows), 3, 90)
+    found = sorted((str(r.doc_id), str(r.text)) for r in kept.collect())
+    assert found == sorted([("1", a), ("5", b), ("None", "no id " * 9), ("None", "None"), ("None", "None"), ("7", "")])
 
 
 def test_sizes_far_apart_fold_their_bitmaps(spark, monkeypatch):

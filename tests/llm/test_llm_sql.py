@@ -4,6 +4,7 @@ import brute
 import pytest
 from compare import families, spark_rows, sql_connection, sql_rows
 
+from turnstile.llm import quality
 from turnstile.llm import queries as registry
 
 SMALL = "/root/testdata/sf0.001"
@@ -40,7 +41,7 @@ def test_quality_counts(spark, documents):
         n = brute.counts(documents[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == n
         assert r.base_failed == (n[0] < 50 or 100 * n[4] > 50 * n[0])
-        assert r.kept == (not r.base_failed and r.score >= -0.5)
+        assert r.kept == (not r.base_failed and r.score >= quality.THRESHOLD)
 
 
 def test_tokens_decode_to_the_texts(spark, documents):

@@ -187,12 +187,12 @@ class _Block(NamedTuple):
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[_Block]:
     """Item texts in blocks of about `block_bytes`, by a hash of the item; one block is with the driver at a time."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL AND item IS NOT NULL")
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // block_bytes)
     for b in range(n):
         part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b) if n > 1 else items
-        rows = sorted((r.item, r.text) for r in part.collect())
+        rows = sorted(((r.item, r.text) for r in part.collect()), key=lambda r: (r[0] is None, r))
         broadcast = spark.sparkContext.broadcast(rows)
         yield _Block(uuid.uuid4().hex, broadcast)
 
@@ -207,9 +207,9 @@ def _scan(block: _Block | None, window: int, batches: Iterable[pa.RecordBatch])
             hit, which = found.find(words) if found else ([], set())
             n_words.append(len(words))
             spans.append([x for span in hit for x in span])
-            items.append(sorted(which))
+            items.append(sorted(which, key=lambda i: (i is None, i or "")))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))],
+            [batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
             names=["key", "n_words", "spans", "items"],
         )
 
@@ -220,10 +220,10 @@ def _combined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits, items, digests = [], [], []
         for spans, which in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             merged = _merge(span for flat in spans for span in zip(flat[::2], flat[1::2], strict=True))
-            found = sorted({str(i) for several in which for i in several})
+            found = {i for several in which for i in several}
             hits.append(sum(end - start for start, end in merged))
             items.append(len(found))
-            digests.append(hashlib.sha256(",".join(found).encode()).hexdigest())
+            digests.append(hashlib.sha256(",".join(sorted(found - {None})).encode()).hexdigest())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(hits, pa.int64()), pa.array(items, pa.int64()), pa.array(digests, pa.string())],
             names=["key", "n_words", "n_hit", "n_items", "items_sha256"],
@@ -233,8 +233,9 @@ def _combined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """What each document shares with the benchmark: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    A null or empty text has no words and no hits. Items without an id, a text or words are passed over; with an
-    empty benchmark nothing is hit. Equal rows give equal results; with more than one block of items, rows are
+    A null or empty text has no words and no hits. Items without a text or words are passed over; items without an id
+    count as one, which the digest of ids leaves out. Ids of any type are taken as text. With an empty benchmark
+    nothing is hit. Equal rows give equal results; with more than one block of items, rows are
     told apart by a number of their own. Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
@@ -242,7 +243,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col
     if len(blocks) > 1:
         texts = written(texts.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col("key").alias("id")).alias("key"), "text"), "numbered")
     key = texts.schema["key"].dataType.simpleString()
-    schema = f"key {key}, n_words long, spans array<int>, items array<long>"
+    schema = f"key {key}, n_words long, spans array<int>, items array<string>"
     parts = [in_batches(texts, partial(_scan, block, window), schema) for block in blocks]
     if len(parts) == 1:
         merged = parts[0].select("key", "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"))
@@ -335,7 +336,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_words: int = 0, max
     texts = numbered.select(F.col(row).alias("key"), F.col(text_col).cast("string").alias("text"))
     rounds: list[DataFrame] = []
     while True:
-        scans = [in_batches(texts, partial(_scan, block, window), "key long, n_words long, spans array<int>, items array<long>") for block in blocks]
+        scans = [in_batches(texts, partial(_scan, block, window), "key long, n_words long, spans array<int>, items array<string>") for block in blocks]
         hits = scans[0]
         for scan in scans[1:]:
             hits = hits.unionByName(scan)

@@ -19,6 +19,7 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -293,14 +294,22 @@ class Codec:
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
+class Vocabulary(NamedTuple):
+    """The pieces, and a digest of all of them that names them in every worker."""
+
+    name: str
+    pieces: list[tuple[str, float, bool]]
+
+
 _codecs: dict[tuple, Codec] = {}
 
 
 def _codec(vocabulary, seed: int, dropout: float) -> Codec:
-    name = (len(vocabulary.value), hash(tuple(vocabulary.value[-200:])), seed, dropout)
+    held = vocabulary.value
+    name = (held.name, seed, dropout)
     if name not in _codecs:
         _codecs.clear()
-        _codecs[name] = Codec(vocabulary.value, seed, dropout)
+        _codecs[name] = Codec(held.pieces, seed, dropout)
     return _codecs[name]
 
 
@@ -318,7 +327,8 @@ def _encoded(vocabulary, seed: int, dropout: float, batches: Iterable[pa.RecordB
 
 def _vocabulary(spark: SparkSession, path: str):
     """The vocabulary, read where the driver runs and sent to the workers; its size is that of the model file."""
-    return spark.sparkContext.broadcast(read_pieces(path))
+    pieces = read_pieces(path)
+    return spark.sparkContext.broadcast(Vocabulary(hashlib.sha256(repr(pieces).encode("utf-8", "surrogatepass")).hexdigest(), pieces))
 
 
 def encode(docs: DataFrame, seed: int = SEED, dropout: float = DROPOUT, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

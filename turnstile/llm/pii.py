@@ -115,10 +115,10 @@ _SPELLED = {
 _DIGIT_WORD = "(?:" + "|".join(w for w, d in _SPELLED.items() if d.isdigit()) + ")"
 _PART = rf"(?:{_DIGIT_WORD}|dot|point|punkt|punto|[0-9])"
 # A text is looked through for runs only if its lower case has a spelled digit beside another, a digit or a dot word.
-_POINT, _GAP = "(?:dot|point|punkt|punto)", r"[\s,;./()-]{0,3}"
+_POINT, _GAP = "(?:dot|point|punkt|punto)", r"[\s,;./()-]*"
 _ANY_PAIR = re.compile(rf"{_DIGIT_WORD}{_GAP}(?:{_DIGIT_WORD}|{_POINT}|[0-9])|(?:[0-9]|{_POINT}){_GAP}{_DIGIT_WORD}")
 _SPELLED_OUT = re.compile(_DIGIT_WORD, re.IGNORECASE)
-_RUN = re.compile(rf"(?:(?<![^\W_])|(?<=[0-9]))(?:\bplus[\s-]{{1,3}})?(?:\+\s?)?{_PART}(?:[\s,;/()-]{{0,3}}(?:{_DIGIT_WORD}|[0-9])(?![^\W\d_])|[\s,;./()-]{{1,3}}{_PART}(?![^\W\d_])){{2,}}", re.IGNORECASE)
+_RUN = re.compile(rf"(?:(?<![^\W_])|(?<=[0-9]))(?:\bplus[\s-]+)?(?:\+\s?)?{_PART}(?:[\s,;/()-]*(?:{_DIGIT_WORD}|[0-9])(?![^\W\d_])|[\s,;./()-]+{_PART}(?![^\W\d_])){{2,}}", re.IGNORECASE)
 _TOKEN = re.compile("|".join(sorted(_SPELLED, key=len, reverse=True)) + r"|[0-9.+]", re.IGNORECASE)
 
 

@@ -4,10 +4,9 @@ Two multinomials over hashed n-gram buckets are counted from whole texts: one ov
 whole corpus. A document's score is the sum of log(trusted / corpus) over its n-grams divided by their number, and
 every document is held against one threshold. Everything is DataFrame expressions.
 
-The n-grams (`fit_model`) are all runs of three characters of the whole text, with one space between words and at both
-ends, so every character of every word counts, and where words meet. The number of buckets grows with the corpus. A
-smaller model (`fit_weights`) has one n-gram a word, its last three characters. Weights are whole millionths of a nat, so
-sums do not depend on their order.
+The n-grams are the pieces of every word, cut off from its start by three characters and what is left at its end; so
+each character of each word counts once. The number of buckets grows with the corpus. Weights are whole millionths of a
+nat, so sums do not depend on their order.
 """
 
 from __future__ import annotations
@@ -19,14 +18,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from turnstile.llm.common import free_name
 
-#: Number of hash buckets, or the least where it grows; weights are sent to tasks as one array.
+#: Least number of hash buckets; it grows with the corpus. Weights are sent to tasks as one array.
 BUCKETS = 1 << 14
-#: Characters of an n-gram.
-GRAM = 3
-#: Added to each bucket's count before taking probabilities.
+#: An n-gram: up to three characters of a word.
+GRAM = r"[^\x20\x09-\x0D]{1,3}"
+#: Added to each bucket's count before taking probabilities, in the trusted documents by their share of the corpus.
 SMOOTHING = 1.0
 #: Mean log ratio (in nats) under which a document is rejected.
-THRESHOLD = -0.5
+THRESHOLD = -0.6
 #: Up to so many trusted ids (8 bytes each) are broadcast; more are joined by shuffling.
 BROADCAST_IDS = 2_000_000
 
@@ -49,26 +48,18 @@ def _words(text: Column) -> Column:
     return F.array_remove(_split(text), "")
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(F.substring(word, -GRAM, GRAM)), F.lit(BUCKETS)).cast("int")
-
-
 class Model(NamedTuple):
-    """Weights of all n-grams of a text, one for each bucket."""
+    """Weights of the n-grams of a text, one for each bucket."""
 
     weights: list[int]
 
 
-def _characters(words: Column) -> Column:
-    return F.split(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), "")
-
-
-def _places(characters: Column) -> Column:
-    return F.sequence(F.lit(0), F.size(characters) - GRAM)
+def _grams(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(GRAM), F.lit(0))
 
 
-def _gram(characters: Column, i: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*(F.get(characters, i + k) for k in range(GRAM))), F.lit(buckets)).cast("int")
+def _bucket(gram: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(buckets)).cast("int")
 
 
 def buckets_for(n_characters: int) -> int:
@@ -130,7 +121,6 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.length(t) - F.length(_without(t, _SYMBOLS))).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         _covered(F.col(whole)).cast("long").alias("n_repeat_words"),
-        w.alias("words"),
     )
     return out.withColumn(free_name(docs, "measures"), counts).drop(text, words, hashes, bits, packed, whole)
 
@@ -145,17 +135,17 @@ def _marked(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, tru
 
 
 def fit_model(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", trusted_col: str = "doc_id") -> Model:
-    """Log ratio of each bucket in millionths of a nat, from all n-grams of all documents' whole texts.
+    """Log ratio of each bucket in millionths of a nat, from the n-grams of all documents' whole texts.
 
-    The trusted counts are smoothed by their share of the corpus, so what neither has weighs nothing. `trusted` as in
-    `fit_weights`; counting is one pass, after one that sums up lengths.
+    `trusted` lists the ids of the target documents. The trusted counts are smoothed by their share of the corpus, so
+    what neither has weighs nothing, and what is rare in both hardly anything. Counting is one pass, after one that sums
+    up lengths, and sums in every task before the shuffle; what comes back has one row per bucket. Without any trusted
+    text all weights are 0.
     """
     n = buckets_for(docs.agg(F.sum(F.length(F.col(text_col).cast("string")))).first()[0] or 0)
-    texts = _marked(docs, trusted, id_col, text_col, trusted_col).select("good", _words(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    split = texts.select("good", _characters(F.col("words")).alias("characters"))
-    c = F.col("characters")
-    grams = split.select("good", F.explode(F.transform(_places(c), lambda i: _gram(c, i, n))).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("all"), F.count_if("good").alias("good"))
+    texts = _marked(docs, trusted, id_col, text_col, trusted_col)
+    grams = texts.select("good", F.explode(_grams(F.col("text"))).alias("gram"))
+    counts = grams.groupBy(_bucket(F.col("gram"), n).alias("bucket")).agg(F.count("*").alias("all"), F.count_if("good").alias("good"))
     return Model(ratios_of({r["bucket"]: (r["all"], r["good"]) for r in counts.collect()}, n))
 
 
@@ -173,67 +163,34 @@ def ratios_of(counts: dict[int, tuple[int, int]], buckets: int) -> list[int]:
     return out
 
 
-def fit_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", trusted_col: str = "doc_id") -> list[int]:
-    """Log ratio of each bucket in millionths of a nat, from all n-grams of all documents.
-
-    `trusted` lists the ids of the target documents. Counting is one pass that sums in every task before the
-    shuffle; what comes back has one row per bucket. Without any trusted text all weights are 0.
-    """
-    marked = _marked(docs, trusted, id_col, text_col, trusted_col)
-    words = marked.select("good", F.explode(_split(F.col("text"))).alias("word")).filter("word <> ''")
-    grams = words.select("good", _bucket(F.col("word")).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("all"), F.count_if("good").alias("good"))
-    rows = {r["bucket"]: (r["all"], r["good"]) for r in counts.collect()}
-    return weights_of(rows)
-
-
-def weights_of(counts: dict[int, tuple[int, int]]) -> list[int]:
-    """Smoothed log ratios of (corpus, trusted) counts per bucket, as whole millionths."""
-    from math import log
-
-    corpus, trusted = (sum(c[i] for c in counts.values()) for i in (0, 1))
-    if not trusted:
-        return [0] * BUCKETS
-    rest = SMOOTHING * BUCKETS
-    both = [counts.get(b, (0, 0)) for b in range(BUCKETS)]
-    return [round(1e6 * (log((t + SMOOTHING) / (trusted + rest)) - log((a + SMOOTHING) / (corpus + rest)))) for a, t in both]
-
-
-def judge(docs: DataFrame, weights: Model | list[int], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """Adds counts, `score` (mean log ratio, null without words), `base_failed` and `kept` to the input columns.
 
     `base_failed`: fewer than 50 words, or more than half of the words inside repeated three-word windows. Null and
     empty texts have no words, so they fail. Words of any length and texts of any length are taken whole; repeated
-    rows are judged alike. A `Model` scores all n-grams of a text, a list of weights words' endings. A name that the input already has gets underscores. To filter by the verdict, use `passing`.
+    rows are judged alike. A name that the input already has gets underscores. To filter by the verdict, use `passing`.
     """
-    held = free_name(docs, "measures")
-    every = isinstance(weights, Model)
-    listed = weights.weights if every else weights
-    table = F.from_json(F.lit(json.dumps(listed)), "array<bigint>")
-    out = measures(docs, text_col)
-    m, zero, characters = F.col(held), F.lit(0).cast("long"), free_name(docs, "q_characters")
-    if every:
-        out = out.withColumn(characters, _characters(m["words"]))
-        c = F.col(characters)
-        total, n = F.aggregate(_places(c), zero, lambda s, i: s + F.get(table, _gram(c, i, len(listed)))), F.size(c) - (GRAM - 1)
-    else:
-        total, n = F.aggregate(m["words"], zero, lambda s, w: s + F.get(table, _bucket(w))), m["n_words"]
-    mean = F.when(m["n_words"] > 0, total / n / 1e6)
+    held, grams = free_name(docs, "measures"), free_name(docs, "q_grams")
+    weights = F.from_json(F.lit(json.dumps(model.weights, separators=(",", ":"))), "array<int>")
+    out = measures(docs, text_col).withColumn(grams, _grams(F.col(text_col).cast("string")))
+    m, g = F.col(held), F.col(grams)
+    total = F.aggregate(g, F.lit(0).cast("long"), lambda s, x: s + F.get(weights, _bucket(x, len(model.weights))))
+    mean = F.when(m["n_words"] > 0, total / F.size(g) / 1e6)
     for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"):
         out = out.withColumn(free_name(docs, name), m[name])
     failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
     score = free_name(docs, "score")
     out = out.withColumn(score, mean).withColumn(free_name(docs, "base_failed"), failed)
-    return out.withColumn(free_name(docs, "kept"), ~failed & (F.coalesce(F.col(score), F.lit(0.0)) >= threshold)).drop(held, characters)
+    return out.withColumn(free_name(docs, "kept"), ~failed & (F.coalesce(F.col(score), F.lit(0.0)) >= threshold)).drop(held, grams)
 
 
-def passing(docs: DataFrame, weights: Model | list[int], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+def passing(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The documents that `judge` keeps; same columns.
 
     A filter on computed columns is moved below the steps that compute them, and their expressions are then copied
     into the functions of single words. A row number, which may not be computed twice, holds the filter in place.
     """
-    judged = judge(docs, weights, threshold, text_col)
+    judged = judge(docs, model, threshold, text_col)
     kept, row = judged.columns[-1], free_name(judged, "q_row")
     numbered = judged.select(*docs.columns, F.col(kept), F.monotonically_increasing_id().alias(row))
     return numbered.filter(F.col(kept) & (F.col(row) >= 0)).select(*docs.columns)

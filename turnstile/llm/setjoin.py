@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from turnstile.llm.common import in_batches, slices, strings, written
+from turnstile.llm.common import free_name, in_batches, slices, strings, written
 from turnstile.llm.shingles import mix, shingle_sets
 
 _U = np.uint64
@@ -53,19 +53,19 @@ def _bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-_NODE_SCHEMA = "doc_id long, n int, fp long, bits array<long>, repeats int"
+_NODE_SCHEMA = "doc_id long, h1 long, h2 long, n int, fp long, bits array<long>, repeats int"
 
 
 def _describe(k: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per document (id, set size, fingerprint, bitmap); and for each run of documents, its frequent shingles."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("bits", pa.list_(pa.int64())), ("repeats", pa.int32())])
+    """One row per document (id, hashes of the row, set size, fingerprint, bitmap); and for each run of documents, its frequent shingles."""
+    schema = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("bits", pa.list_(pa.int64())), ("repeats", pa.int32())])
 
     def frequent(run: list[np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(run) if run else np.empty(0, _U), return_counts=True)
         keep = counts >= _RUN_REPEATS
         n = int(keep.sum())
         return pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(values[keep].view(np.int64)), pa.nulls(n, schema.field("bits").type), pa.array(counts[keep].astype(np.int32))],
+            [*(pa.nulls(n, pa.int64()) for _ in range(3)), pa.nulls(n, pa.int32()), pa.array(values[keep].view(np.int64)), pa.nulls(n, schema.field("bits").type), pa.array(counts[keep].astype(np.int32))],
             schema=schema,
         )
 
@@ -75,6 +75,8 @@ def _describe(k: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0).cast(pa.int64()),
+                batch.column(2),
+                batch.column(3),
                 pa.array([len(s) for s in sets], pa.int32()),
                 pa.array([_fingerprint(s) if len(s) else None for s in sets], pa.int64()),
                 pa.array([_bitmap(s) if len(s) else None for s in sets], schema.field("bits").type),
@@ -197,7 +199,7 @@ def _apart_by(pairs: DataFrame, known: DataFrame) -> DataFrame:
 def _sets_of(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """(fp, shingles) of the sets in the pairs, from the text of one document of each; a few ids are broadcast."""
     needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    wanted = written(nodes.join(needed, "fp", "left_semi").select(F.col("label").alias("doc_id")), "wanted")
+    wanted = written(nodes.join(needed, "fp", "left_semi").select("label.doc_id"), "wanted")
     ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     named = texts.filter("doc_id IS NOT NULL").join(ids, "doc_id", "left_semi")
     return written(in_batches(named.unionByName(texts.filter("doc_id IS NULL")), partial(_whole_sets, k), "fp long, shingles array<long>"), "sets")
@@ -245,20 +247,23 @@ def _frequent(spark: SparkSession, described: DataFrame):
     return spark.sparkContext.broadcast((hashes[order], ranks[order]))
 
 
-def link_documents(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Size of each document's shingle set and the smallest id that links reach from it.
+def _row_hashes(doc_id: Column, text: Column) -> list[Column]:
+    """128 bits that tell rows of different ids or texts apart; a null id or text is told from any other."""
+    parts = (doc_id.isNull(), doc_id, text.isNull(), text)
+    return [F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *parts).alias("h2")]
 
-    Two documents are linked when 100 * shared shingles >= percent * shingles of both. Returns one row per input row:
-    `doc_id`, `n_shingles`, `component_id`. A null, empty or blank text has no shingles and is linked with nothing;
-    its component is its own id. Texts of fewer than `k` words have one shingle, all their words. Repeated rows give
-    repeated results. A row without an id gets the smallest id of its group, null if the group has no id. Other
-    columns are ignored. Ids must be integers.
+
+def _rooted(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, h1, h2, n and `first` of each row: the id and hashes of the first row of its group, null without words.
+
+    First is the smallest id, a missing one last, and then the smallest hash.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described = written(in_batches(texts, partial(_describe, k), _NODE_SCHEMA), "described")
+    described = written(in_batches(texts.select("*", *_row_hashes(F.col("doc_id"), F.col("text"))), partial(_describe, k), _NODE_SCHEMA), "described")
     rows = described.filter("repeats IS NULL")
-    nodes = written(rows.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
+    label = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h1", "h2")).alias("label")
+    nodes = written(rows.filter("n > 0").groupBy("fp").agg(label, F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
 
     prefixes = in_batches(texts, partial(_prefixes, k, percent, _frequent(spark, described)), "shingle long, fp long, n int, pos int")
     list_, block = Window.partitionBy("shingle"), Window.partitionBy("shingle", "size_block")
@@ -286,20 +291,40 @@ def link_documents(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id"
     open_pairs = written(open_pairs, "open_pairs")
     links = first.union(_linked(open_pairs, _sets_of(texts, nodes, open_pairs, k), percent))
     rooted = nodes.select("fp", "label").join(components(links), "fp", "left").select("fp", "label", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("label").alias("component_id"))
-    found = rooted.join(names, "root").select("fp", "component_id")
-    return rows.select("doc_id", "n", "fp").join(found, "fp", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    names = rooted.groupBy("root").agg(F.min("label").alias("first"))
+    found = rooted.join(names, "root").select("fp", "first")
+    return rows.select("doc_id", "h1", "h2", "n", "fp").join(found, "fp", "left").drop("fp")
+
+
+def link_documents(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Size of each document's shingle set and the smallest id that links reach from it.
+
+    Two documents are linked when 100 * shared shingles >= percent * shingles of both. Returns one row per input row:
+    `doc_id`, `n_shingles`, `component_id`. A null, empty or blank text has no shingles and is linked with nothing;
+    its component is its own id. Texts of fewer than `k` words have one shingle, all their words. Repeated rows give
+    repeated results. A row without an id gets the smallest id of its group, null if the group has no id. Other
+    columns are ignored. Ids must be integers.
+    """
+    rows = _rooted(docs, k, percent, id_col, text_col)
+    component = F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
 def one_per_group(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those that a linked document with a smaller id stands for; all input columns.
+    """One row of each group of linked documents, that of the smallest id; all input columns.
 
-    Of rows that repeat an id and its text, one stays. Rows without an id and texts without words stay.
+    Rows are told apart by id and text, so a row goes only if a linked row stands for it, whatever its id: of rows that
+    repeat an id and its text one stays, and of a group without ids too. Rows without words are linked with nothing and
+    all stay.
     """
-    linked = written(link_documents(docs, k, percent, id_col, text_col), "linked")
-    gone = linked.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    repeated = linked.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__gone"))
-    once = kept.join(repeated, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    again = kept.join(repeated, F.col(id_col).cast("long") == F.col("__gone"), "left_semi")
-    return once.unionByName(again.dropDuplicates([id_col, text_col]))
+    rows = written(_rooted(docs, k, percent, id_col, text_col), "linked").filter("n > 0")
+    own = F.struct("h1", "h2") == F.struct("first.h1", "first.h2")
+    gone = rows.filter(~own).select("h1", "h2").distinct()
+    repeated = rows.filter(own).groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2")
+    names = [free_name(docs, "q_h1"), free_name(docs, "q_h2")]
+    hashes = _row_hashes(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    keyed = docs.select("*", *(h.alias(n) for h, n in zip(hashes, names)))
+    met = lambda keys: (F.col(names[0]) == keys["h1"]) & (F.col(names[1]) == keys["h2"])
+    kept = keyed.join(gone, met(gone), "left_anti")
+    once, again = kept.join(repeated, met(repeated), "left_anti"), kept.join(repeated, met(repeated), "left_semi")
+    return once.unionByName(again.dropDuplicates(names)).select(*docs.columns)

@@ -220,6 +220,10 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = AR
     return written(in_batches(made, partial(_write, folder, archive_bytes), "archive string, records long, bytes long"), "archives")
 
 
+#: Ranges are read by at most so many tasks.
+MOST_TASKS = 20_000
+
+
 def read_range(uri: str, first: int, last: int) -> Iterator[Parsed]:
     """Records `first` to `last` (exclusive) of an archive, in the order of its index."""
     store, path = _store(uri)
@@ -264,4 +268,6 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     it stands for. No archive gives no rows."""
     ranges = archives.select("archive", F.col("records"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("records") - 1, F.lit(RANGE_RECORDS).cast("long"))).alias("first"))
     ranges = ranges.select("archive", "first", F.least("records", F.col("first") + RANGE_RECORDS).alias("last"))
-    return in_batches(ranges.repartition("archive", "first"), partial(_read, with_payload), _SCHEMA)
+    # Rows of a few bytes stand for megabytes each, so their number says how far they are spread, not their size.
+    parts = max(1, min(MOST_TASKS, ranges.count()))
+    return in_batches(ranges.repartition(parts, "archive", "first"), partial(_read, with_payload), _SCHEMA)
