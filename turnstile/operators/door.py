@@ -30,7 +30,7 @@ def door_rows(
 
     The order date is the entry's own, else the day its show first starts, else
     ``as_of``. Listed prices hold only if there is one per ticket, be it in the entry
-    or in the table ``prices`` (entry_id, price); otherwise each ticket carries an equal
+    or in the table ``prices`` (entry_id, position, price); otherwise each ticket carries an equal
     share of the entry's revenue, and the first one also what rounding leaves, so that
     shares add up to the revenue. An entry can stand for any number of tickets, so
     entries are cut into parts of bounded size and the parts spread evenly before they
@@ -58,16 +58,25 @@ def door_rows(
     ]
     priced = None
     if prices is not None:
-        numbers = prices.groupBy("entry_id").agg(F.count(F.lit(1)).alias("n_prices"))
+        numbers = prices.groupBy("entry_id").agg(
+            F.count(F.lit(1)).alias("n_prices"), F.max("position").alias("last_position")
+        )
         entries = entries.join(numbers, "entry_id", "left")
         whole = F.col("n_prices").eqNullSafe(F.col("n").cast("long"))
+        # Both sides are cut at the same positions, so the prices of one show meet it in many tasks.
+        ranges = F.sequence(F.lit(0).cast("long"), F.floor(F.col("last_position") / _PART))
+        of_range = prices.select(
+            "entry_id",
+            F.floor(F.col("position") / _PART).alias("part"),
+            F.col("price").alias("door_price"),
+        )
         priced = (
-            entries.filter(whole)
-            .select(*kept, "event_name", day)
-            .join(prices.select("entry_id", F.col("price").alias("door_price")), "entry_id")
+            entries.filter(whole & (F.col("n") > 0))
+            .select(*kept, "event_name", day, F.explode(ranges).alias("part"))
+            .join(of_range, ["entry_id", "part"])
             .select(*ticket, "door_price")
         )
-        entries = entries.filter(~whole).drop("n_prices")
+        entries = entries.filter(~whole).drop("n_prices", "last_position")
 
     n, own, first = F.col("n"), F.col("prices"), F.col("part") * _PART
     listed = own.isNotNull() & (F.size(own) == n)

@@ -375,6 +375,22 @@ select event_name, count(*) as tickets,
   cast(1 as bigint) as n_entries, count(*) as n_prices, cast(sum(micros) as bigint) as price_micros
 from door group by event_name
 """, _LEDGER),
+        "import_positions": _with("""
+select d.event_name, count(*) as prices, cast(0 as bigint) as first_position,
+  count(*) - 1 as last_position, count(*) as positions, any_value(o.n) as online_tickets
+from door d left join (select event_name, count(*) as n from live group by all) o
+  on o.event_name = d.event_name
+group by d.event_name
+""", _LEDGER),
+        "pulled_pages": _with("""
+select event_name, count(ticket_id) as tickets, cast(sum(deal_price) as bigint) as revenue_cents,
+  count(*) filter (contact_newsletter_optin) as optins, min(order_date) as first_order
+from live group by event_name
+"""),
+        "statement_files": _STATEMENT + """
+select sale_date, count(*) as tickets, cast(sum(cast(amount as decimal(18, 2))) * 100 as bigint) as cents
+from lines group by sale_date
+""",
         "dataset_counts": _with("""
 select 'Shotgun' as source, count(*) as n_rows from tickets
 union all select 'Porta', count(*) from door

@@ -430,6 +430,65 @@ def _import_consolidated(spark: SparkSession, directory: str) -> DataFrame:
     return door.door_totals(entries).join(per_show, "event_name", "left")
 
 
+def _import_positions(spark: SparkSession, directory: str) -> DataFrame:
+    """Positions of the door prices of each show after a consolidated file was written and read in pieces."""
+    path = scratch(spark, "consolidated")
+    both = _both(spark, directory, f"{_SCOPE} deal_price")
+    csv.export_consolidated(both, Filters.of(channels=[C.ONLINE, C.DOOR]), path)
+    online, entries, prices = csv.import_consolidated(spark, path, AS_OF, "1", datetime(2024, 1, 1))
+    placed = prices.join(entries.select("entry_id", "event_name"), "entry_id")
+    per_show = placed.groupBy("event_name").agg(
+        F.count(F.lit(1)).alias("prices"),
+        F.min("position").alias("first_position"),
+        F.max("position").alias("last_position"),
+        F.count_distinct("position").alias("positions"),
+    )
+    sold = online.rows.groupBy("event_name").agg(F.count(F.lit(1)).alias("online_tickets"))
+    return per_show.join(sold, "event_name", "left")
+
+
+def _pulled_pages(spark: SparkSession, directory: str) -> DataFrame:
+    """Every ticket on a page file of 500, pulled along the cursors into a store and summed per show."""
+    configure(spark)
+    columns = [*_SCOPE.split(), "ticket_id", "ordered_at", "deal_price", "contact_newsletter_optin"]
+    raw = pages.to_raw_json(tables.tickets(spark, directory, *columns))
+    page = F.floor(F.pmod(F.xxhash64("ticket_id"), F.lit(40))).alias("page")
+    cursor = F.when(F.col("page") > 0, F.concat(F.lit("c"), "page")).alias("cursor")
+    following = F.when(F.col("page") < 39, F.concat(F.lit("https://x.example/?after=c"), F.col("page") + 1))
+    landed = raw.groupBy(page).agg(F.collect_list("raw").alias("data")).select(
+        cursor,
+        F.concat(F.lit("["), F.array_join("data", ","), F.lit("]")).alias("data"),
+        following.alias("next"),
+    )
+    path = scratch(spark, "landing")
+    shown = F.concat(
+        F.lit('{"cursor": '),
+        F.coalesce(F.concat(F.lit('"'), "cursor", F.lit('"')), F.lit("null")),
+        F.lit(', "data": '),
+        "data",
+        F.lit(', "pagination": {"next": '),
+        F.coalesce(F.concat(F.lit('"'), "next", F.lit('"')), F.lit("null")),
+        F.lit("}}"),
+    )
+    landed.repartition(40, "cursor").sortWithinPartitions("cursor").select(shown.alias("value")).write.option(
+        "maxRecordsPerFile", 1
+    ).text(path)
+    store = TicketStore(spark, scratch(spark, "tickets"), buckets=8).create()
+    store.ingest("1", pages.pull(spark, path), datetime(2024, 1, 1))
+    return _per_show(store.tickets("1", AS_OF))
+
+
+def _statement_files(spark: SparkSession, directory: str) -> DataFrame:
+    """The statements written as files and read from them."""
+    path = scratch(spark, "statements")
+    texts = _statements(spark, directory).repartition(8, "file").select("text")
+    texts.write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
+    sold = statement.sales(spark, path)
+    return sold.groupBy("sale_date").agg(
+        F.count(F.lit(1)).alias("tickets"), (F.sum("amount") * 100).cast("long").alias("cents")
+    )
+
+
 def _both(spark: SparkSession, directory: str, columns: str) -> Tickets:
     """Online tickets and door rows; the show dates of the door rows need every ticket."""
     online = load(spark, directory, columns)
@@ -501,6 +560,9 @@ def queries() -> dict[str, Query]:
         "append_ledger": _append_ledger,
         "replayed_ledger": _replayed_ledger,
         "import_consolidated": _import_consolidated,
+        "import_positions": _import_positions,
+        "pulled_pages": _pulled_pages,
+        "statement_files": _statement_files,
         "dataset_counts": _dataset_counts,
         # Row-level normalisation.
         "norm_timestamps": _normalised(

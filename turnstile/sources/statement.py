@@ -1,14 +1,14 @@
 """Card-terminal statements: small CSV files with a preamble.
 
 A statement is read whole, one row per file, because its header has to be found
-by line number; quoted line breaks are not supported.
+by line number. A quoted cell may hold line breaks; its row has the number of its first line.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnstile import constants as C
@@ -60,9 +60,14 @@ def sales_in(statements: DataFrame, decimal_comma: bool = False) -> DataFrame:
         .select("file", "body", F.transform(_cells(F.col("header_line")), strip).alias("header"))
     )
     # Cut up inside the generator: filters on the cells stay above it and do not cut again.
-    numbered = files.select(
+    quoted = F.exists("body", lambda line: F.contains(line, F.lit('"')))
+    numbered = files.filter(~quoted).select(
         "file", "header", F.posexplode(F.transform("body", _cells)).alias("offset", "cells")
     )
+    joined = _joined(files.filter(quoted))
+    numbered = numbered.unionByName(
+        joined.select("file", "header", "offset", F.inline(F.array(F.struct(_cells(F.col("row")).alias("cells")))))
+    )
     line_no = (F.col("offset") + C.STATEMENT_PREAMBLE_LINES + 1).alias("line_no")
 
     def named(column: str) -> Column:
@@ -89,6 +94,21 @@ def sales_in(statements: DataFrame, decimal_comma: bool = False) -> DataFrame:
     )
 
 
+def _joined(files: DataFrame) -> DataFrame:
+    """The rows of the files (file, header, body of lines): lines between which a quote is open are one."""
+    lines = files.select("file", "header", F.posexplode("body").alias("offset", "line"))
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    by_file = Window.partitionBy("file").orderBy("offset")
+    before, so_far = by_file.rowsBetween(Window.unboundedPreceding, -1), by_file.rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.pmod(F.coalesce(F.sum(quotes).over(before), F.lit(0)), F.lit(2)) == 0
+    marked = lines.withColumn("first", F.when(begins, F.col("offset")))
+    parts = marked.withColumn("first", F.max("first").over(so_far)).groupBy("file", "first").agg(
+        F.first("header").alias("header"), F.array_sort(F.collect_list(F.struct("offset", "line"))).alias("lines")
+    )
+    row = F.array_join(F.transform("lines", lambda part: part["line"]), "\n").alias("row")
+    return parts.select("file", "header", F.col("first").alias("offset"), row)
+
+
 def _figures() -> list[Column]:
     """Count, sum and the prices in line order; a list never outgrows its one file."""
     pairs = F.array_sort(F.collect_list(F.struct("line_no", "amount")))
