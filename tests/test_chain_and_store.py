@@ -209,6 +209,20 @@ def test_many_random_fetches_equal_a_dictionary(spark, folder):
     assert _statuses(store) == {i: s for i, (_, s) in held.items()}
 
 
+def test_fields_that_no_column_holds_keep_their_types(spark, folder):
+    store = TicketStore(spark, f"{folder}/store").create()
+    one = _ticket("1") | {"buyer": {"age": 30, "tags": ["a", "b"]}, "vip": True, "score": 1.5}
+    rows = [("1", json.dumps(one)), ("2", '{"ticket_id": 2, "buyer": "none"}'), ("3", "{broken")]
+    store.ingest("t", spark.createDataFrame(rows, "ticket_id string, raw string"), NOW)
+    asked = {"age": ("$.buyer.age", "int"), "tag": ("$.buyer.tags[1]", "string"), "vip": ("$.vip", "boolean"), "score": ("$.score", "double")}
+    out = store.fields("t", **asked)
+    assert [t for _, t in out.dtypes] == ["string", "int", "string", "boolean", "double"]
+    # What is no JSON has no id either and is refused.
+    assert sorted(map(tuple, out.collect())) == [("1", 30, "b", True, 1.5), ("2", None, None, None, None)]
+    whole = {r.ticket_id: r.j for r in store.rows("t").select("ticket_id", F.to_json("raw").alias("j")).collect()}
+    assert json.loads(whole["1"]) == one
+
+
 # Ledger -------------------------------------------------------------------------
 
 

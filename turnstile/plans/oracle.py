@@ -355,6 +355,19 @@ select distinct ticket_id,
   case when ordered_at >= timestamp '1998-01-01' then 'refunded' else ticket_status end as ticket_status
 from raw where ordered_at is not null and ticket_id like '%-7-%'
 """),
+        "rollup_by_show": _with("""
+select event_name, count(*) filter (ticket_status is distinct from 'canceled') as tickets,
+  cast(coalesce(sum(deal_price) filter (ticket_status is distinct from 'canceled'), 0) as bigint) as revenue_cents,
+  count(ticket_id) as total, count(*) filter (ticket_status = 'canceled') as canceled
+from tickets where event_name like '% 1998Q_'
+  and order_date between date '1998-02-01' and date '1998-11-30'
+group by event_name
+"""),
+        "stored_fields": """
+select l_returnflag as mode, cast(l_linenumber * 2 as bigint) as line, count(*) as tickets,
+  cast(sum(l_quantity) as double) as seats, cast(0 as bigint) as nothing
+from (select distinct on (l_orderkey, l_linenumber, l_partkey, l_suppkey) * from lineitem) group by all
+""",
         "clear_tenant": _with("""
 select '1' as tenant_id, cast(0 as bigint) as tickets union all
 select '2', count(distinct ticket_id) from raw where tenant_id = 2

@@ -21,6 +21,7 @@ from turnstile.operators import (
     marketing,
     operations,
     revenue,
+    rollup,
     sales,
     universe,
 )
@@ -369,6 +370,49 @@ def _ticket_lookup(spark: SparkSession, directory: str) -> DataFrame:
     return store.lookup("1", asked).select("ticket_id", "ticket_status")
 
 
+def _stored_fields(spark: SparkSession, directory: str) -> DataFrame:
+    """Fields of stored records that no column of the store holds, by their paths."""
+    configure(spark)
+    rows = tables.table(spark, directory, "lineitem").selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as ticket_id",
+        "'show' as event_name",
+        "named_struct('mode', l_returnflag, 'lines', array(l_linenumber, l_linenumber * 2)) as shipping",
+        "l_quantity as seats",
+    )
+    store = TicketStore(spark, scratch(spark, "tickets"), buckets=8).create()
+    store.ingest("1", pages.to_raw_json(rows), datetime(2024, 1, 1))
+    found = store.fields(
+        "1",
+        mode=("$.shipping.mode", "string"),
+        line=("$.shipping.lines[1]", "bigint"),
+        seats=("$.seats", "double"),
+        nothing=("$.shipping.none", "int"),
+    )
+    return found.groupBy("mode", "line").agg(
+        F.count(F.lit(1)).alias("tickets"),
+        F.sum("seats").alias("seats"),
+        F.count("nothing").alias("nothing"),
+    )
+
+
+def _rolled_up(spark: SparkSession, directory: str) -> DataFrame:
+    """A written rollup of all tickets, read back."""
+    path = scratch(spark, "rollup")
+    columns = f"{_SCOPE} ticket_id ordered_at deal_price contact_id"
+    rollup.write(rollup.build(load(spark, directory, columns)), path)
+    return rollup.read(spark, path)
+
+
+def _rollup_by_show(spark: SparkSession, directory: str) -> DataFrame:
+    """Exact figures of the dated selection from the rollup."""
+    return rollup.by_show(_rolled_up(spark, directory), DATED).drop("buyers")
+
+
+def _rollup_buyers(spark: SparkSession, directory: str) -> DataFrame:
+    """Estimated buyers per show and how many of them had bought before; estimates have no SQL twin."""
+    return rollup.returning(_rolled_up(spark, directory), Y98, date(1998, 7, 1))
+
+
 def _clear_tenant(spark: SparkSession, directory: str) -> DataFrame:
     """Two tenants' stored tickets after one of them is cleared."""
     configure(spark)
@@ -549,6 +593,9 @@ def queries() -> dict[str, Query]:
         "refreshed_tickets": _refreshed_tickets,
         "ticket_lookup": _ticket_lookup,
         "clear_tenant": _clear_tenant,
+        "stored_fields": _stored_fields,
+        "rollup_by_show": _rollup_by_show,
+        "rollup_buyers": _rollup_buyers,
         "statement_sales": _statement_sales,
         "statement_totals": _statement_totals,
         "statement_by_date": _statement_by_date,

@@ -2,6 +2,8 @@
 
 Whether an id is known can be told from its bucket alone, so a batch reads and rewrites only the buckets that its own ids fall
 into. How many rows a bucket has is written down whenever it is met; the others need not be counted.
+
+The raw record is a variant: a field that no column holds can be asked for by its path without parsing text again.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from turnstile.sources import ingest, pages
 _TEXT = T.StringType()
 
 SCHEMA = T.StructType(
-    [T.StructField("ticket_id", T.StringType()), T.StructField("raw", T.StringType())]
+    [T.StructField("ticket_id", T.StringType()), T.StructField("raw", T.VariantType())]
     + [T.StructField(c, T.StringType()) for c in S.TEXT if c != "ticket_id"]
     + [T.StructField(c, T.TimestampType()) for c in S.TIMESTAMPS]
     + [T.StructField(c, T.LongType()) for c in S.MONEY]
@@ -46,6 +48,11 @@ def checked_tenant(tenant: str) -> str:
     return tenant
 
 
+def _variant(raw: Column) -> Column:
+    """JSON text as a variant; text that is no JSON is kept as a text."""
+    return F.coalesce(F.try_parse_json(raw), raw.cast("variant"))
+
+
 def typed(records: DataFrame, fetched_at: datetime) -> DataFrame:
     """Records (ticket_id, raw) with the store's columns and, where refused, the reason."""
     rows = pages.parsed(records.select("ticket_id", "raw"))
@@ -115,6 +122,14 @@ class TicketStore:
         held = self.met(tenant, _distinct(keyed, "id_bucket"))
         return held.join(keyed, ["id_bucket", "ticket_id"], "left_semi").select(*SCHEMA.fieldNames())
 
+    def fields(self, tenant: str, **paths: tuple[str, str]) -> DataFrame:
+        """ticket_id and fields of the raw records: ``name=(path, type)``, as ``age=("$.buyer.age", "int")``.
+
+        A field that is missing, or of another type that cannot be cast, is null.
+        """
+        picked = [F.try_variant_get("raw", path, kind).alias(n) for n, (path, kind) in paths.items()]
+        return self.rows(tenant).select("ticket_id", *picked)
+
     def _staged(self, rows: DataFrame) -> DataFrame:
         """The rows written beside the table, where readers do not look, and read back.
 
@@ -181,7 +196,8 @@ class TicketStore:
         if refresh:
             held = held.select("ticket_id", F.col("raw").alias("held_raw"), F.col("fetched_at").alias("held_at"))
             now = F.lit(fetched_at)
-            differs = (F.col("held_at") == now) & (F.col("held_raw") != F.col("raw"))
+            says = F.to_json(_variant(F.col("raw")))
+            differs = (F.col("held_at") == now) & (F.to_json("held_raw") != says)
             later = F.col("held_at").isNull() | (F.col("held_at") < now) | differs
             fresh = one.join(held, "ticket_id", "left").filter(later)
             known = fresh.select("ticket_id", F.col("held_raw").isNotNull().alias("known"))
@@ -198,6 +214,7 @@ class TicketStore:
             refused = refused.select("ticket_id", "raw", "reject_reason").unionByName(nameless)
             ingest.quarantine(refused, quarantine)
         accepted = written.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+        accepted = accepted.withColumn("raw", _variant(F.col("raw")))
         added = _per_bucket(accepted.filter(~F.col("known")))
         if refresh:
             self._replace(tenant, accepted.drop("known"))
