@@ -52,19 +52,20 @@ def build(tickets: Tickets) -> DataFrame:
 
 
 def write(rollup: DataFrame, path: str) -> None:
-    """Replace the days that ``rollup`` holds and leave the others, so that a day can be rolled up again."""
+    """Replace the months that ``rollup`` holds and leave the others, so that a month can be rolled up again."""
+    month = F.coalesce(F.date_format("order_date", "yyyy-MM"), F.lit("none"))
     (
-        rollup.withColumn("day", F.coalesce(F.col("order_date").cast("string"), F.lit("none")))
-        .hint("rebalance", "day")
+        rollup.withColumn("month", month)
+        .hint("rebalance", "month")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("day")
+        .partitionBy("month")
         .parquet(path)
     )
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("day")
+    return spark.read.parquet(path).drop("month")
 
 
 def _days(rollup: DataFrame, f: Filters) -> DataFrame:

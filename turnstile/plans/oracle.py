@@ -366,7 +366,8 @@ group by event_name
         "stored_fields": """
 select l_returnflag as mode, cast(l_linenumber * 2 as bigint) as line, count(*) as tickets,
   cast(sum(l_quantity) as double) as seats, cast(0 as bigint) as nothing
-from (select distinct on (l_orderkey, l_linenumber, l_partkey, l_suppkey) * from lineitem) group by all
+from (select distinct l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag from lineitem)
+group by all
 """,
         "clear_tenant": _with("""
 select '1' as tenant_id, cast(0 as bigint) as tickets union all

@@ -374,7 +374,7 @@ def _stored_fields(spark: SparkSession, directory: str) -> DataFrame:
     """Fields of stored records that no column of the store holds, by their paths."""
     configure(spark)
     rows = tables.table(spark, directory, "lineitem").selectExpr(
-        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as ticket_id",
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity as int), l_returnflag) as ticket_id",
         "'show' as event_name",
         "named_struct('mode', l_returnflag, 'lines', array(l_linenumber, l_linenumber * 2)) as shipping",
         "l_quantity as seats",
