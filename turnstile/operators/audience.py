@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from turnstile.filters import Filters, kept_online
 from turnstile.frame import Tickets
 from turnstile.functions.normalise import known_city, known_gender, loyalty_label
 from turnstile.operators import grids
+from turnstile.session import shared_dir, written
 
 
 def _earliest() -> Column:
@@ -144,20 +147,46 @@ def age_by_gender(tickets: Tickets, f: Filters) -> DataFrame:
     return grids.with_age_range(cells, "gender", "buyers")
 
 
+#: What the metrics of this module read of a row.
+_READ = (
+    *("event_name", "ticket_status", "source", "ordered_at", "order_date", "ticket_id", "age"),
+    *("contact_name", "contact_email", "contact_gender", "contact_locality"),
+    "contact_newsletter_optin",
+)
+
+
+def _first_rows(tickets: Tickets, f: Filters) -> Tickets:
+    """The first kept row of every buyer and show, written once.
+
+    Every metric here asks for a buyer's first row or different shows, which these rows answer
+    as all rows do. Without buyers, or a shared folder, the tickets stay as they are.
+    """
+    if not tickets.has("contact_id") or shared_dir(tickets.rows.sparkSession) is None:
+        return tickets
+    rows = kept_online(tickets, f)
+    keys = [c for c in ("contact_id", "event_id") if c in rows.columns]
+    first = F.min_by(F.struct(*[c for c in _READ if c in rows.columns]), _earliest())
+    reduced = rows.groupBy(*keys).agg(first.alias("first")).select(*keys, "first.*")
+    return Tickets(written(reduced, "first_rows"), tickets.present)
+
+
 def bundle(tickets: Tickets, f: Filters) -> dict[str, DataFrame]:
-    """Every audience chart that the input's columns and the selection allow."""
-    out: dict[str, DataFrame] = {}
+    """Every audience chart that the input's columns and the selection allow, from one scan."""
+    multi = f.is_multi(tickets)
+    wanted: dict[str, Callable[[Tickets, Filters], DataFrame]] = {}
     if tickets.has("contact_gender"):
-        out["gender"] = gender(tickets, f)
+        wanted["gender"] = gender
     if tickets.has("age"):
-        out["age"] = age(tickets, f)
+        wanted["age"] = age
     if tickets.has("contact_locality"):
-        out["top_cities"] = top_cities(tickets, f)
+        wanted["top_cities"] = top_cities
     if tickets.has("contact_newsletter_optin"):
-        out["optin"] = optin(tickets, f)
-    if tickets.has("event_id", "contact_id") and f.is_multi(tickets):
-        out["recurrence"] = recurrence(tickets, f)
-        out["top_loyal"] = top_loyal(tickets, f)
+        wanted["optin"] = optin
+    if tickets.has("event_id", "contact_id") and multi:
+        wanted["recurrence"], wanted["top_loyal"] = recurrence, top_loyal
     if tickets.has("age", "contact_gender"):
-        out["age_by_gender"] = age_by_gender(tickets, f)
-    return out
+        wanted["age_by_gender"] = age_by_gender
+    if not wanted:
+        return {}
+    first_rows = _first_rows(tickets, f)
+    return {name: metric(first_rows, f) for name, metric in wanted.items()}

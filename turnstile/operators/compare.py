@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnstile import constants as C
-from turnstile.filters import Filters, in_kept, in_selection, kept
-from turnstile.frame import MetricUnavailable, Tickets
+from turnstile.filters import Filters, in_kept, in_selection, kept, selected
+from turnstile.frame import Tickets
 from turnstile.functions.money import is_paid, paid_or_free, revenue_cents
 from turnstile.functions.rates import percent
 from turnstile.operators import curves
+from turnstile.operators.onepass import Grouping, together
 
 _METRICS = ["tickets", "revenue_cents", "paid_pct", "attendance_pct"]
 
@@ -39,13 +40,20 @@ def show_kpis(tickets: Tickets, f: Filters) -> DataFrame:
         tickets.rows.filter(in_selection(f)).withColumn("in_kept", in_kept(f, tickets)),
         tickets.present,
     )
-    sold = F.col("in_kept")
-    per_show = flagged.rows.groupBy("event_name").agg(
-        F.count_if(sold).alias("tickets"),
-        revenue_cents(flagged, sold).alias("revenue_cents"),
-        F.count_if(sold & is_paid(flagged)).alias("paid"),
-        F.count(F.when(sold, F.col("ticket_scanned_at"))).alias("scanned"),
-    )
+    measures = [column.alias(name) for name, column in _sold(flagged, F.col("in_kept")).items()]
+    return _kpis(flagged.rows.groupBy("event_name").agg(*measures), tickets, f)
+
+
+def _sold(tickets: Tickets, sold: Column) -> dict[str, Column]:
+    return {
+        "tickets": F.count_if(sold),
+        "revenue_cents": revenue_cents(tickets, sold),
+        "paid": F.count_if(sold & is_paid(tickets)),
+        "scanned": F.count(F.when(sold, F.col("ticket_scanned_at"))),
+    }
+
+
+def _kpis(per_show: DataFrame, tickets: Tickets, f: Filters) -> DataFrame:
     if f.events:
         zero = [F.lit(0).cast("long").alias(c) for c in per_show.columns[1:]]
         asked = _selected_shows(tickets, f).select("event_name", *zero)
@@ -67,10 +75,13 @@ def _long(per_show: DataFrame) -> DataFrame:
 
 def ref_vs_avg(tickets: Tickets, f: Filters, ref: str | None = None) -> DataFrame:
     """Reference value, mean of the other shows' values and their difference, per metric."""
-    ref = ref or reference_show(tickets, f)
+    return _against(show_kpis(tickets, f), ref or reference_show(tickets, f))
+
+
+def _against(kpis: DataFrame, ref: str | None) -> DataFrame:
     is_ref = F.col("event_name") == ref
     return (
-        _long(show_kpis(tickets, f))
+        _long(kpis)
         .groupBy("metric")
         .agg(
             F.max(F.when(is_ref, F.col("value"))).alias("ref"),
@@ -122,13 +133,17 @@ def loyalty(tickets: Tickets, f: Filters) -> DataFrame:
     name are the same has one show; the others of a show's buyers return.
     """
     tickets.require("contact_id")
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     pairs = (
         kept(tickets, f)
         .filter(F.col("contact_id").isNotNull())
         .groupBy("contact_id", "event_name")
         .agg(F.count(F.lit(1)).alias("tickets"))
     )
+    return _loyalty(pairs, tickets, f)
+
+
+def _loyalty(pairs: DataFrame, tickets: Tickets, f: Filters) -> DataFrame:
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     single = (
         pairs.groupBy("contact_id")
         .agg(F.min("event_name").alias("event_name"), F.max("event_name").alias("last"))
@@ -165,7 +180,10 @@ def evolution(tickets: Tickets, f: Filters, ref: str | None = None, axis: str =
     """Daily and cumulative tickets and revenue per show on a common day axis, by role."""
     tickets.require("order_date")
     ref = ref or reference_show(tickets, f)
-    curve = curves.daily(Tickets(kept(tickets, f), tickets.present))
+    return _by_role(curves.daily(Tickets(kept(tickets, f), tickets.present)), ref, axis)
+
+
+def _by_role(curve: DataFrame, ref: str | None, axis: str) -> DataFrame:
     role = F.when(F.col("event_name") == ref, "ref").otherwise("other")
     return curve.select(
         role.alias("role"),
@@ -182,33 +200,67 @@ def evolution_avg_others(
     tickets: Tickets, f: Filters, ref: str | None = None, axis: str = curves.UNTIL
 ) -> DataFrame:
     """Mean curve of the other shows, each day over the shows that have a row on it."""
+    return _mean_of_others(evolution(tickets, f, ref, axis))
+
+
+def _mean_of_others(curve: DataFrame) -> DataFrame:
     measures = ["tickets", "cum_tickets", "revenue_cents", "cum_revenue_cents"]
     return (
-        evolution(tickets, f, ref, axis)
-        .filter(F.col("role") == "other")
+        curve.filter(F.col("role") == "other")
         .groupBy("dia")
         .agg(*[F.avg(m).alias(f"avg_{m}") for m in measures])
     )
 
 
 def bundle(tickets: Tickets, f: Filters) -> dict[str, DataFrame]:
-    """Every comparison chart; empty unless at least two shows are selected."""
+    """Every comparison chart, from one scan; empty unless at least two shows are selected."""
     if not f.is_multi(tickets):
         return {}
-    ref = reference_show(tickets, f)
+    sold, event = F.coalesce(in_kept(f, tickets), F.lit(False)), F.col("event_name")
+    groupings = {"shows": Grouping(F.lit(True), {"event_name": event})}
+    if tickets.has("order_date"):
+        keys = {"event_name": event, "order_date": F.col("order_date")}
+        groupings["days"] = Grouping(sold, keys)
+    if tickets.has("contact_id"):
+        contact = F.col("contact_id")
+        keys = {"contact_id": contact, "event_name": event}
+        groupings["pairs"] = Grouping(sold & contact.isNotNull(), keys)
+    kind = paid_or_free(tickets)
+    measures = {
+        **_sold(tickets, sold),
+        "with_id": F.count(F.when(sold, F.col("ticket_id"))),
+        "paid_kind": F.count_if(sold & (kind == C.PAID)),
+        "free_kind": F.count_if(sold & (kind == C.FREE)),
+        "start": F.min(F.when(sold, F.col("event_start_time"))),
+    }
+    found = together(selected(tickets, f), groupings, measures)
+
+    shows = found["shows"]
+    ref = reference_show(Tickets(shows, tickets.present), f)
+    kpis = _kpis(shows.select("event_name", *_sold(tickets, sold)), tickets, f)
+    sales = shows.filter(F.col("tickets") > 0)
+    ids = F.col("with_id").alias("tickets")
     out = {
-        "ref_vs_avg": ref_vs_avg(tickets, f, ref).withColumn("ref_event", F.lit(ref)),
-        "revenue": revenue(tickets, f),
-        "tickets": tickets_sold(tickets, f),
+        "ref_vs_avg": _against(kpis, ref).withColumn("ref_event", F.lit(ref)),
+        "revenue": sales.select("event_name", "revenue_cents").orderBy(
+            F.desc("revenue_cents"), "event_name"
+        ),
+        "tickets": sales.select("event_name", ids).orderBy(F.desc("tickets"), "event_name"),
     }
-    for name, metric in (("loyalty", loyalty), ("paid_free", paid_free)):
-        try:
-            out[name] = metric(tickets, f)
-        except MetricUnavailable:
-            continue
-    if tickets.has("order_date"):
-        axis = curves.choose_axis(kept(tickets, f), tickets)
-        named = F.lit(axis).alias("axis")
-        out["evolution"] = evolution(tickets, f, ref, axis).select("*", named)
-        out["evolution_avg_others"] = evolution_avg_others(tickets, f, ref, axis).select("*", named)
+    if "pairs" in found:
+        out["loyalty"] = _loyalty(
+            found["pairs"].select("contact_id", "event_name", "tickets"),
+            Tickets(shows, tickets.present),
+            f,
+        )
+    if tickets.has("deal_price_cents"):
+        kinds = (F.col("paid_kind").alias("paid"), F.col("free_kind").alias("free"))
+        out["paid_free"] = sales.select("event_name", *kinds)
+    if "days" in found:
+        days = found["days"].select("event_name", "order_date", "tickets", "revenue_cents", "start")
+        known = tickets.has("event_start_time") and not days.filter(F.col("start").isNotNull()).isEmpty()
+        axis = curves.UNTIL if known else curves.SINCE_FIRST
+        curve, named = _by_role(curves.of_days(days), ref, axis), F.lit(axis).alias("axis")
+        out["evolution"] = curve.select("*", named)
+        out["evolution_avg_others"] = _mean_of_others(curve).select("*", named)
     return out
