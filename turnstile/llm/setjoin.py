@@ -35,7 +35,7 @@ _RUN_DOCS = 4096
 _RUN_REPEATS = 3
 #: At most so many shingles are put last for being frequent (16 bytes each are sent to every task).
 FREQUENT_LIMIT = 100_000
-_POSITION_BLOCKS = 20
+_POSITION_BLOCKS = 10
 #: Up to so many ids (8 bytes each) are broadcast to fetch texts; more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
@@ -286,8 +286,11 @@ def _rooted(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -
     second_pairs = written(_apart_by(led_pairs, components(first)), "second_pairs")
     first = written(first.union(_linked(second_pairs, _sets_of(texts, nodes, second_pairs, k), percent)), "leader_links")
     known = components(first)
-    rooted = index.drop("leader").join(known, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    open_pairs = _not_apart(_candidates(written(rooted, "rooted"), percent), nodes, percent).join(first_pairs.union(second_pairs), ["a", "b"], "left_anti").select("a", "b")
+    rooted = written(index.drop("leader").join(known, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    # Lists whose sets are all of one group have no more answers to give and are not probed.
+    mixed = rooted.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("shingle")
+    probed = written(rooted.join(mixed, "shingle", "left_semi"), "probed")
+    open_pairs = _not_apart(_candidates(probed, percent), nodes, percent).join(first_pairs.union(second_pairs), ["a", "b"], "left_anti").select("a", "b")
     open_pairs = written(open_pairs, "open_pairs")
     links = first.union(_linked(open_pairs, _sets_of(texts, nodes, open_pairs, k), percent))
     rooted = nodes.select("fp", "label").join(components(links), "fp", "left").select("fp", "label", F.coalesce("root", "fp").alias("root"))
