@@ -523,10 +523,19 @@ def _pulled_pages(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _statement_files(spark: SparkSession, directory: str) -> DataFrame:
-    """The statements written as files and read from them."""
+    """The statements' rows written as files of a thousand statements each, and read from them."""
     path = scratch(spark, "statements")
-    texts = _statements(spark, directory).repartition(8, "file").select("text")
-    texts.write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
+    event = F.col("file").cast("long").alias("event")
+    lines = _statements(spark, directory).select(event, F.posexplode(F.split("text", "\n")).alias("n", "value"))
+    head = C.STATEMENT_PREAMBLE_LINES + 2  # an empty line and the header follow the preamble
+    file_no = F.floor(F.col("event") / 1000).alias("file_no")
+    rows = lines.filter((F.col("n") >= head) & (F.col("value") != "")).select(file_no, "event", "n", "value")
+    above = [f"preamble {i}" for i in range(C.STATEMENT_PREAMBLE_LINES)] + ["", " Data , Tipo ,Entradas,Saldo"]
+    heads = rows.select("file_no", F.lit(-1).cast("long").alias("event")).distinct().select(
+        "file_no", "event", F.posexplode(F.array(*map(F.lit, above))).alias("n", "value")
+    )
+    placed = rows.unionByName(heads).repartition("file_no").sortWithinPartitions("file_no", "event", "n")
+    placed.select("value", "file_no").write.partitionBy("file_no").text(path)
     sold = statement.sales(spark, path)
     return sold.groupBy("sale_date").agg(
         F.count(F.lit(1)).alias("tickets"), (F.sum("amount") * 100).cast("long").alias("cents")
