@@ -180,3 +180,47 @@ def test_urls_like_rejected_ones_are_blocked(spark):
     assert len(found) == 60 + 60 + 3 + 1
     assert found[1000] == "block" and found[1001] == "allow" and found[None] == "allow"
     assert urls.judge(pages(spark, [])).isEmpty()
+
+
+# --- marks of elements
+
+SENTENCES = "A sentence, with some words, of an article. " * 8
+ARTICLE = f"<p>{SENTENCES}</p>" * 3
+
+
+@pytest.mark.parametrize("around", ["<form>{}</form>", "<div aria-hidden='false'>{}</div>", "<div class='promo'>{}</div>", "<div class=a-side>{}</div>", "<aside><div id='sidebar'>{}</div></aside>", "<div role=search>{}</div>"])
+def test_a_mark_around_the_whole_article_does_not_lose_it(around):
+    whole = "\n".join([SENTENCES.strip()] * 3)
+    assert htmltext.main_text(f"<body>{around.format(ARTICLE)}</body>") == whole
+    assert htmltext.main_text(f"<body><h1>A, title.</h1>{around.format(ARTICLE + '<div class=sidebar>Side, text.</div>')}</body>").count(SENTENCES.strip()) == 3
+
+
+def test_marks_in_values_of_other_attributes_say_nothing():
+    page = f"<article>{ARTICLE}<p title='the hidden cost'>One, kept.</p><p data-id='side' data-class=promo>Two, kept.</p><p hidden>Not seen.</p><p aria-hidden=true>Nor this.</p></article>"
+    assert htmltext.main_text(page).endswith("One, kept.\nTwo, kept.")
+
+
+@pytest.mark.parametrize("name", ["comment-content", "comments-wrapper", "ad-container", "sidebar-content", "post-comments", "article share"])
+def test_marked_names_with_words_of_an_article_are_left_out(name):
+    page = f"<article>{ARTICLE}<div class='{name}'>Other, text of someone else.</div><p>The end, kept.</p></article>"
+    assert "someone" not in htmltext.main_text(page) and htmltext.main_text(page).endswith("The end, kept.")
+
+
+def test_names_that_tell_of_a_layout_are_no_marks():
+    page = f"<body><div class='page has-sidebar'><div class='content no-ads'>{ARTICLE}</div></div></body>"
+    assert htmltext.main_text(page).count(SENTENCES.strip()) == 3
+
+
+def test_ratios_equal_sums_by_path():
+    nodes = [(("body", "p"), "One, two, three."), (("body", "div"), "Menu"), (("body", "p"), "Four words, of text!"), (("body",), "x")]
+    by_path = {}
+    for path, text in nodes:
+        by_path.setdefault(path, []).append(text)
+    mean = {p: (sum(map(len, t)) / len(t), sum(sum(not c.isalnum() and not c.isspace() for c in x) for x in t) / len(t)) for p, t in by_path.items()}
+    raw = [mean[p] for p, _ in nodes]
+    wanted = []
+    for i in range(len(raw)):
+        near = [raw[max(0, i - 1)], raw[i], raw[i], raw[min(len(raw) - 1, i + 1)]]
+        length, marks = (sum(x[k] for x in near) / 4 for k in (0, 1))
+        wanted.append((length * (1 + marks)) ** 0.5)
+    assert htmltext.fused_ratios(nodes) == pytest.approx(wanted)

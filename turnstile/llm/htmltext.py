@@ -29,7 +29,7 @@ _TOKEN = re.compile(
     r"|<[/!?][^>]*(?:>|\Z)",
     re.IGNORECASE | re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu "
@@ -38,7 +38,11 @@ _BLOCK = frozenset(
 #: Elements that an opening tag closes if they are open.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table article section div main body html aside nav header footer form td th blockquote li dd".split())
-_LEFT_OUT = frozenset("head title nav footer aside form button dialog menu label fieldset object audio video canvas".split())
+_LEFT_OUT = frozenset("head title nav footer button dialog menu label fieldset object audio video canvas".split())
+#: Left out unless next to nothing of a page's text is outside, as a form around the whole page.
+_ASIDE = frozenset("aside form".split())
+#: Least share of the text outside an element that is only marked, in its own, for it to be left out.
+REST = 0.1
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup paywall "
@@ -47,29 +51,43 @@ _MARKS = frozenset(
 )
 _HEADS = frozenset("header masthead topbar".split())
 _OWN = frozenset("content main article post entry story text wrapper container layout page body with has no".split())
+#: A class name with one of these says what a layout has around it.
+_AROUND = frozenset("has with without no layout".split())
 _PUNCTUATION = re.compile(r"[^\w\s]")
 _SPACE = re.compile(r"\s+")
 
 
-def _left_out(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is no part of an article; `inside` is one already open."""
-    if tag in _LEFT_OUT or (tag == "header" and not inside):
-        return True
-    if not attributes.strip():
+def _marked(name: str, inside: bool) -> bool:
+    """Whether a class name or id marks what is beside an article: by its first or last word, or any if it has no word
+    of the article's own."""
+    words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+    if not words or _AROUND & set(words):
         return False
+    marks = _MARKS if inside else _MARKS | _HEADS
+    if _OWN & set(words):
+        return words[0] in _MARKS or (words[-1] in _MARKS and len(words) > 1)
+    return bool(marks & set(words))
+
+
+_NO, _SOFT, _HARD = range(3)
+
+
+def _left_out(tag: str, attributes: str, inside: bool) -> int:
+    """Whether an element is no part of an article: for certain, by its marks, or not; `inside` is one already open."""
+    if tag in _LEFT_OUT:
+        return _HARD
+    soft = tag in _ASIDE or (tag == "header" and not inside)
     for m in _ATTRIBUTE.finditer(attributes):
-        if m[5]:
-            return True
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "role" and value.strip() in _ROLES:
-            return True
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower().strip()
+        if name == "hidden" or (name == "aria-hidden" and value == "true"):
+            return _HARD
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return _HARD
+        if name == "role" and value in _ROLES:
+            soft = True
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            marks = set(re.split(r"[^a-z0-9]+", value))
-            if marks & _MARKS and not marks & _OWN or marks & _HEADS and not inside and not marks & _OWN:
-                return True
-    return False
+            soft = soft or any(_marked(x, inside) for x in value.split())
+    return _SOFT if soft else _NO
 
 
 class _Page:
@@ -78,6 +96,8 @@ class _Page:
     def __init__(self, source: str):
         self.nodes: list[tuple[tuple[str, ...], tuple[int, ...], int, str]] = []
         self.tags: list[str] = []
+        #: Elements that are only marked; what they hold decides.
+        self.marked: set[int] = set()
         stack: list[tuple[str, int, bool]] = []
         block = at = 0
         for m in _TOKEN.finditer(source):
@@ -102,12 +122,29 @@ class _Page:
                 continue
             if tag in _BLOCK:
                 self._close(stack, ("p",) if tag not in _CLOSES else (*_CLOSES[tag], "p"))
-            out = bool(stack and stack[-1][2]) or _left_out(tag, m[4], any(s[0] in ("article", "main") for s in stack))
-            stack.append((tag, len(self.tags), out))
+            verdict = _left_out(tag, m[4], any(s[0] in ("article", "main") for s in stack))
+            if verdict == _SOFT:
+                self.marked.add(len(self.tags))
+            stack.append((tag, len(self.tags), bool(stack and stack[-1][2]) or verdict == _HARD))
             self.tags.append(tag)
             if m[4].endswith("/") and tag not in _BLOCK:
                 stack.pop()
         self._text(source[at:], stack, block)
+        if self.marked:
+            self._drop_marked()
+
+    def _drop_marked(self) -> None:
+        """Leaves out the text of marked elements, but for those outside of which there is next to nothing."""
+        held: dict[int, int] = defaultdict(int)
+        whole = 0
+        for _, ancestors, _, text in self.nodes:
+            size = len(_SPACE.sub(" ", text).strip())
+            whole += size
+            for e in ancestors:
+                if e in self.marked:
+                    held[e] += size
+        gone = {e for e, size in held.items() if whole - size >= REST * size}
+        self.nodes = [n for n in self.nodes if gone.isdisjoint(n[1])]
 
     @staticmethod
     def _close(stack: list[tuple[str, int, bool]], names: tuple[str, ...]) -> None:
