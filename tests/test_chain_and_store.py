@@ -7,9 +7,11 @@ from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
-from turnstile.sources import chain, pages
+from turnstile.plans import queries
+from turnstile.sources import chain, ingest, pages
 from turnstile.sources.ledger import LedgerStore
 from turnstile.sources.store import TicketStore
 
@@ -177,6 +179,30 @@ def test_only_the_buckets_of_a_batch_are_read_and_rewritten(spark, folder):
     assert again == {"n_new": 0, "n_existing": 200}
 
 
+def test_records_are_put_in_order_only_where_ids_repeat(spark, folder, monkeypatch):
+    asked, inner = [], ingest.one_per_id
+    monkeypatch.setattr(ingest, "one_per_id", lambda *a, **k: asked.append(1) or inner(*a, **k))
+    store = TicketStore(spark, f"{folder}/store", buckets=2).create()
+    old = [_ticket(str(i)) for i in range(300)]
+    assert store.ingest("t", _records(spark, *old), NOW - timedelta(days=1)) == {"n_new": 300, "n_existing": 0}
+    third = [_ticket(str(i), "canceled") for i in range(0, 330, 3)]
+    assert store.ingest("t", _records(spark, *third), NOW, refresh=True) == {"n_new": 10, "n_existing": 300}
+    assert asked == []
+    wanted = {str(i): "canceled" if i % 3 == 0 else "valid" for i in range(330) if i < 300 or i % 3 == 0}
+    assert store.rows("t").count() == 310 and _statuses(store) == wanted
+    assert store.ingest("t", _records(spark, *third, *third), NOW + timedelta(days=1), refresh=True)["n_new"] == 0
+    assert asked and store.rows("t").count() == 310
+
+
+def test_a_refused_record_replaces_nothing(spark, folder):
+    store = TicketStore(spark, f"{folder}/store", buckets=2).create()
+    store.ingest("t", _records(spark, _ticket("1"), _ticket("2")), NOW - timedelta(days=1), refresh=True)
+    broken = _ticket("1", "broken") | {"deal_price": 7.5}
+    fetched = _records(spark, broken, _ticket("2", "canceled"))
+    assert store.ingest("t", fetched, NOW, refresh=True) == {"n_new": 0, "n_existing": 2}
+    assert _statuses(store) == {"1": "valid", "2": "canceled"}
+
+
 def test_a_table_keeps_its_buckets_and_its_counts_heal(spark, folder):
     TicketStore(spark, f"{folder}/store", buckets=4).create()
     store = TicketStore(spark, f"{folder}/store", buckets=32).create()

@@ -25,7 +25,7 @@ from turnstile.operators import (
     sales,
     universe,
 )
-from turnstile.session import configure, scratch
+from turnstile.session import configure, scratch, written
 from turnstile.sources import chain, csv, ingest, ledger, pages, statement, tables
 from turnstile.sources.store import TicketStore
 
@@ -340,7 +340,7 @@ def _fetches(spark: SparkSession, directory: str) -> tuple[TicketStore, DataFram
     """A store after three fetches: early tickets, a later refresh of some, and a replayed old one."""
     configure(spark)
     columns = ["ticket_id", "event_name", "ticket_status", "ordered_at", "deal_price"]
-    rows = tables.tickets(spark, directory, *columns)
+    rows = written(tables.tickets(spark, directory, *columns), "fetched", "zstd")
     store = TicketStore(spark, scratch(spark, "tickets"), buckets=16).create()
     early = rows.filter("ordered_at < timestamp '1998-07-01'")
     status = F.when(F.col("ordered_at") >= F.lit(date(1998, 1, 1)), "refunded")
@@ -417,6 +417,7 @@ def _clear_tenant(spark: SparkSession, directory: str) -> DataFrame:
     """Two tenants' stored tickets after one of them is cleared."""
     configure(spark)
     rows = tables.tickets(spark, directory, "ticket_id", "tenant_id", "event_name")
+    rows = written(rows.filter(F.col("tenant_id").isin(1, 2)), "fetched", "zstd")
     store = TicketStore(spark, scratch(spark, "tickets"), buckets=8).create()
     for tenant in (1, 2):
         mine = ingest.of_tenant(rows, tenant).drop("tenant_id")

@@ -46,9 +46,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(rows: DataFrame, name: str) -> DataFrame:
+def written(rows: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """The rows written to the shared folder and read back: computed once, and safe from lost executors."""
     spark = rows.sparkSession
     path = scratch(spark, name)
-    rows.write.parquet(path)
+    rows.write.parquet(path, compression=compression)
     return spark.read.schema(rows.schema).parquet(path)
