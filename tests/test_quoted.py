@@ -135,3 +135,16 @@ def test_a_statement_with_a_break_in_quotes(spark, folder):
     sold = statement.sales(spark, folder).withColumn("file", F.substring_index("file", "/", -1))
     found = [(f, n, float(a)) for f, n, _, a in rows_of(sold, "file", "line_no", "sale_date", "amount")]
     assert found == [("p.csv", 10, 10.5), ("p.csv", 11, 20.0), ("p.csv", 13, 7.0), ("q.csv", 10, 10.5), ("q.csv", 12, 20.0), ("q.csv", 15, 7.0)]
+
+
+def test_lines_of_files_without_quotes_are_numbered_where_they_are_read(spark, folder):
+    for name, text in (("a", "x,y\n1,2\n\n3,4\r\n"), ("b", 'x,y\n"1\n1",2\n5,6\n')):
+        with open(f"{folder}/{name}.csv", "w", newline="") as out:
+            out.write(text)
+    marks = quoted._counted(quoted._text(spark, folder)).select(F.substring_index("file", "/", -1), "lines", "quoted")
+    assert sorted(map(tuple, marks.collect())) == [("a.csv", 0, False), ("b.csv", 0, True)]
+    found = quoted.records(spark, folder).select(F.substring_index("file", "/", -1), "position", "record")
+    assert sorted(map(tuple, found.collect())) == [
+        ("a.csv", 1, "x,y"), ("a.csv", 2, "1,2"), ("a.csv", 3, ""), ("a.csv", 4, "3,4"),
+        ("b.csv", 1, "x,y"), ("b.csv", 2, '"1\n1",2'), ("b.csv", 3, "5,6"),
+    ]

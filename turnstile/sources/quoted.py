@@ -4,7 +4,8 @@ A line begins a record if an even number of quotes stands before it in its file.
 says how many quotes it has, and for both cases, of an even and of an odd number before it, how many records begin in
 it and where the last one does. Sums over the splits of a file, a row for each hundred megabytes, then tell
 which case holds, and how many records came before. Lines that are a record each stay where they are; only those of
-records of several lines are put together.
+records of several lines are put together. In a file without quotes every line is a record, and none has to be put in
+order to be numbered.
 """
 
 from __future__ import annotations
@@ -24,21 +25,43 @@ _SPLIT = ("file", "block")
 _BREAK = "\n"
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Every line with its file, the start of its split, its place there and the quotes before it, modulo 2."""
-    text = spark.read.text(path, lineSep=_BREAK).select(
+def _text(spark: SparkSession, path: str) -> DataFrame:
+    """Every line with its file, the start of its split and its place there."""
+    return spark.read.text(path, lineSep=_BREAK).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        # Rises in the order of reading within a split.
+        # Rises by one from line to line within a split.
         F.monotonically_increasing_id().alias("line"),
         F.col("value").alias("text"),
     )
+
+
+def _lines(text: DataFrame) -> DataFrame:
+    """The lines with the quotes before them in their split, modulo 2."""
     quotes = F.length("text") - F.length(F.replace("text", F.lit('"'), F.lit("")))
     before = Window.partitionBy(*_SPLIT).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     odd = text.withColumn("odd", F.pmod(quotes, F.lit(2)))
     return odd.withColumn("parity", F.pmod(F.coalesce(F.sum("odd").over(before), F.lit(0)), F.lit(2)))
 
 
+def _counted(text: DataFrame) -> DataFrame:
+    """(file, block, first, lines, quoted) of every split: its first line, the lines before it in its file, and
+    whether the file has quotes."""
+    own = text.groupBy(*_SPLIT).agg(
+        F.min("line").alias("first"),
+        F.count(F.lit(1)).alias("n"),
+        F.max(F.contains("text", F.lit('"'))).alias("own_quotes"),
+    )
+    of_file = Window.partitionBy("file")
+    earlier = of_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return own.select(
+        *_SPLIT,
+        "first",
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("lines"),
+        F.max("own_quotes").over(of_file).alias("quoted"),
+    )
+
+
 def _splits(lines: DataFrame) -> DataFrame:
     """(file, block, open, records, begun): whether a split begins inside a record, the number of records begun before
     it, and where the last of them begins."""
@@ -68,7 +91,13 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     lines between records are records without text. A quote that is never closed makes the rest of the
     file one record; inside a cell that is not quoted, a quote sign has to be written as one that is.
     """
-    lines = _lines(spark, path)
+    text = _text(spark, path)
+    # A row for each hundred megabytes, so the lines of files without quotes stay where they are read.
+    splits = F.broadcast(_counted(text))
+    plain = text.join(splits.filter("NOT quoted"), list(_SPLIT)).select(
+        "file", (F.col("lines") + F.col("line") - F.col("first") + 1).alias("position"), F.col("text").alias("record")
+    )
+    lines = _lines(text.join(splits.filter("quoted").select(*_SPLIT), list(_SPLIT)))
     placed = lines.join(_splits(lines), list(_SPLIT))
     begins = F.col("parity") == F.col("open")
     so_far = Window.partitionBy(*_SPLIT).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
@@ -93,7 +122,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
         )
         .select("file", "position", F.array_join(F.transform("parts", lambda p: p["text"]), _BREAK).alias("record"))
     )
-    both = whole.unionByName(several)
+    both = plain.unionByName(whole).unionByName(several)
     return both.withColumn("record", F.regexp_replace("record", "\r$", ""))
 
 
