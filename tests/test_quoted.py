@@ -148,3 +148,14 @@ def test_lines_of_files_without_quotes_are_numbered_where_they_are_read(spark, f
         ("a.csv", 1, "x,y"), ("a.csv", 2, "1,2"), ("a.csv", 3, ""), ("a.csv", 4, "3,4"),
         ("b.csv", 1, "x,y"), ("b.csv", 2, '"1\n1",2'), ("b.csv", 3, "5,6"),
     ]
+
+
+def test_a_statement_is_cut_up_in_one_way_only(spark):
+    body = "\n Data , Tipo ,Entradas\n1/2/2024,Vendas,{}\n2/2/2024,Vendas,7.5\n"
+    texts = [("plain", "p\n" * 8 + body.format("5.00")), ("above", 'p"q\n' * 8 + body.format("5.00")), ("in", "p\n" * 8 + body.format('"5.00"')), ("none", None)]
+    found = statement.sales_in(spark.createDataFrame(texts, "file string, text string"))
+    assert sorted((r.file, r.line_no, str(r.amount)) for r in found.collect()) == [
+        (file, line, amount) for file in ("above", "in", "plain") for line, amount in ((11, "5.000000"), (12, "7.500000"))
+    ]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert 'NOT Contains(text' in plan and "exists(" not in plan

@@ -50,21 +50,13 @@ def sales_in(statements: DataFrame, decimal_comma: bool = False) -> DataFrame:
     Sales have the sale type, a positive amount and a valid date; everything else
     in the statement is left out.
     """
-    lines = F.split(F.col("text"), "\r\n|\n|\r", -1)
-    filled = lambda line: F.trim(line) != ""
-    files = (
-        statements.select(
-            "file", F.slice(lines, C.STATEMENT_PREAMBLE_LINES + 1, F.size(lines)).alias("body")
-        )
-        .select("file", "body", F.get(F.filter("body", filled), 0).alias("header_line"))
-        .select("file", "body", F.transform(_cells(F.col("header_line")), strip).alias("header"))
-    )
+    # Told by the text, so that each statement is cut up in one of the two ways only.
+    quoted = F.contains("text", F.lit('"'))
+    plain = _bodies(statements.filter(~quoted))
     # Cut up inside the generator: filters on the cells stay above it and do not cut again.
-    quoted = F.exists("body", lambda line: F.contains(line, F.lit('"')))
-    numbered = files.filter(~quoted).select(
-        "file", "header", F.posexplode(F.transform("body", _cells)).alias("offset", "cells")
-    )
-    joined = _joined(files.filter(quoted))
+    cells = F.transform("body", lambda line: F.split(line, ",", -1))
+    numbered = plain.select("file", "header", F.posexplode(cells).alias("offset", "cells"))
+    joined = _joined(_bodies(statements.filter(quoted)))
     numbered = numbered.unionByName(
         joined.select("file", "header", "offset", F.inline(F.array(F.struct(_cells(F.col("row")).alias("cells")))))
     )
@@ -94,6 +86,19 @@ def sales_in(statements: DataFrame, decimal_comma: bool = False) -> DataFrame:
     )
 
 
+def _bodies(statements: DataFrame) -> DataFrame:
+    """The statements (file, text) as file, header cells and the lines below the preamble."""
+    lines = F.split(F.col("text"), "\r\n|\n|\r", -1)
+    filled = lambda line: F.trim(line) != ""
+    return (
+        statements.select(
+            "file", F.slice(lines, C.STATEMENT_PREAMBLE_LINES + 1, F.size(lines)).alias("body")
+        )
+        .select("file", "body", F.get(F.filter("body", filled), 0).alias("header_line"))
+        .select("file", "body", F.transform(_cells(F.col("header_line")), strip).alias("header"))
+    )
+
+
 def _joined(files: DataFrame) -> DataFrame:
     """The rows of the files (file, header, body of lines): lines between which a quote is open are one."""
     lines = files.select("file", "header", F.posexplode("body").alias("offset", "line"))
