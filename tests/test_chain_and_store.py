@@ -249,6 +249,15 @@ def test_fields_that_no_column_holds_keep_their_types(spark, folder):
     assert json.loads(whole["1"]) == one
 
 
+def test_the_number_of_pages_grows_with_the_tickets(spark, folder, monkeypatch):
+    monkeypatch.setattr(queries, "_PAGE", 50)
+    monkeypatch.setattr(queries, "scratch", lambda _, name: f"{folder}/{name}")
+    found = queries._pulled_pages(spark, SMALL)
+    landed = pages.read_pages(spark, f"{folder}/landing")
+    assert landed.count() == 120 and landed.agg(F.max(F.size("data"))).first()[0] < 120
+    assert found.agg(F.sum("tickets")).first()[0] > 0
+
+
 # Ledger -------------------------------------------------------------------------
 
 

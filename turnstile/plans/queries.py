@@ -492,14 +492,22 @@ def _import_positions(spark: SparkSession, directory: str) -> DataFrame:
     return per_show.join(sold, "event_name", "left")
 
 
+_PAGE = 5000
+
+
 def _pulled_pages(spark: SparkSession, directory: str) -> DataFrame:
-    """Every ticket on a page file of 500, pulled along the cursors into a store and summed per show."""
+    """Every ticket on a page file of some 5,000, pulled along the cursors into a store and summed per show.
+
+    There are at least 40 pages; their number grows with the tickets, their size does not.
+    """
     configure(spark)
     columns = [*_SCOPE.split(), "ticket_id", "ordered_at", "deal_price", "contact_newsletter_optin"]
-    raw = pages.to_raw_json(tables.tickets(spark, directory, *columns))
-    page = F.floor(F.pmod(F.xxhash64("ticket_id"), F.lit(40))).alias("page")
+    tickets = tables.tickets(spark, directory, *columns)
+    n_pages = max(40, -(-tickets.count() // _PAGE))
+    raw = pages.to_raw_json(tickets)
+    page = F.floor(F.pmod(F.xxhash64("ticket_id"), F.lit(n_pages))).alias("page")
     cursor = F.when(F.col("page") > 0, F.concat(F.lit("c"), "page")).alias("cursor")
-    following = F.when(F.col("page") < 39, F.concat(F.lit("https://x.example/?after=c"), F.col("page") + 1))
+    following = F.when(F.col("page") < n_pages - 1, F.concat(F.lit("https://x.example/?after=c"), F.col("page") + 1))
     landed = raw.groupBy(page).agg(F.collect_list("raw").alias("data")).select(
         cursor,
         F.concat(F.lit("["), F.array_join("data", ","), F.lit("]")).alias("data"),
@@ -515,11 +523,11 @@ def _pulled_pages(spark: SparkSession, directory: str) -> DataFrame:
         F.coalesce(F.concat(F.lit('"'), "next", F.lit('"')), F.lit("null")),
         F.lit("}}"),
     )
-    landed.repartition(40, "cursor").sortWithinPartitions("cursor").select(shown.alias("value")).write.option(
+    landed.repartition("cursor").sortWithinPartitions("cursor").select(shown.alias("value")).write.option(
         "maxRecordsPerFile", 1
     ).text(path)
     store = TicketStore(spark, scratch(spark, "tickets"), buckets=8).create()
-    store.ingest("1", pages.pull(spark, path), datetime(2024, 1, 1))
+    store.ingest("1", written(pages.pull(spark, path), "pulled", "zstd"), datetime(2024, 1, 1))
     return _per_show(store.tickets("1", AS_OF))
 
 

@@ -70,6 +70,7 @@ def walk(page_rows: DataFrame) -> DataFrame:
     """
     links = written(_links(page_rows), "links")
     found = links.join(_ranks(links), [_FEED, "at"]).select(_FEED, "at", "page_file", "arrival")
+    found = written(found, "found")  # where Spark finds it small, the pages stay where they are read
     keyed = page_rows
     if _FEED in page_rows.columns:
         keyed = keyed.withColumn(_FEED, F.coalesce(F.col(_FEED).cast("string"), F.lit("")))
