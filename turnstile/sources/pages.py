@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstile import schema as S
+from turnstile.session import written
 from turnstile.sources import chain
 
 # Tickets stay JSON text here: a field nobody knows yet must reach the store too.
@@ -55,7 +56,8 @@ def pull(spark: SparkSession, path: str) -> DataFrame:
     Pages that lie in the folder but that no walked page leads to are left out;
     ``chain.audit`` names them.
     """
-    return records(chain.walk(read_pages(spark, path)))
+    # Parsed once, for the walk and for the tickets.
+    return records(chain.walk(written(read_pages(spark, path), "pages", "zstd")))
 
 
 def chain_gaps(page_rows: DataFrame) -> DataFrame:
