@@ -3,6 +3,8 @@
 import json
 import os
 import random
+import re
+import time
 from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
@@ -10,6 +12,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
+from turnstile import session
 from turnstile.plans import queries
 from turnstile.sources import chain, ingest, pages
 from turnstile.sources.ledger import LedgerStore
@@ -258,6 +261,48 @@ def test_the_number_of_pages_grows_with_the_tickets(spark, folder, monkeypatch):
     assert found.agg(F.sum("tickets")).first()[0] > 0
 
 
+def _shuffle_files(kept) -> set[str]:
+    return set(re.findall(r"shuffle_\d+_\S+?\.data", kept.getAllFiles().mkString(" ")))
+
+
+def _bytes(top) -> int:
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(top) for f in files)
+
+
+def test_a_pull_keeps_few_copies_of_its_tickets_on_disk(spark, folder, monkeypatch):
+    """Landed pages are compressed, written once more as they are parsed, and no job leaves its shuffle files."""
+    monkeypatch.setattr(queries, "_PAGE", 500)
+    for module in (queries, session):
+        monkeypatch.setattr(module, "scratch", lambda _, name: f"{folder}/{name}-{len(os.listdir(folder))}")
+    kept = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = _shuffle_files(kept)
+    found = queries._pulled_pages(spark, SMALL)
+    deadline = time.time() + 20  # files go a little after their job
+    while _shuffle_files(kept) - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not _shuffle_files(kept) - before
+    size = {name.split("-")[0]: _bytes(f"{folder}/{name}") for name in os.listdir(folder)}
+    raw = pages.pull(spark, next(f"{folder}/{n}" for n in os.listdir(folder) if n.startswith("landing")))
+    text = raw.agg(F.sum(F.length("raw"))).first()[0]
+    assert "pulled" not in size and size["landing"] < text / 2 and size["landing"] + size["pages"] < text
+    assert found.agg(F.sum("tickets")).first()[0] > 0
+
+
+def test_pages_stay_where_they_are_read_when_the_walk_meets_them(spark, folder):
+    path = f"{folder}/pages"
+    rows = [("a", None, ["1"], "c1"), ("b", "c1", ["2"], None), ("c", "c9", ["3"], None)]
+    schema = "page_file string, cursor string, data array<string>, next_cursor string"
+    spark.createDataFrame(rows, schema).write.parquet(path)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        walked = chain.walk(spark.read.parquet(path))
+        assert "SortMergeJoin" not in walked._jdf.queryExecution().toString()
+        assert sorted((r.page_file, r.arrival) for r in walked.collect()) == [("a", 0), ("b", 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 # Ledger -------------------------------------------------------------------------
 
 

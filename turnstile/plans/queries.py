@@ -25,7 +25,7 @@ from turnstile.operators import (
     sales,
     universe,
 )
-from turnstile.session import configure, scratch, written
+from turnstile.session import configure, scratch, shuffles_dropped, written
 from turnstile.sources import chain, csv, ingest, ledger, pages, statement, tables
 from turnstile.sources.store import TicketStore
 
@@ -496,11 +496,18 @@ _PAGE = 5000
 
 
 def _pulled_pages(spark: SparkSession, directory: str) -> DataFrame:
-    """Every ticket on a page file of some 5,000, pulled along the cursors into a store and summed per show.
+    """Every ticket on a page file of some 5,000, pulled along the cursors into a store and summed per show."""
+    configure(spark)
+    with shuffles_dropped(spark):
+        store = _pulled(spark, directory)
+    return _per_show(store.tickets("1", AS_OF))
+
+
+def _pulled(spark: SparkSession, directory: str) -> TicketStore:
+    """The store after the pull.
 
     There are at least 40 pages; their number grows with the tickets, their size does not.
     """
-    configure(spark)
     columns = [*_SCOPE.split(), "ticket_id", "ordered_at", "deal_price", "contact_newsletter_optin"]
     tickets = tables.tickets(spark, directory, *columns)
     n_pages = max(40, -(-tickets.count() // _PAGE))
@@ -523,12 +530,11 @@ def _pulled_pages(spark: SparkSession, directory: str) -> DataFrame:
         F.coalesce(F.concat(F.lit('"'), "next", F.lit('"')), F.lit("null")),
         F.lit("}}"),
     )
-    landed.repartition("cursor").sortWithinPartitions("cursor").select(shown.alias("value")).write.option(
-        "maxRecordsPerFile", 1
-    ).text(path)
+    landed.select(shown.alias("value")).write.option("maxRecordsPerFile", 1).text(path, compression="gzip")
     store = TicketStore(spark, scratch(spark, "tickets"), buckets=8).create()
-    store.ingest("1", written(pages.pull(spark, path), "pulled", "zstd"), datetime(2024, 1, 1))
-    return _per_show(store.tickets("1", AS_OF))
+    # The pages that were parsed are written already, so their tickets are not written once more.
+    store.ingest("1", pages.pull(spark, path), datetime(2024, 1, 1))
+    return store
 
 
 def _statement_files(spark: SparkSession, directory: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +54,21 @@ def written(rows: DataFrame, name: str, compression: str | None = None) -> DataF
     path = scratch(spark, name)
     rows.write.parquet(path, compression=compression)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within, every job's shuffle files go when it ends; else they stay until the driver happens to collect its garbage.
+
+    Whatever is asked for again is computed again.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if kept is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, kept)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from turnstile.session import written
 
 _FEED = "feed"
+#: A walk of so many pages is broadcast, with some 300 bytes for each.
+_FEW_PAGES = 100_000
 
 
 def _links(page_rows: DataFrame) -> DataFrame:
@@ -70,7 +72,9 @@ def walk(page_rows: DataFrame) -> DataFrame:
     """
     links = written(_links(page_rows), "links")
     found = links.join(_ranks(links), [_FEED, "at"]).select(_FEED, "at", "page_file", "arrival")
-    found = written(found, "found")  # where Spark finds it small, the pages stay where they are read
+    found = written(found, "found")
+    if found.count() <= _FEW_PAGES:  # the pages, with all they hold, stay where they are read
+        found = F.broadcast(found)
     keyed = page_rows
     if _FEED in page_rows.columns:
         keyed = keyed.withColumn(_FEED, F.coalesce(F.col(_FEED).cast("string"), F.lit("")))
