@@ -106,10 +106,8 @@ def returning(rollup: DataFrame, f: Filters, since: date) -> DataFrame:
     now = F.col("order_date") >= F.lit(since)
     before = cells.filter(~now).agg(F.theta_union_agg("buyers", LG_NOMINAL).alias("earlier"))
     shows = _merged(cells.filter(now), "event_name")
-    # One row with one sketch of bounded size (32 KB), handed to every show.
-    both = shows.withColumn("one", F.lit(1)).join(
-        F.broadcast(before.withColumn("one", F.lit(1))), "one"
-    )
+    # One sketch of bounded size (32 KB), handed to every show.
+    both = shows.withColumn("earlier", before.scalar())
     known = F.theta_sketch_estimate(F.theta_intersection("buyers", "earlier"))
     return both.select(
         "event_name",

@@ -36,8 +36,11 @@ def _text(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _lines(text: DataFrame) -> DataFrame:
-    """The lines with the quotes before them in their split, modulo 2."""
+def _lines(spark: SparkSession, path: str, splits: DataFrame | None = None) -> DataFrame:
+    """The lines, of all or some splits, with the quotes before them in their split, modulo 2."""
+    text = _text(spark, path)
+    if splits is not None:
+        text = text.join(splits, list(_SPLIT))
     quotes = F.length("text") - F.length(F.replace("text", F.lit('"'), F.lit("")))
     before = Window.partitionBy(*_SPLIT).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     odd = text.withColumn("odd", F.pmod(quotes, F.lit(2)))
@@ -97,7 +100,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     plain = text.join(splits.filter("NOT quoted"), list(_SPLIT)).select(
         "file", (F.col("lines") + F.col("line") - F.col("first") + 1).alias("position"), F.col("text").alias("record")
     )
-    lines = _lines(text.join(splits.filter("quoted").select(*_SPLIT), list(_SPLIT)))
+    lines = _lines(spark, path, splits.filter("quoted").select(*_SPLIT))
     placed = lines.join(_splits(lines), list(_SPLIT))
     begins = F.col("parity") == F.col("open")
     so_far = Window.partitionBy(*_SPLIT).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
